@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("ingest", "bars")
+FAMILIES = ("ingest", "bars", "merging")
 
 
 def load_all():
