@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("ingest", "bars", "merging")
+FAMILIES = ("ingest", "bars", "merging", "jobs")
 
 
 def load_all():

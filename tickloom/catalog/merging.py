@@ -360,11 +360,10 @@ def _(spark, d):
 
 @query("tagged_range_tail", "K3", with_views("k1s k1m k1h", f"""SELECT {OHLCV.replace('open_time', 'kline_start AS open_time')}
     FROM (SELECT * FROM k1s UNION ALL SELECT * FROM k1m UNION ALL SELECT * FROM k1h)
-    WHERE "interval" = '1m' AND is_closed AND symbol = 'CLICKUSDT' AND kline_start >= {CUT} AND kline_start < {NOW}
+    WHERE "interval" = '1m' AND is_closed AND kline_start >= {CUT} AND kline_start < {NOW}
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY kline_start DESC) <= 100"""))
 def _(spark, d):
-    tagged = P.for_symbols(P.stored_minutes(all_klines(spark, d)), [" clickusdt "])
-    return P.last_before(tagged, 100, NOW, CUT)
+    return P.last_before(P.stored_minutes(all_klines(spark, d)), 100, NOW, CUT)
 
 
 @query("look_back_window", "K4", with_views("c1m", f"SELECT {OHLCV} FROM c1m WHERE open_time >= {NOW - 48 * HOUR_MS}"))

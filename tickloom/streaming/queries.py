@@ -145,12 +145,13 @@ def indicator_stream(klines: DataFrame) -> DataFrame:
                 "closes array<double>, ema12 double, ema26 double", "append", GroupStateTimeout.NoTimeout))
 
 
-def filled_roll_up_stream(klines: DataFrame, idle_ms: int = IDLE_FLUSH_MS) -> DataFrame:
+def filled_roll_up_stream(klines: DataFrame, idle_ms: int | None = IDLE_FLUSH_MS) -> DataFrame:
     """One-second klines to gap-filled one-minute klines, also emitted when a symbol falls silent.
 
     State per symbol: the open minute's seconds (at most 60) and the last close before it. A newer
-    minute closes the open one; so does a processing-time timeout. Seconds of closed minutes are
-    late and dropped.
+    minute closes the open one; so does a processing-time timeout of ``idle_ms``. Seconds of closed
+    minutes are late and dropped. Without ``idle_ms`` the last minute stays open, which suits runs
+    that drain their input and end (a timeout keeps asking for further batches).
     """
     cols = ["kline_start", "open", "high", "low", "close", "volume", "quote_volume", "trade_count"]
 
@@ -185,7 +186,8 @@ def filled_roll_up_stream(klines: DataFrame, idle_ms: int = IDLE_FLUSH_MS) -> Da
                     carry, done, seconds = sorted(seconds.values())[-1][4], minute, {}
                 minute = at
                 seconds[int(r[0])] = r
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         state.update((minute, carry, done, [x for r in seconds.values() for x in r]))
         names = ["symbol", "kline_start", "kline_close", "interval", "open", "high", "low", "close",
                  "volume", "quote_volume", "trade_count", "is_closed", "real_count"]
@@ -197,7 +199,8 @@ def filled_roll_up_stream(klines: DataFrame, idle_ms: int = IDLE_FLUSH_MS) -> Da
     return (klines.filter(F.col("interval") == "1s").select("symbol", "event_time", *cols)
             .groupBy("symbol").applyInPandasWithState(
                 step, schema, "minute bigint, carry double, done bigint, seconds array<double>",
-                "append", GroupStateTimeout.ProcessingTimeTimeout))
+                "append", GroupStateTimeout.NoTimeout if idle_ms is None
+                else GroupStateTimeout.ProcessingTimeTimeout))
 
 
 def project_stream(rows: DataFrame, fn, schema: str) -> DataFrame:
