@@ -16,7 +16,7 @@ def main() -> int:
     sf = args.pop(0) if args and args[0].startswith("sf") else "sf0.01"
     sf_dir = f"/root/testdata/{sf}"
     spark = build_session(master="local[8]", **{"spark__sql__shuffle__partitions": "8",
-                                                "spark__ui__enabled": "false",
+                                                "spark__ui__enabled": "false", "spark__ui__showConsoleProgress": "false",
                                                 "spark__driver__memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = duck(sf_dir), 0

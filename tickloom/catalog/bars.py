@@ -47,12 +47,12 @@ def _line_sql(step: int) -> str:
 
 @query("supplier_candles_1d", "A1 A3", _line_sql(DAY_MS))
 def _(spark, d):
-    return C.candles_from_ticks(tb.ticks_big(spark, d), DAY_MS, tb.LINE_ORDER).drop("quote_volume")
+    return C.candles_from_ticks(tb.ticks_big(spark, d), DAY_MS).drop("quote_volume")
 
 
 @query("supplier_candles_1w", "A1 A3", _line_sql(WEEK_MS))
 def _(spark, d):
-    return C.candles_from_ticks(tb.ticks_big(spark, d), WEEK_MS, tb.LINE_ORDER).drop("quote_volume")
+    return C.candles_from_ticks(tb.ticks_big(spark, d), WEEK_MS).drop("quote_volume")
 
 
 @query("order_candles_1w", "A1 A3", with_views("order_ticks", f"""SELECT symbol,
@@ -60,7 +60,7 @@ def _(spark, d):
     min(price) AS low, arg_max(price, (event_time, seq)) AS close, sum(volume) AS volume, count(*) AS trade_count
     FROM order_ticks GROUP BY 1, 2"""))
 def _(spark, d):
-    return C.candles_from_ticks(tb.order_ticks(spark, d), WEEK_MS, ("event_time", "seq")).drop("quote_volume")
+    return C.candles_from_ticks(tb.order_ticks(spark, d), WEEK_MS).drop("quote_volume")
 
 
 @query("ohlcv_1h", "A3", with_views("c1h", f"""SELECT {OHLCV}, round(quote_volume, 4) AS quote_volume,
@@ -141,7 +141,7 @@ def _(spark, d):
           arg_min(price, (event_time, seq)) AS first_open, arg_max(price, (event_time, seq)) AS last_close
           FROM order_ticks GROUP BY symbol)"""))
 def _(spark, d):
-    daily = C.candles_from_ticks(tb.order_ticks(spark, d), DAY_MS, ("event_time", "seq"))
+    daily = C.candles_from_ticks(tb.order_ticks(spark, d), DAY_MS)
     return C.range_stats(daily)
 
 

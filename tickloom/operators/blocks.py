@@ -33,6 +33,23 @@ def block_window(order: Sequence[str], key="symbol", reverse: bool = False):
     return W.partitionBy(*_keys(key), BLOCK).orderBy(*cols)
 
 
+def fit_block(df: DataFrame, time: str, candidates: Sequence[int], rows: int, key="symbol") -> int:
+    """The longest candidate block that keeps every (symbol, block) within ``rows`` rows.
+
+    For operators that hold a block in Python memory. One job over counts per shortest block; if
+    even those are too full, the shortest block is returned.
+    """
+    lengths = sorted(candidates)
+    fine = df.groupBy(*_keys(key), bucket(time, lengths[0]).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    fullest = None
+    for length in lengths:
+        sizes = (fine.groupBy(*_keys(key), bucket("_t", length)).agg(F.sum("_n").alias("_n"))
+                 .agg(F.max("_n").alias("n")).select(F.lit(length).alias("length"), "n"))
+        fullest = sizes if fullest is None else fullest.unionByName(sizes)
+    fitting = [r["length"] for r in fullest.collect() if r["n"] is None or r["n"] <= rows]
+    return max(fitting, default=lengths[0])
+
+
 def with_halo(df: DataFrame, n: int, block_ms: int, order: Sequence[str], key="symbol",
               reverse: bool = False) -> DataFrame:
     """Add ``_block`` and, flagged ``_halo``, the ``n`` rows preceding each block.

@@ -46,26 +46,27 @@ def spread_percent(books: DataFrame) -> DataFrame:
 def depth_curve(books: DataFrame, keys=("symbol", "event_time")) -> DataFrame:
     """Levels of both sides with their running total and its share of the side, in percent.
 
-    The running sum stays inside the row's own array, so a book is never spread over a shuffle.
+    The running sum stays inside the row's own array (a snapshot has a fixed number of levels), so
+    nothing is shuffled.
     """
     zero = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("totals"))
 
-    def side_rows(side: str, label: str) -> DataFrame:
-        totals = F.aggregate(
-            side, zero,
-            lambda acc, lv: F.struct((acc["total"] + lv["qty"]).alias("total"),
-                                     F.concat(acc["totals"], F.array(acc["total"] + lv["qty"])).alias("totals")),
-            lambda acc: acc["totals"])
-        rows = books.select(*keys, totals.alias("_totals"), F.col(side).alias("_side"))
-        rows = rows.select(*keys, "_totals", F.posexplode("_side").alias("pos", "lv"))
-        total = half_up(F.col("_totals")[F.col("pos")], 4)
-        last = half_up(F.element_at("_totals", -1), 4)
-        return rows.select(
-            *keys, F.lit(label).alias("side"), (F.col("pos") + 1).cast("bigint").alias("level"),
-            F.col("lv.price").alias("price"), half_up(F.col("lv.qty"), 4).alias("amount"),
-            total.alias("total"), (total / last * 100).alias("depth_pct"))
-
-    return side_rows("bids", "bid").unionByName(side_rows("asks", "ask"))
+    def add(acc: Column, lv: Column) -> Column:
+        total = acc["total"] + lv["qty"]
+        return F.struct(total.alias("total"), F.concat(acc["totals"], F.array(total)).alias("totals"))
+
+    def side(name: str, label: str) -> Column:
+        return F.struct(F.lit(label).alias("side"), F.col(name).alias("levels"),
+                        F.aggregate(name, zero, add, lambda acc: acc["totals"]).alias("totals"))
+
+    rows = (books.select(*keys, F.explode(F.array(side("bids", "bid"), side("asks", "ask"))).alias("s"))
+            .select(*keys, "s.side", "s.totals", F.posexplode("s.levels").alias("pos", "lv")))
+    total = half_up(F.col("totals")[F.col("pos")], 4)
+    last = half_up(F.element_at("totals", -1), 4)
+    return rows.select(
+        *keys, "side", (F.col("pos") + 1).cast("bigint").alias("level"), F.col("lv.price").alias("price"),
+        half_up(F.col("lv.qty"), 4).alias("amount"), total.alias("total"),
+        (total / last * 100).alias("depth_pct"))
 
 
 def synthetic_book(tickers: DataFrame) -> DataFrame:

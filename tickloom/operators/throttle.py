@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import bucket
-from ..schemas import HEARTBEAT_MS, TICK_BLOCK_MS
-from .blocks import BLOCK, trailing
+from ..schemas import DAY_MS, HEARTBEAT_MS, HOUR_MS, MINUTE_MS
+from .blocks import BLOCK, fit_block, trailing
 
+BLOCK_CHOICES = (MINUTE_MS, HOUR_MS, DAY_MS, 30 * DAY_MS)
+BLOCK_ROWS = 500_000
 NEVER = -(2 ** 62)
 
 
@@ -85,12 +87,15 @@ def _replay(heartbeat_ms: int):
 
 
 def throttle(ticks: DataFrame, heartbeat_ms: int = HEARTBEAT_MS,
-             block_ms: int = TICK_BLOCK_MS) -> DataFrame:
+             block_ms: int | None = None) -> DataFrame:
     """Every tick with its ``reason``: change, heartbeat or skipped.
 
-    ``seq`` is unique within a symbol and ascends with ``event_time``.
+    ``seq`` is unique within a symbol and ascends with ``event_time``. Without ``block_ms`` the
+    block is the longest whose rows fit ``BLOCK_ROWS``; the result is the same for any length.
     """
     rows = ticks.select("symbol", "event_time", "seq", "price")
+    if block_ms is None:
+        block_ms = fit_block(rows, "event_time", BLOCK_CHOICES, BLOCK_ROWS)
     flagged = trailing(rows, 1, block_ms, ["event_time", "seq"], {
         "changed": lambda w: ~F.col("price").eqNullSafe(F.lag("price").over(w))})
     flagged = flagged.withColumn(BLOCK, bucket("event_time", block_ms))

@@ -35,23 +35,37 @@ def ticks_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_from_events(events.withColumn("event_type", F.concat(F.lit("U"), F.col("user_id").cast("string"))))
 
 
-LINE_ORDER = ("event_time", "l_orderkey", "l_linenumber", "l_partkey")
+def line_sequence() -> Column:
+    """(ship date, order, line, part) as one number that sorts the same way.
+
+    One fixed-width value keeps ``min_by``/``max_by`` in a hash aggregate, where a struct would make
+    Spark sort. The digits per key add up to the 38 a decimal has; a wider value is an error.
+    """
+    def digits(column, n: int) -> Column:
+        return column.cast(f"decimal({n},0)")
+
+    head = digits(to_ms("l_shipdate"), 13) * digits(F.lit(10 ** 12), 13) + digits(F.col("l_orderkey"), 12)
+    tail = F.col("l_linenumber").cast("bigint") * F.lit(10 ** 11) + F.col("l_partkey")
+    return (head.cast("decimal(25,0)") * digits(F.lit(10 ** 13), 14)
+            + digits(tail, 13)).cast("decimal(38,0)")
 
 
 def ticks_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as ticks of their supplier, ordered by ``LINE_ORDER``."""
+    """Line items as ticks of their supplier; ``seq`` orders them uniquely."""
     return load(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
         to_ms("l_shipdate").alias("event_time"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.col("l_quantity").alias("volume"), "l_orderkey", "l_linenumber", "l_partkey")
+        F.col("l_quantity").alias("volume"), line_sequence().alias("seq"))
 
 
 def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as ticks of their priority; the order key is the tie-breaker."""
+    """Orders as ticks of their priority, in the order of (order date, order key)."""
+    at = to_ms("o_orderdate")
+    seq = at.cast("decimal(13,0)") * F.lit(10 ** 12).cast("decimal(13,0)") + F.col("o_orderkey").cast("decimal(12,0)")
     return load(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("symbol"), to_ms("o_orderdate").alias("event_time"),
-        F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"), F.col("o_orderkey").alias("seq"))
+        F.col("o_orderpriority").alias("symbol"), at.alias("event_time"),
+        F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"), seq.cast("decimal(38,0)").alias("seq"))
 
 
 def candles(spark: SparkSession, sf_dir: str, step_ms: int) -> DataFrame:
@@ -97,13 +111,12 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     already drop deeper levels before the shuffle.
     """
     lines = load(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-        to_ms("l_shipdate").alias("event_time"), F.col("l_linestatus").alias("status"),
+        "l_suppkey", "l_shipdate", F.col("l_linestatus").alias("status"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"), "l_orderkey")
     sign = F.when(F.col("status") == "O", F.lit(-1.0)).otherwise(F.lit(1.0))
     lines = lines.withColumn("p", F.col("price") * sign).withColumn("q", F.col("qty") * sign)
-    w = W.partitionBy("symbol", "event_time", "status").orderBy("p", "q", "l_orderkey")
+    w = W.partitionBy("l_suppkey", "l_shipdate", "status").orderBy("p", "q", "l_orderkey")
     best = lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= DEPTH_LEVELS)
     rank = F.struct("p", "q", "price", "qty")
 
@@ -111,10 +124,12 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranked = F.sort_array(F.collect_list(F.when(F.col("status") == code, rank)))
         return F.transform(ranked, lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
 
-    return best.groupBy("symbol", "event_time").agg(
-        F.max("l_orderkey").alias("last_update_id"),
-        side("O").alias("bids"), side("F").alias("asks")).select(
-        "event_time", "symbol", "last_update_id", "bids", "asks")
+    sides = best.groupBy("l_suppkey", "l_shipdate").agg(
+        F.max("l_orderkey").alias("last_update_id"), side("O").alias("bids"), side("F").alias("asks"))
+    return sides.select(
+        to_ms("l_shipdate").alias("event_time"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
+        "last_update_id", "bids", "asks")
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
