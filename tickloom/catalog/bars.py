@@ -238,7 +238,10 @@ def _(spark, d):
 def _(spark, d):
     from ..plans.jobs import build_hourly
     path = fresh_dir(spark, "hourly")
-    build_hourly(tb.klines(spark, d, "1m", MINUTE_MS), path)
+    minutes = tb.klines(spark, d, "1m", MINUTE_MS)
+    # First the older part, then everything since: the second run upserts into the first.
+    build_hourly(spark, minutes.filter(F.col("kline_start") < tb.CUTOFF_MS), path)
+    build_hourly(spark, minutes, path, since_ms=tb.CUTOFF_MS - DAY_MS - 1)
     return spark.read.parquet(path).drop("dt")
 
 

@@ -26,7 +26,12 @@ def query(name: str, covers: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, tuple(covers.split()), fn, sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Zone-less timestamps of the tables are UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = Query(name, tuple(covers.split()), run, sql)
         return fn
     return register
 

@@ -58,8 +58,15 @@ def with_halo(df: DataFrame, n: int, block_ms: int, order: Sequence[str], key="s
     the halo holds the ``n`` rows that follow the block.
     """
     base = df.withColumn(BLOCK, bucket(order[0], block_ms))
-    away = block_window(order, key, reverse=not reverse)
-    edges = base.withColumn(RN, F.row_number().over(away)).filter(F.col(RN) <= n).drop(RN)
+    if n == 1 and len(order) == 1:
+        # One edge row per block: a map-side combined aggregate instead of a sort.
+        pick, extreme = (F.min_by, F.min) if reverse else (F.max_by, F.max)
+        rest = [c for c in base.columns if c not in (*_keys(key), BLOCK, order[0])]
+        edges = base.groupBy(*_keys(key), BLOCK).agg(
+            extreme(order[0]).alias(order[0]), *[pick(c, F.col(order[0])).alias(c) for c in rest])
+    else:
+        away = block_window(order, key, reverse=not reverse)
+        edges = base.withColumn(RN, F.row_number().over(away)).filter(F.col(RN) <= n).drop(RN)
     cols = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     along = W.partitionBy(*_keys(key)).orderBy(*cols)
     starts = edges.withColumn(

@@ -68,11 +68,15 @@ def roll_up_seconds(klines: DataFrame) -> DataFrame:
     seconds = klines.filter(F.col("interval") == "1s").select(
         "symbol", "kline_start", "event_time", "open", "high", "low", "close", "volume",
         "quote_volume", "trade_count")
-    once = latest_write(seconds, ["symbol", "kline_start"], "event_time")
-    minutes = resample(once, MINUTE_MS, time="kline_start", extra=("quote_volume", "trade_count"))
+    # Partitioned by minute once, both aggregations run without a further shuffle.
+    seconds = seconds.withColumn("_minute", bucket("kline_start", MINUTE_MS)).repartition("symbol", "_minute")
+    once = latest_write(seconds, ["symbol", "_minute", "kline_start"], "event_time")
+    minutes = once.groupBy("symbol", "_minute").agg(
+        *ohlc("open", "high", "low", "close", "kline_start"),
+        *[F.sum(c).alias(c) for c in ("volume", "quote_volume", "trade_count")])
     return minutes.select(
-        "symbol", F.col("open_time").alias("kline_start"),
-        (F.col("open_time") + MINUTE_MS - 1).alias("kline_close"), F.lit("1m").alias("interval"),
+        "symbol", F.col("_minute").alias("kline_start"),
+        (F.col("_minute") + MINUTE_MS - 1).alias("kline_close"), F.lit("1m").alias("interval"),
         "open", "high", "low", "close", "volume", "quote_volume", "trade_count",
         F.lit(True).alias("is_closed"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..schemas import BLOCK_STEPS
 from .blocks import trailing
 from .candles import latest_write
+from .sizing import small_side
 
 KEY = ("symbol", "open_time")
 
@@ -61,7 +62,7 @@ def dedup_klines(klines: DataFrame) -> DataFrame:
 def prepend_older(current: DataFrame, older: DataFrame) -> DataFrame:
     """Scroll-back: older rows strictly before the earliest current row, then the current ones."""
     first = current.groupBy("symbol").agg(F.min("open_time").alias("_first"))
-    before = (older.join(first, "symbol").filter(F.col("open_time") < F.col("_first"))
+    before = (older.join(small_side(first), "symbol").filter(F.col("open_time") < F.col("_first"))
               .drop("_first"))
     return before.unionByName(current)
 
@@ -87,7 +88,7 @@ def poll_merge(current: DataFrame, polled: DataFrame, interval: str,
     newest = current.groupBy("symbol").agg(F.max("open_time").alias("_newest"))
     old = current.select(*KEY, F.struct(*values).alias("old"))
     new = polled.select(*KEY, F.struct(*values).alias("new"))
-    both = old.join(new, list(KEY), "full").join(newest, "symbol", "left")
+    both = old.join(new, list(KEY), "full").join(small_side(newest), "symbol", "left")
     t, last = F.col("open_time"), F.col("_newest")
     changed = F.lit(False)
     for c in ("close", "high", "low", "volume"):

@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.scalars import ms_to_timestamp
 from ..operators.candles import detect_gaps, first_available, high_watermarks, resample
 from ..operators.lookup import rows_in_ranges
-from ..operators.merge import only_new
+from ..operators.merge import only_new, priority_merge
 from ..operators.normalize import candle_points, synthetic_ticks, tradable_symbols
+from ..operators.sizing import small_side
 from ..schemas import (CACHE_RETENTION_MS, DAY_MS, GAP_LOOKBACK_MS, HISTORY_TRIM_MS, HOUR_MS,
                        MIN_GAP_MS, MIN_INPUT_FILES, MINUTE_MS, POPULATE_DAYS, POPULATE_SYMBOLS,
                        STORE_RETENTION_MS, TARGET_FILE_BYTES)
 from ..sources.lake import (SORT_ORDER, append_sorted, data_files, drop_days, overwrite_days,
-                            table_exists)
-from .serving import stored_minutes
+                            table_exists, with_day)
+from .serving import in_range, stored_minutes
+
+HOURLY_SORT = ("symbol", "open_time")
 
 
 def expired(cutoff_ms: int) -> Column:
@@ -71,11 +74,10 @@ def within_retention(klines: DataFrame, now_ms: int, cache: bool = False) -> Dat
 def trim_history(ticks: DataFrame, keep_ms: int = HISTORY_TRIM_MS) -> DataFrame:
     """Ticks of the last ``keep_ms`` before each symbol's newest one.
 
-    The cutoffs are one row per symbol; adaptive execution broadcasts them once their real size is
-    known to be small, else splits a skewed join.
+    The cutoffs are one row per symbol, so the ticks need no shuffle while those fit a broadcast.
     """
     cutoff = ticks.groupBy("symbol").agg((F.max("event_time") - keep_ms).alias("_cutoff"))
-    return ticks.join(cutoff, "symbol").filter(F.col("event_time") > F.col("_cutoff")).drop("_cutoff")
+    return ticks.join(small_side(cutoff), "symbol").filter(F.col("event_time") > F.col("_cutoff")).drop("_cutoff")
 
 
 def compact(spark: SparkSession, path: str, sort: tuple[str, ...] = SORT_ORDER["kline"],
@@ -96,10 +98,24 @@ def compact(spark: SparkSession, path: str, sort: tuple[str, ...] = SORT_ORDER["
     return len(small)
 
 
-def build_hourly(klines: DataFrame, path: str) -> None:
-    """Materialise hourly candles of the stored minutes."""
-    hourly = resample(stored_minutes(klines), HOUR_MS)
-    append_sorted(hourly, path, "open_time", ("symbol", "open_time"), mode="overwrite")
+def build_hourly(spark: SparkSession, klines: DataFrame, path: str, since_ms: int | None = None) -> None:
+    """Roll the stored minutes up to hours and upsert them into the hourly table.
+
+    ``since_ms`` (rounded up to a whole hour) keeps hours whose minutes were partly deleted as they
+    are stored. Only the days that receive rows are rewritten.
+    """
+    minutes = stored_minutes(klines)
+    if since_ms is not None:
+        minutes = in_range(minutes, -(-since_ms // HOUR_MS) * HOUR_MS)
+    hourly = resample(minutes, HOUR_MS)
+    if not table_exists(spark, path):
+        append_sorted(hourly, path, "open_time", HOURLY_SORT)
+        return
+    fresh = with_day(hourly, "open_time")
+    touched = small_side(fresh.select("dt").distinct())
+    stored = spark.read.parquet(path).join(touched, "dt", "left_semi").select(*fresh.columns)
+    merged = priority_merge(stored, fresh)
+    overwrite_days(merged.repartitionByRange("dt", *HOURLY_SORT).sortWithinPartitions("dt", *HOURLY_SORT), path)
 
 
 def import_rows(symbols: DataFrame, source: DataFrame, target: DataFrame | None, now_ms: int,
@@ -114,7 +130,7 @@ def import_rows(symbols: DataFrame, source: DataFrame, target: DataFrame | None,
         starts = first_available(symbols, source)
     else:
         starts = high_watermarks(symbols, target)
-    rows = (source.filter(F.col("kline_start") < end).join(starts, "symbol")
+    rows = (source.filter(F.col("kline_start") < end).join(small_side(starts), "symbol")
             .filter(F.col("kline_start") >= F.col("start_ms")).drop("start_ms"))
     keys = ["symbol", "interval", "kline_start"]
     return rows.dropDuplicates(keys) if target is None else only_new(rows, target, keys)
@@ -143,4 +159,4 @@ def populate_points(symbols: DataFrame, source: DataFrame, now_ms: int, days: in
     """Candle points of the last ``days`` for the first tradable symbols."""
     wanted = tradable_symbols(symbols, first=first)
     recent = source.filter((F.col("kline_start") >= now_ms - days * DAY_MS) & (F.col("kline_start") < now_ms))
-    return candle_points(recent.join(wanted, "symbol", "left_semi"))
+    return candle_points(recent.join(small_side(wanted), "symbol", "left_semi"))

@@ -15,6 +15,7 @@ from ..functions.scalars import ms_to_timestamp
 from ..operators.candles import interval_ms, resample
 from ..operators.lookup import enrich_with_live
 from ..operators.merge import best_by_volume, newest_n, prepend_older, priority_merge
+from ..operators.sizing import small_side
 from ..schemas import (HOUR_MS, MAX_HISTORICAL, MAX_KLINES, MAX_RANGE_MS, MINUTE_MS,
                        STORE_RETENTION_MS, SYMBOL_PATTERN)
 
@@ -189,7 +190,7 @@ def extend_to(current: DataFrame, history: DataFrame, required: int) -> DataFram
     series = current.groupBy("symbol").agg(F.count(F.lit(1)).alias("_have"), F.min("open_time").alias("_first"))
     short = series.filter(F.col("_have") < required).withColumn(
         "_fetch", F.least(F.greatest(F.lit(required) - F.col("_have") + 20, F.lit(required)), F.lit(500)))
-    older = history.join(short, "symbol").filter(F.col("open_time") < F.col("_first"))
+    older = history.join(small_side(short), "symbol").filter(F.col("open_time") < F.col("_first"))
     # The fetch size differs per symbol but never exceeds 500, which bounds the shuffle.
     w = W.partitionBy("symbol").orderBy(F.col("open_time").desc())
     picked = newest_n(older, 500).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_fetch"))

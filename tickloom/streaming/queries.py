@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import ms_to_timestamp
@@ -208,7 +208,6 @@ def project_stream(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.mapInPandas(fn, schema)
 
 
-def run_all(*started) -> None:
+def run_all(spark: SparkSession) -> None:
     """Wait until any query of a multi-query application ends; pass its error on."""
-    if started:
-        started[0].sparkSession.streams.awaitAnyTermination()
+    spark.streams.awaitAnyTermination()
