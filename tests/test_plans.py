@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -44,6 +48,20 @@ def test_scan_reads_only_needed_columns(spark):
     assert re.search(r"ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>", plan)
 
 
+def test_pandas_functions_run_where_the_package_is_not_installed(tmp_path):
+    script = """
+import sys
+sys.path.insert(0, {repo!r})
+from tickloom.session import build_session
+from tickloom.catalog import load_all
+spark = build_session(master="local[2]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2")
+print("rows", load_all()["ema_first_seed"].run(spark, {sf!r}).count(), load_all()["ingest_accounting"].run(spark, {sf!r}).count())
+""".format(repo=str(Path(__file__).resolve().parents[1]), sf=SF_DIR)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert re.search(r"rows [1-9]\d* 3", done.stdout), done.stderr[-2000:]
+
+
 def test_last_n_is_limited_before_the_shuffle(spark):
     plan = plan_of(M.newest_n(tb.candles(spark, SF_DIR, HOUR_MS), 5))
     assert plan.count("WindowGroupLimit") >= 1

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import bucket, half_up
-from ..schemas import (BLOCK_STEPS, INTERVAL_MS, LISTING_EPOCH_MS, MIN_GAP_MS, MINUTE_MS)
+from ..schemas import (BACKFILL, BLOCK_STEPS, INTERVAL_MS, LISTING_EPOCH_MS, MIN_GAP_MS, MINUTE_MS)
 from .blocks import trailing, with_carry, with_row_index
 
 CANDLE_COLS = ("symbol", "open_time", "open", "high", "low", "close", "volume")
@@ -153,7 +153,7 @@ def detect_gaps(ticks: DataFrame, min_gap_ms: int = MIN_GAP_MS, since_ms: int |
     """
     live = ticks
     if "source" in ticks.columns:
-        live = live.filter(F.col("source").isNull() | (F.col("source") != "backfill"))
+        live = live.filter(F.col("source").isNull() | (F.col("source") != BACKFILL))
     if since_ms is not None:
         live = live.filter(F.col("event_time") >= since_ms)
     points = last_per_step(live.select("symbol", "event_time", "price", order), MINUTE_MS, order)

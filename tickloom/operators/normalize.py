@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import (interval_seconds, normal_interval, normal_symbol, percent_change,
                                  symbol_is_valid)
-from ..schemas import (KLINE, QUOTE_ASSET, RAW_DEPTH, RAW_KLINE, RAW_TICKER, RAW_TRADE)
+from ..schemas import (BACKFILL, EXCHANGE, KLINE, QUOTE_ASSET, RAW_DEPTH, RAW_KLINE, RAW_TICKER, RAW_TRADE)
 from .book import levels
 
 
@@ -182,7 +182,7 @@ def typed_candles(rows: DataFrame) -> DataFrame:
 def synthetic_ticks(klines: DataFrame) -> DataFrame:
     """Backfill ticks from klines: every quote is the close."""
     return klines.select(
-        "symbol", F.lit("binance").alias("exchange"), F.lit("backfill").alias("source"),
+        "symbol", F.lit(EXCHANGE).alias("exchange"), F.lit(BACKFILL).alias("source"),
         F.col("close").alias("price"), F.col("close").alias("bid"), F.col("close").alias("ask"),
         "volume", "quote_volume", percent_change("open", "close").alias("price_change_pct"),
         "trade_count", F.col("kline_start").alias("time"))
@@ -190,7 +190,7 @@ def synthetic_ticks(klines: DataFrame) -> DataFrame:
 
 def tick_points(tickers: DataFrame) -> DataFrame:
     return tickers.select(
-        "symbol", F.lit("binance").alias("exchange"), F.col("close").alias("price"), "bid", "ask",
+        "symbol", F.lit(EXCHANGE).alias("exchange"), F.col("close").alias("price"), "bid", "ask",
         F.col("h24_volume").alias("volume"), F.col("h24_quote_volume").alias("quote_volume"),
         F.col("h24_price_change_pct").alias("price_change_pct"),
         F.col("h24_trade_count").alias("trade_count"), F.col("event_time").alias("time"))
@@ -198,7 +198,7 @@ def tick_points(tickers: DataFrame) -> DataFrame:
 
 def candle_points(klines: DataFrame) -> DataFrame:
     return closed_minutes(klines).select(
-        "symbol", F.lit("binance").alias("exchange"), "interval", "open", "high", "low", "close",
+        "symbol", F.lit(EXCHANGE).alias("exchange"), "interval", "open", "high", "low", "close",
         "volume", "quote_volume", "trade_count", "is_closed", F.col("kline_start").alias("time"))
 
 

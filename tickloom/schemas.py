@@ -81,9 +81,11 @@ INTERVAL_SECONDS = {
 }
 INTERVAL_MS = {label: seconds * 1000 for label, seconds in INTERVAL_SECONDS.items()}
 
-# Validation and quote-asset rules.
+# Validation, quote-asset rules and point tags.
 SYMBOL_PATTERN = "^[A-Z0-9]{1,20}$"
 QUOTE_ASSET = "USDT"
+EXCHANGE = "binance"
+BACKFILL = "backfill"
 BASE_SUFFIXES = ("USDT", "BUSD", "USDC", "BTC", "ETH", "BNB")
 
 # Request bounds, thresholds and retention periods.
