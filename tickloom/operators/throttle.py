@@ -47,24 +47,30 @@ def _block_maps(heartbeat_ms: int):
         # Incoming state is older than the block, so a row at or beyond block start + heartbeat
         # is always due; rows with equal times are reached through the first of them only.
         reach = min(first_change + 1, int(np.searchsorted(times, times[0] + heartbeat_ms)) + 1, n)
-        firsts = [i for i in range(reach) if i == first_change or i == 0 or times[i] > times[i - 1]]
+        firsts = np.array([i for i in range(reach) if i == first_change or i == 0 or times[i] > times[i - 1]])
+        # Neighbouring entries with the same exit collapse into the last of them.
+        firsts = firsts[np.append(last[firsts[1:]] != last[firsts[:-1]], True)]
         return pd.DataFrame({
             "symbol": rows["symbol"].iloc[0], BLOCK: rows[BLOCK].iloc[0],
-            "first_time": times[firsts], "forced": [i == first_change for i in firsts],
-            "exit_time": last[firsts]})
+            "first_time": times[firsts], "forced": firsts == first_change, "exit_time": last[firsts]})
     return reduce
 
 
 def _compose(heartbeat_ms: int):
+    """Walk the block tables of a symbol in time order; gives each block its incoming state."""
     def compose(maps: pd.DataFrame) -> pd.DataFrame:
         maps = maps.sort_values([BLOCK, "first_time", "forced"])
-        state, out = NEVER, []
-        for block, table in maps.groupby(BLOCK, sort=True):
-            out.append((table["symbol"].iloc[0], block, state))
-            hit = table[(table["first_time"] - heartbeat_ms >= state) | table["forced"]]
-            if len(hit):
-                state = int(hit["exit_time"].iloc[0])
-        return pd.DataFrame(out, columns=["symbol", BLOCK, "entry_time"])
+        blocks, entries, state, leaving = [], [], NEVER, NEVER
+        current, found = None, False
+        for block, first, forced, exit_time in zip(
+                *(maps[c].tolist() for c in (BLOCK, "first_time", "forced", "exit_time"))):
+            if block != current:
+                current, found, state = block, False, leaving
+                blocks.append(block)
+                entries.append(state)
+            if not found and (forced or first - heartbeat_ms >= state):
+                leaving, found = exit_time, True
+        return pd.DataFrame({"symbol": maps["symbol"].iloc[0], BLOCK: blocks, "entry_time": entries})
     return compose
 
 
