@@ -435,10 +435,10 @@ def _(spark, d):
 
 
 @query("watchlist_page", "K11", with_views("ticks_many", """SELECT symbol, n FROM (SELECT symbol, count(*) AS n FROM ticks_many GROUP BY symbol)
-    ORDER BY symbol LIMIT 10 OFFSET 20"""))
+    ORDER BY symbol LIMIT 10 OFFSET 10"""))
 def _(spark, d):
     counts = tb.ticks_many(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    return P.page(counts, ["symbol"], 3)
+    return P.page(counts, ["symbol"], 2)
 
 
 @query("preloaded_series", "K13", with_views("c1h", f""", cur AS (SELECT {OHLCV} FROM c1h WHERE open_time >= {NOW}),
