@@ -11,6 +11,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ NEARLY_FULL = 2040
 MERGE_BINS, CARRY = 20_000, 2_000
 #: Texts of these characters only take the word-by-word way: plain ASCII and accented Latin letters, which every step of the
 #: tokeniser treats alike.
+_ASCII = re.compile("[\t\n\r\x20-\x7e]*")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-įı-ňŊ-ž]*")
 _LETTERS = "a-zß-öø-įı-ňŊ-ž"
 #: The tokeniser's own word pattern, for plain texts in lower case.
@@ -33,29 +35,36 @@ _MEMBERS = "array<struct<doc_id:{id},piece:int,start:long,length:long,ids_crc32:
 
 
 class WordTokens(dict):
-    """Token ids (little-endian unsigned 32-bit, as bytes) of a word, remembered for the words of a task."""
+    """Token ids (little-endian unsigned 32-bit, as bytes) of a run of characters between white space, kept for a task.
 
-    WORDS = 400_000
+    No word of the tokeniser spans white space, so a plain text's ids are those of its runs one after the other.
+    """
+
+    RUNS = 600_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, equal to encoding each in one go."""
-        if len(self) > self.WORDS:
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, run: str) -> bytes:
+        ids = []
+        for word in (run,) if run.isalpha() else _PIECES.findall(run):
+            if not word.isascii():
+                word = "".join(w for w, _ in self.bytes.pre_tokenize_str(word))
+            ids += [t.id for t in self.model.tokenize(word)]
+        found = self[run] = pack_ids(f"<{len(ids)}I", *ids)
+        return found
+
+    def of(self, text: str) -> bytes:
+        """Ids of a whole text, equal to encoding it in one go."""
+        if len(self) > self.RUNS:
             self.clear()
-        plain = [t.lower() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        words = [_PIECES.findall(t) if t is not None else None for t in plain]
-        new = list({w for ws in words if ws is not None for w in ws if w not in self})
-        self.update(zip(new, self._ids(new)))
-        rest = iter(self._ids([t for t, ws in zip(texts, words) if ws is None]))
-        get = self.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else next(rest) for ws in words]
+        if "<|" not in text and (_ASCII if text.isascii() else _PLAIN).fullmatch(text):
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def best_fit(loads: np.ndarray, capacity: int) -> np.ndarray:
@@ -126,18 +135,16 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         tokens, loads, members, full = WordTokens(tokenizer), [], [], 0
         for df in frames:
             whole = []
-            for at in range(0, len(df), 100):
-                part = df.iloc[at:at + 100]
-                for d, ids in zip(part["doc_id"], tokens.of([t if t is not None else "" for t in part["text"]])):
-                    ids += b"\0\0\0\0"
-                    for piece, start in enumerate(range(0, len(ids), 4 * LENGTH)):
-                        cut = ids[start:start + 4 * LENGTH]
-                        m = (d, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
-                        if m[3] == LENGTH:
-                            whole.append([m])
-                        else:
-                            loads.append(m[3])
-                            members.append([m])
+            for d, t in zip(df["doc_id"], df["text"]):
+                ids = tokens.of(t if t is not None else "") + b"\0\0\0\0"
+                for piece, start in enumerate(range(0, len(ids), 4 * LENGTH)):
+                    cut = ids[start:start + 4 * LENGTH]
+                    m = (d, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
+                    if m[3] == LENGTH:
+                        whole.append([m])
+                    else:
+                        loads.append(m[3])
+                        members.append([m])
             yield pd.DataFrame({"bin": base + full + np.arange(len(whole)), "load": LENGTH, "final": True, "members": whole})
             full += len(whole)
         yield _emit(loads, members, base + full, False)
