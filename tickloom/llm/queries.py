@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, language, mixing, packing, quality, urls
+from . import jaccard, language, mixing, packing, quality, suffix, urls
 from .common import table
 
 #: The rules every ``pages`` url is judged by.
@@ -45,6 +45,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -61,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_language_id, op4_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
+    f.__name__: f for f in (op1_url_filters, op3_language_id, op4_best_fit_packing, op7_suffix_array_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
 SQL: dict[str, str] = {}
 
 
