@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, language, mixing, packing, quality, suffix, urls
+from . import jaccard, language, lines, mixing, neighbours, packing, pages, quality, suffix, urls
 from .common import table
 
 #: The rules every ``pages`` url is judged by.
@@ -28,9 +28,13 @@ def domain_of(source):
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = urls.fit(urls.weak_labels(pages))
-    return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
+    listed = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.fit(urls.weak_labels(listed))
+    return urls.judge(listed, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +49,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("text").alias("kept_md5"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -65,7 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_language_id, op4_best_fit_packing, op7_suffix_array_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
+    f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_nearest_neighbours, op7_suffix_array_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
 SQL: dict[str, str] = {}
 
 

@@ -172,7 +172,8 @@ def _second_ranks(df: DataFrame, id_type: str) -> DataFrame:
 def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, at, n): starts ``at`` to ``at + n - 1`` of strings of ``LENGTH`` bytes that also start anywhere else.
 
-    Texts are UTF-8 bytes, null is empty; matches never cross documents. Starts may be listed more than once. Ids must be unique.
+    Texts are UTF-8 bytes, null is empty; matches never cross documents. Starts may be listed more than once. Ids should be unique:
+    a start is told by its id, so rows that repeat an id share what is found.
     """
     small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[doc_id]
@@ -215,8 +216,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     continue
                 edge = np.zeros(len(data) + 1, np.int64)
                 for x in found:
-                    edge[x["at"]] += 1
-                    edge[x["at"] + x["n"] + LENGTH - 1] -= 1
+                    edge[min(x["at"], len(data))] += 1
+                    edge[min(x["at"] + x["n"] + LENGTH - 1, len(data))] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
                 kept = data[~gone].tobytes()
