@@ -34,6 +34,32 @@ def test_shared_dir_follows_the_session(spark):
     assert fresh_dir(spark, "x").startswith(shared_dir(spark)) and fresh_dir(spark, "x") != fresh_dir(spark, "x")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_dir(Session())
+
+
+def test_compaction_sizes_by_all_bytes(spark):
+    path = fresh_dir(spark, "test-compact-big")
+    big = lake.with_day(klines(spark, [T0 + i * 1000 for i in range(60_000)], interval="1s"), "kline_start").withColumn("close", F.rand(3)).withColumn("high", F.rand(4))
+    big.coalesce(1).write.partitionBy("dt").parquet(path)
+    for i in range(6):
+        lake.with_day(klines(spark, [T0 + i]), "kline_start").coalesce(1).write.mode("append").partitionBy("dt").parquet(path)
+    J.compact(spark, path, target_bytes=200_000)
+    files = lake.data_files(spark, path).select("bytes").collect()
+    assert len(files) > 3 and max(r["bytes"] for r in files) < 600_000
+    assert spark.read.parquet(path).count() == 60_006
+
+
 def test_retention_drops_rewrites_and_leaves_days(spark):
     minutes = klines(spark, [T0 + d * DAY_MS + h * 3_600_000 for d in range(4) for h in range(24)])
     keep = klines(spark, [T0 + DAY_MS], interval="1h").unionByName(klines(spark, [T0 + DAY_MS + 60_000], closed=False))

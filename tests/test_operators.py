@@ -180,7 +180,7 @@ def test_book_values(spark):
     a, b = sorted(as_dicts(B.spread_percent(B.book_features(books))), key=lambda r: r["symbol"])
     assert (a["best_bid"], a["best_ask"], a["spread"], a["spread_pct"]) == (100.0, 101.0, 1.0, 0.99)
     assert (b["best_bid"], b["spread"], b["spread_pct"], b["bid_depth"]) == (0.0, 0.0, 0.0, 0)
-    curve = {(r["symbol"], r["side"], r["level"]): (r["total"], r["depth_pct"]) for r in as_dicts(B.depth_curve(books))}
+    curve = {(r["symbol"], r["side"], r["level"]): (r["total"], r["depth_pct"]) for r in as_dicts(B.depth_curve(B.level_rows(books)))}
     assert curve[("A", "bid", 1)] == (1.0, 1.0 / 3.0 * 100) and curve[("A", "bid", 2)] == (3.0, 100.0)
 
 
@@ -192,11 +192,36 @@ def test_recent_trades_follow_the_newer_price(spark):
     assert [(r["time"], r["side"]) for r in out] == [(2000, "buy"), (3000, "sell"), (4000, "buy")]
 
 
-def test_live_base_rows_guard(spark):
-    bars = candle_frame(spark, [(i * 60_000, 1.0, 1.0, 1.0, float(i), 1.0) for i in range(600)])
-    now = 600 * 60_000
-    assert P.recent_klines("1m", 1500, now, bars).count() == 600
-    assert P.recent_klines("1m", 1500, now, bars, base_rows=100).count() == 100
+def test_every_hour_comes_from_one_tier(spark):
+    hour = 3_600_000
+    minutes = candle_frame(spark, [(i * 60_000, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(60)])
+    hourly = candle_frame(spark, [(h * hour, 1.0, 1.0, 1.0, 1.0, 60.0) for h in range(2)])
+    out = {r["open_time"]: r["volume"] for r in as_dicts(P.recent_klines("1h", 10, 400 * 86_400_000, minutes, cold=minutes, hourly=hourly, end_ms=2 * hour))}
+    assert out == {0: 60.0, hour: 60.0}
+
+
+def test_long_series_are_not_capped(spark):
+    week = 7 * 86_400_000
+    hourly = candle_frame(spark, [(h * 3_600_000, 1.0, 1.0, 1.0, 1.0, 1.0) for h in range(17_000)])
+    none = hourly.limit(0)
+    assert P.recent_klines("1w", 100, 4000 * 86_400_000, none, cold=none, hourly=hourly, end_ms=200 * week).count() == 100
+    current = candle_frame(spark, [(20_000 * 3_600_000, 1.0, 1.0, 1.0, 1.0, 1.0)])
+    assert P.extend_to(current, hourly, 900).count() == 1 + 919
+    assert M.apply_live(hourly, current, "1s").count() == 17_001
+    assert M.poll_merge(hourly, current, "1h").count() == 17_001
+
+
+def test_stale_seconds_count_after_repeats_are_removed(spark):
+    rows = candle_frame(spark, [(s * 1000, 1.0, 1.0, 1.0, 1.0, float(r), r) for s in range(100) for r in range(10)], ", seq long")
+    assert P.recent_seconds(rows, 50, 10_000_000).count() == 50
+
+
+def test_deep_books_keep_every_level(spark):
+    levels = spark.createDataFrame([("A", 1, "bid" if i % 2 else "ask", i // 2 + 1, 100.0 + i, 1.0, i) for i in range(100)],
+                                   "symbol string, event_time long, side string, level long, price double, qty double, update_id long")
+    (row,) = as_dicts(B.level_features(levels))
+    assert (row["bid_depth"], row["ask_depth"], row["last_update_id"]) == (50, 50, 99)
+    assert B.depth_curve(levels).agg(F.max("total")).first()[0] == 50.0
 
 
 def test_page_is_clamped(spark):

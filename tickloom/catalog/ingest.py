@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..operators import normalize as N
+from ..operators.book import level_rows
 from ..operators.merge import latest_per_symbol
 from ..plans.serving import in_range
 from ..schemas import HOUR_MS, KLINE, MINUTE_MS, TRADE
@@ -22,16 +23,6 @@ def settled(klines: DataFrame) -> DataFrame:
     return klines.withColumn("quote_volume", F.round("quote_volume", 4))
 
 
-def level_rows(books: DataFrame) -> DataFrame:
-    """One row per book level."""
-    def side(name: str, label: str) -> DataFrame:
-        return books.select("symbol", "event_time", "last_update_id", F.lit(label).alias("side"),
-                            F.posexplode(name).alias("pos", "lv")).select(
-            "symbol", "event_time", "last_update_id", "side", (F.col("pos") + 1).cast("bigint").alias("level"),
-            F.col("lv.price").alias("price"), F.col("lv.qty").alias("qty"))
-    return side("bids", "bid").unionByName(side("asks", "ask"))
-
-
 def trades(spark, d) -> DataFrame:
     return tb.ticks(spark, d).select(
         "event_time", "symbol", F.col("seq").alias("agg_trade_id"), "price",

@@ -9,7 +9,7 @@ from ..plans import serving as P
 from ..schemas import DAY_MS, HOUR_MS, INTERVAL_MS, MINUTE_MS
 from ..sources import tables as tb
 from .bars import _GAPS, _POINTS
-from .ingest import all_klines, level_rows
+from .ingest import all_klines
 from .registry import OHLCV, query, with_views
 
 CUT, NOW = tb.CUTOFF_MS, tb.NOW_MS
@@ -146,8 +146,7 @@ def _(spark, d):
 
 
 @query("live_update_1s", "D11 K12", with_views("cold latest", f""", {_LIVE.format(op='>')} SELECT {OHLCV} FROM (
-    SELECT {OHLCV} FROM accepted UNION ALL SELECT {OHLCV} FROM cold)
-    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 120"""))
+    SELECT {OHLCV} FROM accepted UNION ALL SELECT {OHLCV} FROM cold)"""))
 def _(spark, d):
     return M.apply_live(tb.cold(spark, d, HOUR_MS), _live(spark, d, HOUR_MS), "1s")
 
@@ -160,10 +159,15 @@ def _(spark, d):
     return M.change_only(rows, "seq", block_ms=1000)
 
 
-@query("metadata_override", "D13", with_views("meta_old meta_new", """SELECT base, coalesce(n.name, o.name) AS name
-    FROM meta_old o FULL JOIN meta_new n USING (base)"""))
+@query("metadata_override", "D13", """SELECT CAST(c_custkey AS VARCHAR) AS base,
+    CASE WHEN c_acctbal > 0 THEN c_name || ' (' || c_mktsegment || ')' ELSE c_name END AS name FROM customer
+    WHERE c_custkey % 3 <> 0 OR c_acctbal > 0""")
 def _(spark, d):
-    return M.override_metadata(*tb.symbol_metadata(spark))
+    # Names known before, and fresher ones for a part of the assets, some of them new.
+    named = tb.load(spark, d, "customer").withColumn("base", F.col("c_custkey").cast("string"))
+    fallback = named.filter("c_custkey % 3 <> 0").select("base", F.col("c_name").alias("name"))
+    fresh = named.filter("c_acctbal > 0").select("base", F.format_string("%s (%s)", "c_name", "c_mktsegment").alias("name"))
+    return M.override_metadata(fallback, fresh)
 
 
 @query("idempotent_append", "D14", with_views("hot cold", f"SELECT {OHLCV} FROM hot ANTI JOIN cold USING (symbol, open_time)"))
@@ -306,7 +310,8 @@ def _(spark, d):
     coalesce(bid1, 0) AS best_bid, coalesce(ask1, 0) AS best_ask,
     CASE WHEN bid_depth > 0 AND ask_depth > 0 THEN {_round8('ask1 - bid1')} ELSE 0 END AS spread FROM newest_book"""))
 def _(spark, d):
-    return B.book_features(B.latest_book(tb.books(spark, d))).drop("bids", "asks")
+    features = B.level_features(tb.book_levels(spark, d)).drop("spread_pct")
+    return M.latest_per_symbol(features.withColumn("_at", F.col("event_time")), "_at").drop("_at")
 
 
 @query("all_book_features", "B2 B3", with_views("books", f"""SELECT symbol, event_time, bid_depth, ask_depth,
@@ -314,15 +319,14 @@ def _(spark, d):
     CASE WHEN bid_depth > 0 AND ask_depth > 0 THEN floor((ask1 - bid1) / ask1 * 100 * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE ELSE 0 END AS spread_pct
     FROM books"""))
 def _(spark, d):
-    rows = B.spread_percent(B.book_features(tb.books(spark, d)))
-    return rows.select("symbol", "event_time", "bid_depth", "ask_depth", "spread", "spread_pct")
+    return B.level_features(tb.book_levels(spark, d)).select("symbol", "event_time", "bid_depth", "ask_depth", "spread", "spread_pct")
 
 
 @query("latest_books", "B5", with_views("books levels", f""", {LATEST_BOOK} SELECT l.symbol, event_time, last_update_id,
     CASE WHEN status = 'O' THEN 'bid' ELSE 'ask' END AS side, level, price, qty
     FROM levels l JOIN newest_book USING (symbol, event_time)"""))
 def _(spark, d):
-    return level_rows(B.latest_book(tb.books(spark, d)))
+    return B.level_rows(B.latest_book(tb.books(spark, d)))
 
 
 @query("depth_curve", "W11 W12", with_views("levels", """SELECT symbol, event_time, CASE WHEN status = 'O' THEN 'bid' ELSE 'ask' END AS side, level,
@@ -330,7 +334,7 @@ def _(spark, d):
     sum(qty) OVER (PARTITION BY symbol, event_time, status ORDER BY level) / sum(qty) OVER (PARTITION BY symbol, event_time, status) * 100 AS depth_pct
     FROM levels"""))
 def _(spark, d):
-    return B.depth_curve(tb.books(spark, d))
+    return B.depth_curve(tb.book_levels(spark, d))
 
 
 # -------------------------------------------------------------------------- served queries
@@ -372,6 +376,8 @@ def _(spark, d):
 
 
 BASE = f"""base AS (SELECT {OHLCV} FROM hot1m WHERE open_time >= {CUT} UNION ALL SELECT {OHLCV} FROM cold1m WHERE open_time < {CUT})"""
+# The minutes of the scroll case: every third hour has none, so its bar comes from the hourly table.
+_HOLES = f"(open_time // {HOUR_MS}) % 3 <> 0"
 
 
 @query("base_minutes", "K5", with_views("hot1m cold1m", f""", {BASE}, part AS (SELECT * FROM base WHERE open_time < {NOW}),
@@ -386,7 +392,7 @@ _SECONDS = _FLAT.format(step=1000)
 
 @query("recent_seconds", "K6", with_views("ticks", f""", {_SECONDS}, s AS (SELECT * FROM flat WHERE symbol <> 'VIEWUSDT' OR open_time < {NOW - DAY_MS}),
     fresh AS (SELECT * FROM s WHERE open_time >= {NOW - 3602 * 1000}),
-    stale AS (SELECT * FROM s ANTI JOIN fresh USING (symbol) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC, seq DESC) <= 3602),
+    stale AS (SELECT * FROM s ANTI JOIN fresh USING (symbol)),
     best AS (SELECT * FROM (SELECT * FROM fresh UNION ALL SELECT * FROM stale) QUALIFY row_number() OVER (PARTITION BY symbol, open_time ORDER BY volume DESC, seq) = 1)
     SELECT {OHLCV} FROM best QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 3600"""))
 def _(spark, d):
@@ -408,14 +414,15 @@ def _(spark, d):
     return P.recent_klines(" 4H ", 40, NOW, tb.hot(spark, d, MINUTE_MS), tickers=tb.latest_tickers(spark, d))
 
 
-@query("scroll_klines_1h", "K8 K5 J8", with_views("hot1m cold1m c1h", f""", {BASE}, rows AS (SELECT * FROM base WHERE open_time < {NOW}),
-    counts AS (SELECT symbol, count(*) AS n FROM rows GROUP BY symbol), extra AS (SELECT {OHLCV} FROM c1h JOIN counts USING (symbol)
-      WHERE open_time < {NOW} AND n < 1500 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 1501),
-    merged AS (SELECT {OHLCV} FROM extra UNION ALL SELECT {OHLCV} FROM rows ANTI JOIN extra USING (symbol, open_time)),
+@query("scroll_klines_1h", "K8 K5 J8", with_views("hot1m cold1m c1h", f""", {BASE}, rows AS (SELECT * FROM base WHERE open_time < {NOW} AND {_HOLES}),
+    hours AS (SELECT DISTINCT symbol, open_time - open_time % {HOUR_MS} AS open_time FROM rows),
+    merged AS (SELECT {OHLCV} FROM rows UNION ALL
+      SELECT symbol, open_time, open, high, low, close, volume + 7 FROM c1h ANTI JOIN hours USING (symbol, open_time) WHERE open_time < {NOW}),
     {_bars('merged', HOUR_MS)} {_newest(1500, 'bars')}"""))
 def _(spark, d):
-    return P.recent_klines("1h", 1500, NOW, tb.hot(spark, d, MINUTE_MS), cold=tb.cold(spark, d, MINUTE_MS),
-                           hourly=hourly(spark, d), end_ms=NOW, retention_ms=NOW - CUT)
+    hot, cold = (tier(spark, d, MINUTE_MS).filter(f"(open_time div {HOUR_MS}) % 3 <> 0") for tier in (tb.hot, tb.cold))
+    return P.recent_klines("1h", 1500, NOW, hot, cold=cold, end_ms=NOW, retention_ms=NOW - CUT,
+                           hourly=hourly(spark, d).withColumn("volume", F.col("volume") + 7))
 
 
 @query("historical_klines_1d", "K9 J8", with_views("hot1m cold1m c1h", f""", {BASE}, part AS (SELECT * FROM base
@@ -435,16 +442,16 @@ def _(spark, d):
 
 
 @query("watchlist_page", "K11", with_views("ticks_many", """SELECT symbol, n FROM (SELECT symbol, count(*) AS n FROM ticks_many GROUP BY symbol)
-    ORDER BY symbol LIMIT 10 OFFSET 10"""))
+    QUALIFY row_number() OVER (ORDER BY symbol) > (count(*) OVER () - 1) // 10 * 10"""))
 def _(spark, d):
     counts = tb.ticks_many(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    return P.page(counts, ["symbol"], 2)
+    return P.page(counts, ["symbol"], 9_999)
 
 
 @query("preloaded_series", "K13", with_views("c1h", f""", cur AS (SELECT {OHLCV} FROM c1h WHERE open_time >= {NOW}),
     have AS (SELECT symbol, count(*) AS n, min(open_time) AS first FROM cur GROUP BY symbol),
     older AS (SELECT {OHLCV} FROM c1h JOIN have USING (symbol) WHERE n < 50 AND open_time < first
-      QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= least(greatest(50 - n + 20, 50), 500))
+      QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= greatest(50 - n + 20, 50))
     SELECT * FROM cur UNION ALL SELECT * FROM older"""))
 def _(spark, d):
     return P.extend_to(hourly(spark, d).filter(F.col("open_time") >= NOW), hourly(spark, d), 50)

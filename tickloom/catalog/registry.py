@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import DAY_MS, HOUR_MS, MINUTE_MS
-from ..sources.tables import CUTOFF_MS, DEPTH_LEVELS, NOW_MS, OVERLAP_MS
+from ..sources.tables import CUTOFF_MS, NOW_MS, OVERLAP_MS
 
 
 @dataclass(frozen=True)
@@ -84,12 +84,11 @@ _CTES = {
     "latest": """SELECT symbol, close AS price, bid, ask, h24_volume AS volume,
         h24_price_change_pct AS change24h, event_time FROM tickers
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) = 1""",
-    "levels": f"""SELECT symbol, event_time, status, price, qty, okey,
+    "levels": """SELECT symbol, event_time, status, price, qty, okey,
         row_number() OVER (PARTITION BY symbol, event_time, status ORDER BY sign * price, sign * qty, okey) AS level
         FROM (SELECT 'S' || l_suppkey AS symbol, epoch_us(l_shipdate) // 1000 AS event_time, l_linestatus AS status,
               l_extendedprice / l_quantity AS price, l_quantity AS qty, l_orderkey AS okey,
-              CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END AS sign FROM lineitem)
-        QUALIFY level <= {DEPTH_LEVELS}""",
+              CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END AS sign FROM lineitem)""",
     "books": """SELECT symbol, event_time, max(okey) AS last_update_id,
         count(*) FILTER (WHERE status = 'O') AS bid_depth, count(*) FILTER (WHERE status = 'F') AS ask_depth,
         max(price) FILTER (WHERE status = 'O') AS bid1, min(price) FILTER (WHERE status = 'F') AS ask1

@@ -43,30 +43,42 @@ def spread_percent(books: DataFrame) -> DataFrame:
     return books.withColumn("spread_pct", F.when(both, half_up(pct, 3)).otherwise(F.lit(0.0)))
 
 
-def depth_curve(books: DataFrame, keys=("symbol", "event_time")) -> DataFrame:
+def level_rows(books: DataFrame) -> DataFrame:
+    """One row per level of books held as arrays."""
+    def side(name: str, label: str) -> DataFrame:
+        return books.select("symbol", "event_time", "last_update_id", F.lit(label).alias("side"),
+                            F.posexplode(name).alias("pos", "lv")).select(
+            "symbol", "event_time", "last_update_id", "side", (F.col("pos") + 1).cast("bigint").alias("level"),
+            F.col("lv.price").alias("price"), F.col("lv.qty").alias("qty"))
+    return side("bids", "bid").unionByName(side("asks", "ask"))
+
+
+def level_features(levels: DataFrame) -> DataFrame:
+    """Depth, best prices and spread of each book from its level rows; partly aggregated before the shuffle."""
+    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
+    sides = levels.groupBy("symbol", "event_time").agg(
+        F.max("update_id").alias("last_update_id"),
+        F.count_if(bid).alias("bid_depth"), F.count_if(ask).alias("ask_depth"),
+        F.coalesce(F.max(F.when(bid, F.col("price"))), F.lit(0.0)).alias("best_bid"),
+        F.coalesce(F.min(F.when(ask, F.col("price"))), F.lit(0.0)).alias("best_ask"))
+    both = (F.col("bid_depth") > 0) & (F.col("ask_depth") > 0)
+    gap = F.col("best_ask") - F.col("best_bid")
+    return sides.withColumns({
+        "spread": F.when(both, half_up(gap, 8)).otherwise(F.lit(0.0)),
+        "spread_pct": F.when(both, half_up(gap / F.col("best_ask") * 100, 3)).otherwise(F.lit(0.0))})
+
+
+def depth_curve(levels: DataFrame, keys=("symbol", "event_time")) -> DataFrame:
     """Levels of both sides with their running total and its share of the side, in percent.
 
-    The running sum stays inside the row's own array (a snapshot has a fixed number of levels), so
-    nothing is shuffled.
+    Works on level rows (side, level, price, qty): one shuffle by book and side, however deep a book is.
     """
-    zero = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("totals"))
-
-    def add(acc: Column, lv: Column) -> Column:
-        total = acc["total"] + lv["qty"]
-        return F.struct(total.alias("total"), F.concat(acc["totals"], F.array(total)).alias("totals"))
-
-    def side(name: str, label: str) -> Column:
-        return F.struct(F.lit(label).alias("side"), F.col(name).alias("levels"),
-                        F.aggregate(name, zero, add, lambda acc: acc["totals"]).alias("totals"))
-
-    rows = (books.select(*keys, F.explode(F.array(side("bids", "bid"), side("asks", "ask"))).alias("s"))
-            .select(*keys, "s.side", "s.totals", F.posexplode("s.levels").alias("pos", "lv")))
-    total = half_up(F.col("totals")[F.col("pos")], 4)
-    last = half_up(F.element_at("totals", -1), 4)
-    return rows.select(
-        *keys, "side", (F.col("pos") + 1).cast("bigint").alias("level"), F.col("lv.price").alias("price"),
-        half_up(F.col("lv.qty"), 4).alias("amount"), total.alias("total"),
-        (total / last * 100).alias("depth_pct"))
+    side = W.partitionBy(*keys, "side")
+    running = side.orderBy("level").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = levels.withColumns({"_total": half_up(F.sum("qty").over(running), 4),
+                               "_last": half_up(F.sum("qty").over(side), 4)})
+    return rows.select(*keys, "side", "level", "price", half_up(F.col("qty"), 4).alias("amount"),
+                       F.col("_total").alias("total"), (F.col("_total") / F.col("_last") * 100).alias("depth_pct"))
 
 
 def synthetic_book(tickers: DataFrame) -> DataFrame:

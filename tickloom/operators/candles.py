@@ -99,12 +99,12 @@ def last_per_step(ticks: DataFrame, step_ms: int = MINUTE_MS, order: str = "seq"
             .agg(F.max_by("price", F.col(order)).alias("price")))
 
 
-def high_watermarks(symbols: DataFrame, klines: DataFrame) -> DataFrame:
-    """Next open time to import per symbol: after its newest minute, else the listing epoch."""
+def high_watermarks(symbols: DataFrame, klines: DataFrame, unknown_ms: int | None = LISTING_EPOCH_MS) -> DataFrame:
+    """Next open time to import per symbol: after its newest minute, ``unknown_ms`` for a symbol without one."""
     newest = (klines.filter(F.col("interval") == "1m").groupBy("symbol")
               .agg((F.max("kline_start") + MINUTE_MS).alias("start_ms")))
     return (symbols.select("symbol").join(newest, "symbol", "left")
-            .select("symbol", F.coalesce("start_ms", F.lit(LISTING_EPOCH_MS)).alias("start_ms")))
+            .select("symbol", F.coalesce("start_ms", F.lit(unknown_ms).cast("bigint")).alias("start_ms")))
 
 
 def first_available(symbols: DataFrame, klines: DataFrame) -> DataFrame:

@@ -76,14 +76,12 @@ def newest_n(df: DataFrame, n: int, order: str | Sequence[str] = "open_time") ->
 
 def poll_merge(current: DataFrame, polled: DataFrame, interval: str,
                max_bars: int | None = None) -> DataFrame:
-    """Incremental poll: refresh changed bars, append newer ones, keep the newest ``max_bars``.
+    """Incremental poll: refresh changed bars, append newer ones; ``max_bars`` keeps only the newest.
 
     The newest bar of a minute-or-longer chart is left to the live feed. A polled bar that only
     fills a hole in the past is ignored, and so is one with nothing but a new open.
     """
     one_second = interval == "1s"
-    if max_bars is None:
-        max_bars = 120 if one_second else 10_000
     values = ("open", "high", "low", "close", "volume")
     newest = current.groupBy("symbol").agg(F.max("open_time").alias("_newest"))
     old = current.select(*KEY, F.struct(*values).alias("old"))
@@ -98,20 +96,23 @@ def poll_merge(current: DataFrame, polled: DataFrame, interval: str,
            .when(F.col("new").isNotNull() & changed & authoritative, F.col("new"))
            .otherwise(F.col("old")))
     merged = both.select(*KEY, row.alias("_row")).filter(F.col("_row").isNotNull())
-    return newest_n(merged.select(*KEY, "_row.*"), max_bars)
+    bars = merged.select(*KEY, "_row.*")
+    return bars if max_bars is None else newest_n(bars, max_bars)
 
 
 def apply_live(current: DataFrame, live: DataFrame, interval: str,
                max_bars: int | None = None) -> DataFrame:
-    """Apply one pushed candle per symbol: 1s only appends; longer bars also replace the newest."""
+    """Apply one pushed candle per symbol: 1s only appends; longer bars also replace the newest.
+
+    ``max_bars`` keeps only the newest bars of a symbol.
+    """
     one_second = interval == "1s"
-    if max_bars is None:
-        max_bars = 120 if one_second else 10_000
     newest = current.groupBy("symbol").agg(F.max("open_time").alias("_newest"))
     t, last = F.col("open_time"), F.col("_newest")
     accepted = (live.join(newest, "symbol")
                 .filter(t > last if one_second else t >= last).drop("_newest"))
-    return newest_n(priority_merge(current, accepted), max_bars)
+    bars = priority_merge(current, accepted)
+    return bars if max_bars is None else newest_n(bars, max_bars)
 
 
 def change_only(rows: DataFrame, order: str, block_ms: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.merge import only_new, priority_merge
 from ..operators.normalize import candle_points, synthetic_ticks, tradable_symbols
 from ..operators.sizing import small_side
 from ..schemas import (CACHE_RETENTION_MS, DAY_MS, GAP_LOOKBACK_MS, HISTORY_TRIM_MS, HOUR_MS,
-                       MIN_GAP_MS, MIN_INPUT_FILES, MINUTE_MS, POPULATE_DAYS, POPULATE_SYMBOLS,
+                       MIN_GAP_MS, MIN_INPUT_FILES, MINUTE_MS, POPULATE_DAYS,
                        STORE_RETENTION_MS, TARGET_FILE_BYTES)
 from ..sources.lake import (SORT_ORDER, append_sorted, data_files, drop_days, overwrite_days,
                             table_exists, with_day)
@@ -87,8 +87,8 @@ def compact(spark: SparkSession, path: str, sort: tuple[str, ...] = SORT_ORDER["
     The rows are range-partitioned by (day, sort) into as many tasks as target-size files are
     needed, so big days and hot symbols split and every file covers one stretch of the order.
     """
-    small = (data_files(spark, path).filter(F.col("bytes") < target_bytes).groupBy("dt")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    small = (data_files(spark, path).groupBy("dt")
+             .agg(F.count_if(F.col("bytes") < target_bytes).alias("n"), F.sum("bytes").alias("bytes"))
              .filter(F.col("n") >= min_files).select(F.col("dt").cast("string").alias("dt"), "bytes").collect())
     if not small:
         return 0
@@ -122,18 +122,23 @@ def import_rows(symbols: DataFrame, source: DataFrame, target: DataFrame | None,
                 full: bool = False) -> DataFrame:
     """Source klines to append: per symbol from its start up to the last whole minute.
 
-    The start is the table's high watermark, or for a full import the first available time. Rows
-    already stored are left out, so a rerun adds nothing.
+    The start is the table's high watermark, or for a full import and for a symbol not yet stored
+    the first available time. Rows already stored are left out, so a rerun adds nothing; only the
+    days that the new rows touch are read for that.
     """
     end = now_ms - now_ms % MINUTE_MS
     if full or target is None:
         starts = first_available(symbols, source)
     else:
-        starts = high_watermarks(symbols, target)
+        starts = high_watermarks(symbols, target, unknown_ms=None)
     rows = (source.filter(F.col("kline_start") < end).join(small_side(starts), "symbol")
-            .filter(F.col("kline_start") >= F.col("start_ms")).drop("start_ms"))
+            .filter(F.col("start_ms").isNull() | (F.col("kline_start") >= F.col("start_ms"))).drop("start_ms"))
     keys = ["symbol", "interval", "kline_start"]
-    return rows.dropDuplicates(keys) if target is None else only_new(rows, target, keys)
+    if target is None:
+        return rows.dropDuplicates(keys)
+    span = rows.agg(F.min("kline_start").alias("lo"), F.max("kline_start").alias("hi")).first()
+    stored = target if span["lo"] is None else in_range(target, span["lo"], span["hi"] + 1, "kline_start")
+    return only_new(rows, stored, keys)
 
 
 def import_klines(spark: SparkSession, symbols: DataFrame, source: DataFrame, path: str, now_ms: int,
@@ -155,8 +160,8 @@ def backfill_points(ticks: DataFrame, history: DataFrame, now_ms: int,
 
 
 def populate_points(symbols: DataFrame, source: DataFrame, now_ms: int, days: int = POPULATE_DAYS,
-                    first: int = POPULATE_SYMBOLS) -> DataFrame:
-    """Candle points of the last ``days`` for the first tradable symbols."""
+                    first: int | None = None) -> DataFrame:
+    """Candle points of the last ``days`` for the tradable symbols, or the ``first`` ones of them."""
     wanted = tradable_symbols(symbols, first=first)
     recent = source.filter((F.col("kline_start") >= now_ms - days * DAY_MS) & (F.col("kline_start") < now_ms))
     return candle_points(recent.join(small_side(wanted), "symbol", "left_semi"))

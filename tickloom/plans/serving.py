@@ -83,7 +83,7 @@ def stored_minutes(klines: DataFrame) -> DataFrame:
 
 
 def recent_seconds(payloads: DataFrame, limit: int, now_ms: int, end_ms: int | None = None) -> DataFrame:
-    """One-second candles: the look-back window, else (per symbol) its newest rows.
+    """One-second candles: the look-back window, else (per symbol) its newest seconds.
 
     A repeated second keeps the row with the highest volume.
     """
@@ -92,8 +92,7 @@ def recent_seconds(payloads: DataFrame, limit: int, now_ms: int, end_ms: int | N
         return newest_n(best_by_volume(in_range(payloads, end_ms - need * 1000, end_ms)), limit)
     since = now_ms - max(need * 1000, 120_000)
     recent = in_range(payloads, since)
-    stale = newest_n(payloads, need, ("open_time", "seq")).join(
-        recent.select("symbol").distinct(), "symbol", "left_anti")
+    stale = payloads.join(recent.select("symbol").distinct(), "symbol", "left_anti")
     return newest_n(best_by_volume(recent.unionByName(stale)), limit)
 
 
@@ -117,35 +116,32 @@ def base_minutes(hot: DataFrame, cold: DataFrame | None, step_ms: int, limit: in
     return priority_merge(older.unionByName(unknown), recent)
 
 
+def fill_hours(minutes: DataFrame, hourly: DataFrame) -> DataFrame:
+    """The minutes, and the hourly rows of those hours of a symbol that have no minute."""
+    known = minutes.select("symbol", (F.col("open_time") - F.col("open_time") % HOUR_MS).alias("open_time")).distinct()
+    return minutes.unionByName(hourly.join(known, ["symbol", "open_time"], "left_anti"))
+
+
 def recent_klines(interval: str, limit: int, now_ms: int, hot: DataFrame, cold: DataFrame | None = None,
                   tickers: DataFrame | None = None, hourly: DataFrame | None = None,
-                  end_ms: int | None = None, base_rows: int | None = None,
+                  end_ms: int | None = None,
                   retention_ms: int = STORE_RETENTION_MS["1m"]) -> DataFrame:
     """Newest ``limit`` bars per symbol; with ``end_ms`` the ones before it (scroll-back).
 
     Live bars (no ``end_ms``) come from the hot tier alone and, above one minute, follow the latest
-    ticker. Scroll-back reads both tiers and, for symbols too sparse for an hourly or longer
-    interval, the hourly table. ``base_rows`` optionally limits the one-minute rows behind a live
-    answer and their look-back, as a latency guard; the whole hot tier is used by default.
+    ticker. Scroll-back reads both tiers and, for an hourly or longer interval, the hourly table in
+    those hours of a symbol that have no minutes: every hour comes from one tier.
     """
     checked_limit(limit, MAX_KLINES)
     step = interval_ms(interval)
     label = interval.strip().lower()
     if end_ms is None:
         rows = in_range(hot, now_ms - retention_ms)
-        if base_rows is not None:
-            hours = max(base_rows * 60 // 3600 + 2, 1)
-            rows = newest_n(look_back(hot, hours, now_ms, retention_ms=retention_ms), base_rows)
     else:
         cutoff = now_ms - retention_ms
         rows = base_minutes(hot, cold, step, limit, end_ms, cutoff)
         if hourly is not None and label in HOURLY_FALLBACK:
-            hours = max(step // HOUR_MS, 1)
-            enough = max(limit, hours * 8)
-            counts = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-            dense = counts.filter(F.col("n") >= enough).select("symbol")
-            extra = newest_n(in_range(hourly, None, end_ms), min(limit * hours + hours, 5000))
-            rows = priority_merge(rows, extra.join(dense, "symbol", "left_anti"))
+            rows = fill_hours(rows, in_range(hourly, None, end_ms))
     bars = rows if step <= MINUTE_MS else resample(rows, step)
     if end_ms is not None:
         bars = in_range(bars, None, end_ms)
@@ -189,11 +185,11 @@ def extend_to(current: DataFrame, history: DataFrame, required: int) -> DataFram
     """Extend series shorter than ``required`` bars backwards from their first bar."""
     series = current.groupBy("symbol").agg(F.count(F.lit(1)).alias("_have"), F.min("open_time").alias("_first"))
     short = series.filter(F.col("_have") < required).withColumn(
-        "_fetch", F.least(F.greatest(F.lit(required) - F.col("_have") + 20, F.lit(required)), F.lit(500)))
+        "_fetch", F.greatest(F.lit(required) - F.col("_have") + 20, F.lit(required)))
     older = history.join(small_side(short), "symbol").filter(F.col("open_time") < F.col("_first"))
-    # The fetch size differs per symbol but never exceeds 500, which bounds the shuffle.
+    # The fetch size differs per symbol but never exceeds this, which bounds the shuffle.
     w = W.partitionBy("symbol").orderBy(F.col("open_time").desc())
-    picked = newest_n(older, 500).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_fetch"))
+    picked = newest_n(older, required + 20).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_fetch"))
     return prepend_older(current, picked.select(*current.columns))
 
 

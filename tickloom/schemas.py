@@ -101,7 +101,7 @@ STORE_RETENTION_MS = {"1s": 7 * DAY_MS, "1m": 90 * DAY_MS}
 CACHE_RETENTION_MS = {"1s": DAY_MS, "1m": 7 * DAY_MS}
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 MIN_INPUT_FILES = 5
-POPULATE_DAYS, POPULATE_SYMBOLS = 90, 400
+POPULATE_DAYS = 90
 
 # Windows of the candle operators are cut into blocks of this many steps, so that the longest
 # series of one symbol is spread over many tasks (see operators/blocks.py).

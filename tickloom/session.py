@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,16 @@ def build_session(app: str = "tickloom", master: str | None = None, **conf) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only when none is set."""
+    """The folder the cluster names for checkpoints.
+
+    A local session without one gets a temporary folder. On a cluster that is an error: executors
+    would write to their own disks.
+    """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder when the master is {master}")
         base = tempfile.mkdtemp(prefix="tickloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)

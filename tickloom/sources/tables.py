@@ -101,35 +101,34 @@ def latest_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("h24_price_change_pct").alias("change24h"), "event_time")
 
 
-DEPTH_LEVELS = 20
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as book levels: 'O' lines are bids, 'F' lines asks; ``p``, ``q`` sort best first on either side."""
+    sign = F.when(F.col("l_linestatus") == "O", F.lit(-1.0)).otherwise(F.lit(1.0))
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return load(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
+        to_ms("l_shipdate").alias("event_time"),
+        F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"),
+        price.alias("price"), F.col("l_quantity").alias("qty"), F.col("l_orderkey").alias("update_id"),
+        (price * sign).alias("p"), (F.col("l_quantity") * sign).alias("q"))
+
+
+def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every level of every book as a row, numbered from the best one of its side."""
+    w = W.partitionBy("symbol", "event_time", "side").orderBy("p", "q", "update_id")
+    return _quoted(spark, sf_dir).withColumn("level", F.row_number().over(w).cast("bigint")).drop("p", "q")
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One book per supplier and ship date: 'O' lines are bids (best = highest), 'F' lines asks.
+    """One book per supplier and ship date as a message carries it: whole sides, best levels first."""
+    rank = F.struct("p", "q", "update_id", "price", "qty")
 
-    A snapshot shows the best ``DEPTH_LEVELS`` of each side, which bounds its arrays; map tasks
-    already drop deeper levels before the shuffle.
-    """
-    lines = load(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_shipdate", F.col("l_linestatus").alias("status"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.col("l_quantity").alias("qty"), "l_orderkey")
-    sign = F.when(F.col("status") == "O", F.lit(-1.0)).otherwise(F.lit(1.0))
-    lines = lines.withColumn("p", F.col("price") * sign).withColumn("q", F.col("qty") * sign)
-    w = W.partitionBy("l_suppkey", "l_shipdate", "status").orderBy("p", "q", "l_orderkey")
-    best = lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= DEPTH_LEVELS)
-    rank = F.struct("p", "q", "price", "qty")
-
-    def side(code: str) -> Column:
-        ranked = F.sort_array(F.collect_list(F.when(F.col("status") == code, rank)))
+    def side(label: str) -> Column:
+        ranked = F.sort_array(F.collect_list(F.when(F.col("side") == label, rank)))
         return F.transform(ranked, lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
 
-    sides = best.groupBy("l_suppkey", "l_shipdate").agg(
-        F.max("l_orderkey").alias("last_update_id"), side("O").alias("bids"), side("F").alias("asks"))
-    return sides.select(
-        to_ms("l_shipdate").alias("event_time"),
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-        "last_update_id", "bids", "asks")
+    return _quoted(spark, sf_dir).groupBy("event_time", "symbol").agg(
+        F.max("update_id").alias("last_update_id"), side("bid").alias("bids"), side("ask").alias("asks"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
