@@ -149,6 +149,8 @@ def _index(rows: DataFrame, size: int, percent: int, id_type: str) -> DataFrame:
         bands, seen = Bands(percent), {}
         for df in frames:
             out = []
+            if not len(df):
+                continue
             for d, text in zip(df["doc_id"], df["text"]):
                 s = shingles(text, size)
                 if not len(s):
@@ -233,7 +235,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            yield pd.DataFrame({"doc_id": df["doc_id"], "s": [shingles(t, size).view(np.int64) for t in df["text"]]})
+            if len(df):
+                yield pd.DataFrame({"doc_id": df["doc_id"], "s": [shingles(t, size).view(np.int64) for t in df["text"]]})
 
     sets = materialize(wanted.mapInPandas(sets_of, f"doc_id {id_type}, s array<long>"), "shingle-sets")
     links = index.filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))

@@ -130,6 +130,8 @@ def fit(docs: DataFrame, allowed: Column, per_language: int = TRAIN_PER_LANGUAGE
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
+            if not len(df):
+                continue
             pairs = [np.unique(subwords(t), return_counts=True) for t in df["text"]]
             yield pd.DataFrame({"lang": df["lang"], "doc_id": df["doc_id"], "b": [p[0].astype(np.int32) for p in pairs],
                                 "c": [p[1].astype(np.float32) for p in pairs]})

@@ -98,7 +98,7 @@ def _emit(loads: list[int], members: list[list], base: int, last: bool) -> pd.Da
     """Pack and return bins as rows (bin, load, final, members)."""
     loads_a = np.array(loads, np.int64)
     number = best_fit(loads_a, LENGTH)
-    n = int(number.max()) + 1 if len(number) else 0
+    n = int(number.max()) + 1
     sums, inside = np.bincount(number, loads_a, n).astype(np.int64), [[] for _ in range(n)]
     for b, m in zip(number, members):
         inside[b].extend(m)
@@ -145,9 +145,11 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     else:
                         loads.append(m[3])
                         members.append([m])
-            yield pd.DataFrame({"bin": base + full + np.arange(len(whole)), "load": LENGTH, "final": True, "members": whole})
+            if whole:
+                yield pd.DataFrame({"bin": base + full + np.arange(len(whole)), "load": LENGTH, "final": True, "members": whole})
             full += len(whole)
-        yield _emit(loads, members, base + full, False)
+        if loads:
+            yield _emit(loads, members, base + full, False)
 
     bins = materialize(rows.mapInPandas(local, schema), "pack-0")
     done, level = [bins.filter("final")], 1
