@@ -12,7 +12,7 @@ from tickloom.schemas import DAY_MS, KLINE
 from tickloom.session import fresh_dir, shared_dir
 from tickloom.sources import lake, sinks, topics
 from tickloom.streaming import queries as Q
-from tickloom.streaming.feed import replay
+from tickloom.streaming.feed import later_rows, time_ordered
 
 from .conftest import as_dicts
 
@@ -187,14 +187,21 @@ def test_upsert_log_survives_a_repeated_batch(spark):
     assert {(r["open_time"], r["close"]) for r in sinks.read_upserts(spark, target, keys).collect()} == want
 
 
-def test_replay_slices_cover_every_row_once(spark):
+def test_feed_follows_time_whatever_the_files(spark):
     seen = []
-    df = ticks(spark, [("A", T0 + i, float(i), 1.0, i) for i in range(100)])
-
-    def start(stream, checkpoint):
-        return sinks.foreach_batch(stream, lambda b, i: seen.append(sorted(r["seq"] for r in b.collect())), checkpoint, once=True)
-    replay(spark, df, "event_time", start, "test-replay", rows=30)
-    assert len(seen) >= 4 and [x for s in seen for x in s] == list(range(100))
+    df = ticks(spark, [("A", T0 + i * 60_000, float(i), 1.0, i) for i in range(100)]).repartition(7, F.hash("seq"))
+    stream = time_ordered(df, "event_time", "test-feed", files=4, flush=later_rows(df, "event_time", 86_400_000, "symbol"))
+    sinks.foreach_batch(stream, lambda b, i: seen.append(sorted(r["seq"] for r in b.collect())),
+                        fresh_dir(spark, "test-feed-state"), once=True).awaitTermination()
+    assert len(seen) == 5 and [x for s in seen for x in s] == [*range(100), 99]
+
+
+def test_windows_of_a_table_in_many_mixed_files_are_complete(spark):
+    df = ticks(spark, [("A", T0 + i * 60_000, float(i), 1.0, i) for i in range(100)]).repartition(7, F.hash("seq"))
+    stream = time_ordered(df, "event_time", "test-mixed", files=4, flush=later_rows(df, "event_time", 86_400_000))
+    out = fresh_dir(spark, "test-mixed")
+    sinks.append_stream(Q.window_candles(stream, "1 minute"), out, fresh_dir(spark, "test-mixed-state"), once=True).awaitTermination()
+    assert spark.read.parquet(out).count() == 100
 
 
 def test_run_all_passes_on_the_error_of_a_query(spark):

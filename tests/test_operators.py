@@ -82,6 +82,17 @@ def test_ticker_defaults_and_case_distinct_keys(spark):
     assert as_dicts(N.normalize_tickers(one(spark, "not json"))) == []
 
 
+def test_values_of_a_wrong_type_reject_a_message(spark):
+    good = {"E": 1, "s": "A", "c": "1.5"}
+    for bad in ({**good, "c": "abc"}, {**good, "n": "many"}, {**good, "v": {"x": 1}}, {**good, "E": "soon"}):
+        assert as_dicts(N.normalize_tickers(one(spark, bad))) == []
+        assert N.split_malformed(one(spark, bad))[1].count() == 1
+    assert N.split_malformed(one(spark, good))[0].count() == 1
+    assert as_dicts(N.normalize_tickers(one(spark, [good]))) == []
+    body = {"t": 0, "T": 59_999, "i": "1m", "o": "1", "h": "1", "l": "1", "c": "x", "v": "1", "q": "1", "n": 1, "x": True}
+    assert as_dicts(N.normalize_klines(one(spark, {"E": 1, "s": "A", "k": body}))) == []
+
+
 def test_kline_and_trade_messages(spark):
     kline = {"E": 1, "s": "ETHUSDT", "k": {"t": 60_000, "T": 119_999, "i": "1m", "o": "1", "h": "3", "l": "0.5", "c": "2", "v": "4", "q": "8", "n": 9, "x": True}}
     (row,) = as_dicts(N.normalize_klines(one(spark, kline)))

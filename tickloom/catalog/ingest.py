@@ -46,9 +46,12 @@ LEVELS_SQL = """SELECT symbol, event_time, CASE WHEN status = 'O' THEN 'bid' ELS
     price, qty, max(okey) OVER (PARTITION BY symbol, event_time) AS last_update_id FROM levels"""
 
 
-@query("normalized_tickers", "P1", _NORMAL_TICKER_SQL)
+_GOOD = " AND ".join(f"{{seq}} % {n} <> 0" for n in (101, 103, 107, 109))
+
+
+@query("normalized_tickers", "P1", f"{_NORMAL_TICKER_SQL} WHERE {_GOOD.format(seq='seq')}")
 def _(spark, d):
-    return N.normalize_tickers(tb.raw_tickers(spark, d))
+    return N.normalize_tickers(tb.broken_messages(spark, d))
 
 
 @query("normalized_trades", "P2 U4", with_views("ticks", TRADES_SQL))
@@ -98,8 +101,7 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("malformed_messages", "P8", """SELECT event_id AS seq, event_id % 101 <> 0 AND event_id % 103 <> 0
-    AS is_good FROM events""")
+@query("malformed_messages", "P8", f"SELECT event_id AS seq, {_GOOD.format(seq='event_id')} AS is_good FROM events")
 def _(spark, d):
     good, bad = N.split_malformed(tb.broken_messages(spark, d))
     return (good.select("seq", F.lit(True).alias("is_good"))
@@ -145,10 +147,11 @@ def _(spark, d):
     return N.tick_points(tb.tickers(spark, d))
 
 
-def all_klines(spark, d) -> DataFrame:
+def all_klines(spark, d, since_ms=None, until_ms=None) -> DataFrame:
     """Klines of three intervals in one table."""
-    return (tb.klines(spark, d, "1s", 1000).unionByName(tb.klines(spark, d, "1m", MINUTE_MS))
-            .unionByName(tb.klines(spark, d, "1h", HOUR_MS)))
+    seconds, minutes, hours = (tb.klines(spark, d, label, step, since_ms, until_ms)
+                               for label, step in (("1s", 1000), ("1m", MINUTE_MS), ("1h", HOUR_MS)))
+    return seconds.unionByName(minutes).unionByName(hours)
 
 
 ALL_KLINES = "SELECT * FROM k1s UNION ALL SELECT * FROM k1m UNION ALL SELECT * FROM k1h"
@@ -167,12 +170,17 @@ def _(spark, d):
     return settled(N.decode_candles(N.encode_candles(tb.klines(spark, d, "1h", HOUR_MS))))
 
 
-@query("ad_hoc_sql", "S14", with_views("ticks", f"""SELECT symbol, count(*) AS n, max(price) AS top_price
-    FROM ticks WHERE event_time >= {tb.CUTOFF_MS} GROUP BY symbol"""))
+@query("ad_hoc_sql", "S14", with_views("ticks c1h books", f"""SELECT s.symbol, n, top_price, bars, coalesce(books, 0) AS books
+    FROM (SELECT symbol, count(*) AS n, max(price) FILTER (WHERE event_time >= {tb.CUTOFF_MS}) AS top_price FROM ticks GROUP BY symbol) s
+    JOIN (SELECT symbol, count(*) AS bars FROM c1h GROUP BY symbol) USING (symbol)
+    LEFT JOIN (SELECT symbol, count(*) AS books FROM books GROUP BY symbol) USING (symbol)"""))
 def _(spark, d):
-    tb.ticks(spark, d).createOrReplaceTempView("market_ticks")
-    return spark.sql("""SELECT symbol, count(*) AS n, max(price) AS top_price FROM market_ticks
-                        WHERE event_time >= :since GROUP BY symbol""", args={"since": tb.CUTOFF_MS})
+    views = tb.register_views(spark, d)
+    return spark.sql("""SELECT s.symbol, n, top_price, bars, coalesce(books, 0) AS books
+        FROM (SELECT symbol, count(*) AS n, max(price) FILTER (WHERE event_time >= :since) AS top_price FROM {ticks} GROUP BY symbol) s
+        JOIN (SELECT symbol, count(*) AS bars FROM {candles_1h} GROUP BY symbol) USING (symbol)
+        LEFT JOIN (SELECT symbol, count(*) AS books FROM {book_levels} WHERE level = 1 AND side = 'bid' GROUP BY symbol) USING (symbol)""".format(**views),
+                     args={"since": tb.CUTOFF_MS})
 
 
 @query("quote_asset_filter", "P9", with_views("ticks", """SELECT seq, symbol FROM

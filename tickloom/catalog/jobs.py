@@ -8,9 +8,9 @@ from ..operators.normalize import positional_klines
 from ..plans import jobs as J
 from ..schemas import DAY_MS, HOUR_MS, MINUTE_MS
 from ..session import fresh_dir
-from ..sources import lake, sinks, tables as tb, topics
+from ..sources import lake, sinks, tables as tb
 from ..streaming import queries as Q
-from ..streaming.feed import replay
+from ..streaming.feed import later_rows, time_ordered
 from .bars import BEAT_MS, COARSE, INDICATORS, _GAPS, _THROTTLED, _WINDOW_FILL, coarse_ticks, rounded
 from .ingest import ALL_KLINES, KLINE_COLS, TRADES_SQL, all_klines, settled
 from .merging import CUT, NOW
@@ -104,8 +104,9 @@ def _(spark, d):
     "AND kline_start >=", "AND k1m.kline_start >=")))
 def _(spark, d):
     # Part of the ticks was itself written by a backfill and does not count as live.
-    live = tb.ticks(spark, d).withColumn("source", F.when((F.col("volume") < 30) & (F.col("price") <= 20), "backfill"))
-    return settled(J.backfill_points(live, tb.klines(spark, d, "1m", MINUTE_MS), NOW, min_gap_ms=HOUR_MS))
+    since = NOW - 7 * DAY_MS
+    live = tb.ticks(spark, d, since).withColumn("source", F.when((F.col("volume") < 30) & (F.col("price") <= 20), "backfill"))
+    return settled(J.backfill_points(live, tb.klines(spark, d, "1m", MINUTE_MS, since), NOW, min_gap_ms=HOUR_MS))
 
 
 @query("initial_populate", "M9 P10 S12", with_views("k1m symbols", f"""SELECT symbol, 'binance' AS exchange, "interval", open, high, low, close,
@@ -118,13 +119,13 @@ def _(spark, d):
 
 # ------------------------------------------------------------------------------- streaming
 
-def _event_stream(spark, d) -> DataFrame:
-    """The events table as a stream, whether it is one file or a folder."""
-    schema = tb.load(spark, d, "events").schema
-    path = f"{d}/events.parquet"
-    if lake.is_folder(spark, path):
-        return topics.read_files_as_topic(spark, path, schema)
-    return topics.read_files_as_topic(spark, d, schema, file_name="events.parquet")
+FLUSH_MS = 10 * DAY_MS
+
+
+def _tick_stream(spark, d, label: str, flush: bool = False) -> DataFrame:
+    """The ticks as a stream in time order; with ``flush`` a row far behind the last one closes all windows."""
+    rows = tb.ticks(spark, d)
+    return time_ordered(rows, "event_time", label, flush=later_rows(rows, "event_time", FLUSH_MS) if flush else None)
 
 
 def _drain(df: DataFrame, spark, label: str) -> DataFrame:
@@ -136,41 +137,73 @@ def _drain(df: DataFrame, spark, label: str) -> DataFrame:
 
 @query("streamed_trades", "S1 S6 T9", with_views("ticks", TRADES_SQL))
 def _(spark, d):
-    t = tb.ticks_from_events(_event_stream(spark, d))
+    t = _tick_stream(spark, d, "trades")
     rows = Q.trade_stream(t.select("event_time", "symbol", F.col("seq").alias("agg_trade_id"), "price",
                                    F.col("volume").alias("quantity"), F.col("event_time").alias("trade_time"),
                                    (F.col("volume") >= 50).alias("is_buyer_maker")))
     return _drain(rows, spark, "trades").drop("event_timestamp", "trade_timestamp")
 
 
-@query("streamed_candles", "T2 T5 T8", with_views("c1h", f"""SELECT {OHLCV} FROM c1h
-    WHERE open_time + {HOUR_MS} <= (SELECT max(event_time) FROM ticks) - 120000"""))
+@query("streamed_candles", "T2 T5 T8", with_views("c1h", f"SELECT {OHLCV} FROM c1h"))
+def _(spark, d):
+    return _drain(Q.window_candles(_tick_stream(spark, d, "candles", flush=True), "1 hour"), spark, "candles")
+
+
+_ROLLED = """SELECT symbol, kline_start, kline_start + 59999 AS kline_close, '1m' AS "interval", open, high, low, close, volume,
+    quote_volume, trade_count, true AS is_closed FROM (SELECT symbol, kline_start - kline_start % 60000 AS kline_start,
+      arg_min(open, kline_start) AS open, max(high) AS high, min(low) AS low, arg_max(close, kline_start) AS close, sum(volume) AS volume,
+      round(sum(quote_volume), 4) AS quote_volume, CAST(sum(trade_count) AS BIGINT) AS trade_count FROM k1s
+      GROUP BY symbol, kline_start - kline_start % 60000)"""
+
+
+@query("streamed_minutes", "T2 T5", with_views("k1s", _ROLLED))
 def _(spark, d):
-    return _drain(Q.window_candles(tb.ticks_from_events(_event_stream(spark, d)), "1 hour"), spark, "candles")
+    # Every second comes twice; a row far behind the last one closes the last minutes.
+    once = tb.klines(spark, d, "1s", 1000)
+    stream = time_ordered(once.unionByName(once), "kline_start", "minutes", flush=later_rows(once, "kline_start", FLUSH_MS))
+    return settled(_drain(Q.roll_up_stream(stream), spark, "minutes")).drop("event_time")
+
+
+@query("streamed_day_tables", "S6 S7 T9", with_views("tickers ticks k1m", """SELECT 'ticker' AS kind, symbol, event_time AS time,
+      strftime(epoch_ms(event_time), '%Y-%m-%d') AS dt FROM tickers
+    UNION ALL SELECT 'trade', symbol, event_time, strftime(epoch_ms(event_time), '%Y-%m-%d') FROM ticks
+    UNION ALL SELECT 'kline', symbol, kline_start, strftime(epoch_ms(kline_start), '%Y-%m-%d') FROM k1m WHERE is_closed"""))
+def _(spark, d):
+    trade = tb.ticks(spark, d).select("event_time", "symbol", F.col("seq").alias("agg_trade_id"), "price",
+                                      F.col("event_time").alias("trade_time"))
+    kinds = {"ticker": (tb.tickers(spark, d), Q.dedup_ticker_stream), "trade": (trade, Q.trade_stream),
+             "kline": (tb.klines(spark, d, "1m", MINUTE_MS), Q.dedup_kline_stream)}
+    parts, running = [], []
+    for kind, (rows, build) in kinds.items():
+        time, path = lake.TABLE_TIME[kind], fresh_dir(spark, f"days-{kind}")
+        stream = lake.with_day(build(time_ordered(rows, time, f"days-{kind}")), time)
+        running.append(sinks.append_stream(stream, path, fresh_dir(spark, f"days-{kind}-state"), once=True, partition=["dt"]))
+        parts.append((kind, path, time))
+    for stream in running:
+        stream.awaitTermination()
+    tables = [spark.read.parquet(path).select(F.lit(kind).alias("kind"), "symbol", F.col(time).alias("time"),
+                                              F.col("dt").cast("string").alias("dt")) for kind, path, time in parts]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 @query("streamed_unique_tickers", "D6 T5", with_views("tickers", "SELECT DISTINCT symbol, event_time FROM tickers"))
 def _(spark, d):
-    t = tb.ticks_from_events(_event_stream(spark, d)).select("symbol", "event_time")
+    t = _tick_stream(spark, d, "tickers").select("symbol", "event_time")
     return _drain(Q.dedup_ticker_stream(t.unionByName(t)), spark, "tickers").select("symbol", "event_time")
 
 
 @query("streamed_unique_klines", "D7 T5", with_views("k1m", "SELECT symbol, kline_start, close FROM k1m WHERE is_closed"))
 def _(spark, d):
     rows = tb.klines(spark, d, "1m", MINUTE_MS)
-    path = fresh_dir(spark, "klines-twice")
-    rows.unionByName(rows).write.parquet(path)
-    stream = topics.read_files_as_topic(spark, path, rows.schema, files_per_trigger=10_000)
+    stream = time_ordered(rows.unionByName(rows), "kline_start", "klines-twice")
     return _drain(Q.dedup_kline_stream(stream), spark, "klines").select("symbol", "kline_start", "close")
 
 
 @query("streamed_latest", "T10 S10", with_views("latest", "SELECT symbol, price, volume, event_time FROM latest"))
 def _(spark, d):
     path = fresh_dir(spark, "latest")
-
-    def start(stream, checkpoint):
-        return sinks.foreach_batch(Q.latest_state(stream), sinks.to_path(path), checkpoint, once=True, mode="update")
-    replay(spark, tb.ticks(spark, d), "event_time", start, "latest")
+    sinks.foreach_batch(Q.latest_state(_tick_stream(spark, d, "latest")), sinks.to_path(path), fresh_dir(spark, "latest-state"),
+                        once=True, mode="update").awaitTermination()
     return sinks.read_upserts(spark, path, ["symbol"]).drop("seq")
 
 
@@ -185,19 +218,16 @@ def _(spark, d):
         return batch.groupBy("symbol", start.alias("event_time")).agg(F.max_by("price", "seq").alias("price"), F.max("seq").alias("seq"))
 
     write = sinks.fan_out(sinks.to_path(ticks_path), sinks.to_path(minutes_path, minutes))
-    replay(spark, tb.ticks(spark, d), "event_time",
-           lambda stream, checkpoint: sinks.foreach_batch(stream, write, checkpoint, once=True), "fan")
+    sinks.foreach_batch(_tick_stream(spark, d, "fan"), write, fresh_dir(spark, "fan-state"), once=True).awaitTermination()
     cols = ("symbol", "event_time", "price")
     parts = [sinks.read_upserts(spark, path, keys, order).select(F.lit(name).alias("sink"), *cols) for name, path, keys, order in
              (("tick", ticks_path, ["symbol", "seq"], ()), ("minute", minutes_path, ["symbol", "event_time"], ("seq",)))]
     return parts[0].unionByName(parts[1])
 
 
-def _replayed(spark, df: DataFrame, time: str, build, label: str) -> DataFrame:
-    """Replay through an append-mode stateful query and read its sink back."""
-    path = fresh_dir(spark, label)
-    replay(spark, df, time, lambda s, c: sinks.append_stream(build(s), path, c, once=True), label)
-    return spark.read.parquet(path)
+def _replayed(spark, df: DataFrame, time: str, build, label: str, flush: DataFrame | None = None) -> DataFrame:
+    """The table in time order through an append-mode stateful query, and its sink read back."""
+    return _drain(build(time_ordered(df, time, label, flush=flush)), spark, label)
 
 
 @query("streamed_throttle", "T1 U2 T6", with_views("ticks", f", {COARSE}" + _THROTTLED.format(ticks="coarse", beat=BEAT_MS) +
@@ -224,11 +254,12 @@ def _(spark, d):
        str(HOUR_MS), "1000") + """, minutes AS (SELECT symbol, day AS kline_start, arg_min(coalesce(open, carried), t) AS open,
     max(coalesce(high, carried)) AS high, min(coalesce(low, carried)) AS low, arg_max(carried, t) AS close,
     sum(coalesce(volume, 0)) AS volume, count(*) FILTER (WHERE volume > 0) AS real_count FROM dense GROUP BY 1, 2)
-    SELECT * FROM minutes QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY kline_start DESC) > 1"""))
+    SELECT * FROM minutes"""))
 def _(spark, d):
     seconds = tb.klines(spark, d, "1s", 1000)
-    rows = _replayed(spark, seconds, "kline_start",
-                     lambda s: Q.filled_roll_up_stream(s, idle_ms=None), "filled-minutes")
+    # A much later second of each symbol closes its last minute.
+    rows = _replayed(spark, seconds, "kline_start", lambda s: Q.filled_roll_up_stream(s, idle_ms=None), "filled-minutes",
+                     flush=later_rows(seconds, "kline_start", FLUSH_MS, "symbol"))
     return rows.select("symbol", "kline_start", "open", "high", "low", "close", "volume", "real_count")
 
 

@@ -352,14 +352,14 @@ def _bars(source: str, step: int) -> str:
 @query("last_before_cursor", "K1", with_views("c1h", f"""SELECT {OHLCV} FROM c1h WHERE open_time < {CUT}
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 50"""))
 def _(spark, d):
-    return P.last_before(hourly(spark, d), 50, CUT)
+    return P.last_before(tb.candles(spark, d, HOUR_MS, until_ms=CUT), 50, CUT)
 
 
 @query("last_in_range", "K2", with_views("k1m", f"""SELECT {OHLCV.replace('open_time', 'kline_start AS open_time')} FROM k1m
     WHERE is_closed AND kline_start >= {CUT} AND kline_start < {CUT + 5 * DAY_MS}
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY kline_start DESC) <= 300"""))
 def _(spark, d):
-    return P.last_before(P.stored_minutes(tb.klines(spark, d, "1m", MINUTE_MS)), 300, CUT + 5 * DAY_MS, CUT)
+    return P.last_before(P.stored_minutes(tb.klines(spark, d, "1m", MINUTE_MS, CUT, CUT + 5 * DAY_MS)), 300, CUT + 5 * DAY_MS, CUT)
 
 
 @query("tagged_range_tail", "K3", with_views("k1s k1m k1h", f"""SELECT {OHLCV.replace('open_time', 'kline_start AS open_time')}
@@ -367,12 +367,12 @@ def _(spark, d):
     WHERE "interval" = '1m' AND is_closed AND kline_start >= {CUT} AND kline_start < {NOW}
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY kline_start DESC) <= 100"""))
 def _(spark, d):
-    return P.last_before(P.stored_minutes(all_klines(spark, d)), 100, NOW, CUT)
+    return P.last_before(P.stored_minutes(all_klines(spark, d, CUT, NOW)), 100, NOW, CUT)
 
 
 @query("look_back_window", "K4", with_views("c1m", f"SELECT {OHLCV} FROM c1m WHERE open_time >= {NOW - 48 * HOUR_MS}"))
 def _(spark, d):
-    return P.look_back(tb.candles(spark, d, MINUTE_MS), 48, NOW)
+    return P.look_back(tb.candles(spark, d, MINUTE_MS, NOW - 48 * HOUR_MS), 48, NOW)
 
 
 BASE = f"""base AS (SELECT {OHLCV} FROM hot1m WHERE open_time >= {CUT} UNION ALL SELECT {OHLCV} FROM cold1m WHERE open_time < {CUT})"""
@@ -432,8 +432,9 @@ def _(spark, d):
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 20"""))
 def _(spark, d):
     # One symbol exists only in the hourly table.
-    minutes = [tier(spark, d, MINUTE_MS).filter("symbol <> 'VIEWUSDT'") for tier in (tb.hot, tb.cold)]
-    return P.historical_klines("1d", CUT - 10 * DAY_MS, NOW, 20, NOW, *minutes, hourly=hourly(spark, d), retention_ms=NOW - CUT)
+    span = CUT - 10 * DAY_MS, NOW
+    minutes = [tier(spark, d, MINUTE_MS, *span).filter("symbol <> 'VIEWUSDT'") for tier in (tb.hot, tb.cold)]
+    return P.historical_klines("1d", *span, 20, NOW, *minutes, hourly=tb.candles(spark, d, HOUR_MS, *span), retention_ms=NOW - CUT)
 
 
 @query("all_tickers", "K10", with_views("latest", "SELECT * FROM latest"))

@@ -13,17 +13,40 @@ from .book import levels
 
 
 def _parsed(messages: DataFrame, shape, column: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Message fields as columns with canonical names; all null where the text is not JSON.
+    """Message fields as typed columns with canonical names, all null where the text is not a JSON object.
 
-    ``inline`` makes the parse a plan node of its own, so filters on its columns cannot be pushed
-    below it as a second parse.
+    ``_wrong`` tells that a value is there but not of its type. ``inline`` makes the parse a plan
+    node of its own, so filters on its columns cannot be pushed below it as a second parse.
     """
     sent, named = shape
-    return messages.select(*keep, F.inline(F.array(F.from_json(column, sent).try_cast(named))))
+    text = F.when(F.startswith(F.ltrim(F.col(column)), F.lit("{")), F.col(column))
+    rows = messages.select(*keep, F.inline(F.array(F.from_json(text, sent).cast(_as_sent(shape)))))
+    return _typed(rows, named, keep)
+
+
+def _as_sent(shape) -> T.StructType:
+    """Canonical names over the types as sent."""
+    def nested(sent: T.StructType, named: T.StructType) -> T.StructType:
+        return T.StructType([T.StructField(n.name, nested(s.dataType, n.dataType) if isinstance(s.dataType, T.StructType)
+                                           else s.dataType) for s, n in zip(sent, named)])
+    return nested(*shape)
+
+
+def _typed(rows: DataFrame, named: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+    wrong, columns = F.lit(False), []
+    for f in named:
+        value = F.col(f.name).try_cast(f.dataType)
+        if isinstance(f.dataType, T.StructType):
+            for inner in f.dataType:
+                wrong = wrong | (F.col(f.name)[inner.name].isNotNull() & value[inner.name].isNull())
+        else:
+            wrong = wrong | (F.col(f.name).isNotNull() & value.isNull())
+        columns.append(value.alias(f.name))
+    return rows.select(*keep, *columns, wrong.alias("_wrong"))
 
 
 def _ticker_columns() -> list[Column]:
-    """Every optional number defaults to 0."""
+    """An absent optional number is 0; one that is there but no number has been rejected before."""
     optional = RAW_TICKER[1].fields[2:]
     return [F.col("event_time"), F.col("symbol"),
             *[F.coalesce(f.name, F.lit(0).cast(f.dataType)).alias(f.name) for f in optional]]
@@ -43,13 +66,13 @@ def _depth_columns(received_ms: Column | None = None) -> list[Column]:
 
 
 def normalize_tickers(messages: DataFrame, column: str = "value") -> DataFrame:
-    rows = _parsed(messages, RAW_TICKER, column).dropna(subset=["event_time", "symbol"])
+    rows = _parsed(messages, RAW_TICKER, column).filter("NOT _wrong").dropna(subset=["event_time", "symbol"])
     return rows.select(*_ticker_columns())
 
 
 def normalize_trades(messages: DataFrame, column: str = "value") -> DataFrame:
     """All fields are required."""
-    return _parsed(messages, RAW_TRADE, column).dropna()
+    return _parsed(messages, RAW_TRADE, column).drop("_wrong").dropna()
 
 
 def normalize_klines(messages: DataFrame, column: str = "value") -> DataFrame:
@@ -60,7 +83,8 @@ def normalize_klines(messages: DataFrame, column: str = "value") -> DataFrame:
 
 def normalize_depth(messages: DataFrame, column: str = "value",
                     received_ms: Column | None = None) -> DataFrame:
-    return _parsed(messages, RAW_DEPTH, column).dropna(how="all").select(*_depth_columns(received_ms))
+    rows = _parsed(messages, RAW_DEPTH, column).filter("NOT _wrong").drop("_wrong")
+    return rows.dropna(how="all").select(*_depth_columns(received_ms))
 
 
 # The exchange interface: one normaliser per record kind of a source.
@@ -74,16 +98,18 @@ def explode_ticker_batches(messages: DataFrame, column: str = "value",
                            quote: str = QUOTE_ASSET) -> DataFrame:
     """Array messages to one canonical ticker per element of the quote asset."""
     sent, named = RAW_TICKER
-    rows = messages.select(F.inline(F.from_json(column, T.ArrayType(sent)).try_cast(T.ArrayType(named))))
-    wanted = rows.dropna(subset=["event_time"]).filter(F.col("symbol").endswith(quote))
+    rows = messages.select(F.inline(F.from_json(column, T.ArrayType(sent)).cast(T.ArrayType(_as_sent(RAW_TICKER)))))
+    wanted = _typed(rows, named).filter("NOT _wrong").dropna(subset=["event_time"]).filter(F.col("symbol").endswith(quote))
     return wanted.select(*_ticker_columns())
 
 
-def split_malformed(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good, bad): bad rows are not JSON or not a JSON object."""
-    kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    flagged = messages.withColumn("_ok", is_object)
+def split_malformed(messages: DataFrame, column: str = "value", shape=RAW_TICKER) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): bad rows are not JSON, not an object, or hold a value that is not of its type."""
+    is_object = F.try_parse_json(F.col(column)).isNotNull() \
+        & F.startswith(F.ltrim(F.col(column)), F.lit("{"))
+    flagged = _parsed(messages.withColumn("_is", F.coalesce(is_object, F.lit(False))), shape, column,
+                      keep=[*messages.columns, "_is"])
+    flagged = flagged.select(*messages.columns, (F.col("_is") & ~F.col("_wrong")).alias("_ok"))
     return (flagged.filter("_ok").drop("_ok"), flagged.filter("NOT _ok").drop("_ok"))
 
 
@@ -117,7 +143,8 @@ def route_events(unwrapped: DataFrame, quote: str = QUOTE_ASSET) -> dict[str, Da
 
     # The symbol of a depth message is the unwrapped one: snapshots do not carry it.
     depth = of("depth").withColumnRenamed("symbol", "_symbol")
-    depth = _parsed(depth, RAW_DEPTH, "value", keep=["_symbol"]).withColumn("symbol", F.col("_symbol"))
+    depth = _parsed(depth, RAW_DEPTH, "value", keep=["_symbol"]).filter("NOT _wrong") \
+        .withColumn("symbol", F.col("_symbol"))
     return {"trade": normalize_trades(of("aggTrade").select("value")),
             "kline": normalize_klines(of("kline").select("value")),
             "depth": depth.select(*_depth_columns())}

@@ -46,32 +46,32 @@ def _message(*fields: tuple[str, str, T.DataType, T.DataType]) -> tuple[T.Struct
             T.StructType([T.StructField(name, kind) for _, name, _, kind in fields]))
 
 
-# Raw exchange messages: fixed key names. Prices and quantities arrive as strings.
+# Raw exchange messages: fixed key names. Every value is read as text first, so that one of a wrong type shows.
 RAW_TICKER = _message(
-    ("E", "event_time", _L, _L), ("s", "symbol", _S, _S), ("c", "close", _S, _D),
+    ("E", "event_time", _S, _L), ("s", "symbol", _S, _S), ("c", "close", _S, _D),
     ("b", "bid", _S, _D), ("a", "ask", _S, _D), ("o", "h24_open", _S, _D),
     ("h", "h24_high", _S, _D), ("l", "h24_low", _S, _D), ("v", "h24_volume", _S, _D),
     ("q", "h24_quote_volume", _S, _D), ("p", "h24_price_change", _S, _D),
-    ("P", "h24_price_change_pct", _S, _D), ("n", "h24_trade_count", _L, _L),
+    ("P", "h24_price_change_pct", _S, _D), ("n", "h24_trade_count", _S, _L),
 )
 RAW_TRADE = _message(
-    ("E", "event_time", _L, _L), ("s", "symbol", _S, _S), ("a", "agg_trade_id", _L, _L),
-    ("p", "price", _S, _D), ("q", "quantity", _S, _D), ("T", "trade_time", _L, _L),
-    ("m", "is_buyer_maker", _B, _B),
+    ("E", "event_time", _S, _L), ("s", "symbol", _S, _S), ("a", "agg_trade_id", _S, _L),
+    ("p", "price", _S, _D), ("q", "quantity", _S, _D), ("T", "trade_time", _S, _L),
+    ("m", "is_buyer_maker", _S, _B),
 )
 _BODY = _message(
-    ("t", "kline_start", _L, _L), ("T", "kline_close", _L, _L), ("i", "interval", _S, _S),
+    ("t", "kline_start", _S, _L), ("T", "kline_close", _S, _L), ("i", "interval", _S, _S),
     ("o", "open", _S, _D), ("h", "high", _S, _D), ("l", "low", _S, _D), ("c", "close", _S, _D),
-    ("v", "volume", _S, _D), ("q", "quote_volume", _S, _D), ("n", "trade_count", _L, _L),
-    ("x", "is_closed", _B, _B),
+    ("v", "volume", _S, _D), ("q", "quote_volume", _S, _D), ("n", "trade_count", _S, _L),
+    ("x", "is_closed", _S, _B),
 )
 RAW_KLINE = _message(
-    ("E", "event_time", _L, _L), ("s", "symbol", _S, _S), ("k", "body", _BODY[0], _BODY[1]),
+    ("E", "event_time", _S, _L), ("s", "symbol", _S, _S), ("k", "body", _BODY[0], _BODY[1]),
 )
 _PAIRS = T.ArrayType(T.ArrayType(_S))
 RAW_DEPTH = _message(
-    ("E", "event_time", _L, _L), ("s", "symbol", _S, _S), ("lastUpdateId", "snapshot_id", _L, _L),
-    ("u", "update_id", _L, _L), ("bids", "bids", _PAIRS, _PAIRS), ("b", "bids_update", _PAIRS, _PAIRS),
+    ("E", "event_time", _S, _L), ("s", "symbol", _S, _S), ("lastUpdateId", "snapshot_id", _S, _L),
+    ("u", "update_id", _S, _L), ("bids", "bids", _PAIRS, _PAIRS), ("b", "bids_update", _PAIRS, _PAIRS),
     ("asks", "asks", _PAIRS, _PAIRS), ("a", "asks_update", _PAIRS, _PAIRS),
 )
 

@@ -54,12 +54,6 @@ def overwrite_days(df: DataFrame, path: str) -> None:
     _writer(df, "overwrite").option("partitionOverwriteMode", "dynamic").save(path)
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -25,8 +25,18 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
         F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks_from_events(load(spark, sf_dir, "events"))
+def _at(ms: int) -> Column:
+    return F.timestamp_millis(F.lit(ms)).cast("timestamp_ntz")
+
+
+def ticks(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """Events as ticks, those of ``since <= time < until``; the range is compared on the stored column."""
+    events = load(spark, sf_dir, "events")
+    if since_ms is not None:
+        events = events.filter(F.col("ts") >= _at(since_ms))
+    if until_ms is not None:
+        events = events.filter(F.col("ts") < _at(until_ms))
+    return ticks_from_events(events)
 
 
 def ticks_many(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,15 +78,25 @@ def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"), seq.cast("decimal(38,0)").alias("seq"))
 
 
-def candles(spark: SparkSession, sf_dir: str, step_ms: int) -> DataFrame:
-    return (candles_from_ticks(ticks(spark, sf_dir), step_ms)
+def _steps(step_ms: int, since_ms: int | None, until_ms: int | None) -> tuple[int | None, int | None]:
+    """The range of ticks behind the steps that start in ``[since, until)``."""
+    def up(ms: int | None) -> int | None:
+        return None if ms is None else -(-ms // step_ms) * step_ms
+    return up(since_ms), up(until_ms)
+
+
+def candles(spark: SparkSession, sf_dir: str, step_ms: int, since_ms: int | None = None,
+            until_ms: int | None = None) -> DataFrame:
+    """Candles with ``since <= open_time < until``; only their ticks are read."""
+    return (candles_from_ticks(ticks(spark, sf_dir, *_steps(step_ms, since_ms, until_ms)), step_ms)
             .select("symbol", "open_time", "open", "high", "low", "close", "volume"))
 
 
-def klines(spark: SparkSession, sf_dir: str, interval: str, step_ms: int) -> DataFrame:
+def klines(spark: SparkSession, sf_dir: str, interval: str, step_ms: int, since_ms: int | None = None,
+           until_ms: int | None = None) -> DataFrame:
     """Canonical klines built from ticks; those ending after ``NOW_MS`` are still open."""
     end = F.col("open_time") + step_ms - 1
-    return candles_from_ticks(ticks(spark, sf_dir), step_ms).select(
+    return candles_from_ticks(ticks(spark, sf_dir, *_steps(step_ms, since_ms, until_ms)), step_ms).select(
         end.alias("event_time"), "symbol", F.col("open_time").alias("kline_start"),
         end.alias("kline_close"), F.lit(interval).alias("interval"), "open", "high", "low", "close",
         "volume", "quote_volume", "trade_count", (end < NOW_MS).alias("is_closed"))
@@ -140,14 +160,30 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("symbol") != "VIEWUSDT").alias("spot"))
 
 
-def hot(spark: SparkSession, sf_dir: str, step_ms: int) -> DataFrame:
-    return candles(spark, sf_dir, step_ms).filter(F.col("open_time") >= CUTOFF_MS - OVERLAP_MS)
+def hot(spark: SparkSession, sf_dir: str, step_ms: int, since_ms: int | None = None,
+        until_ms: int | None = None) -> DataFrame:
+    start = CUTOFF_MS - OVERLAP_MS
+    return candles(spark, sf_dir, step_ms, start if since_ms is None else max(start, since_ms), until_ms)
 
 
-def cold(spark: SparkSession, sf_dir: str, step_ms: int) -> DataFrame:
+def cold(spark: SparkSession, sf_dir: str, step_ms: int, since_ms: int | None = None,
+         until_ms: int | None = None) -> DataFrame:
     """The older tier; its volume is one higher, so that the winner of a merge shows."""
-    return (candles(spark, sf_dir, step_ms).filter(F.col("open_time") < CUTOFF_MS)
-            .withColumn("volume", F.col("volume") + 1))
+    end = CUTOFF_MS if until_ms is None else min(CUTOFF_MS, until_ms)
+    return candles(spark, sf_dir, step_ms, since_ms, end).withColumn("volume", F.col("volume") + 1)
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Every market view as a temporary view for ad-hoc SQL: {name: view}."""
+    views = {"ticks": ticks(spark, sf_dir), "ticks_big": ticks_big(spark, sf_dir), "orders": order_ticks(spark, sf_dir),
+             "tickers": tickers(spark, sf_dir), "latest_tickers": latest_tickers(spark, sf_dir),
+             "book_levels": book_levels(spark, sf_dir), "symbols": symbols(spark, sf_dir)}
+    for label, step in (("1s", 1000), ("1m", 60_000), ("1h", 3_600_000)):
+        views[f"candles_{label}"] = candles(spark, sf_dir, step)
+        views[f"klines_{label}"] = klines(spark, sf_dir, label, step)
+    for name, df in views.items():
+        df.createOrReplaceTempView(f"market_{name}")
+    return {name: f"market_{name}" for name in views}
 
 
 # ---------------------------------------------------------------- raw exchange messages
@@ -225,10 +261,12 @@ def raw_ticker_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticker messages of which some are cut short and some are arrays."""
+    """Ticker messages of which some are cut short, some are arrays and some hold a price that is no number."""
     rows = raw_tickers(spark, sf_dir)
     value = (F.when(F.col("seq") % 101 == 0, F.expr("substring(value, 1, length(value) - 1)"))
              .when(F.col("seq") % 103 == 0, F.concat(F.lit("["), F.col("value"), F.lit("]")))
+             .when(F.col("seq") % 107 == 0, F.regexp_replace("value", '"c":"[^"]*"', '"c":"abc"'))
+             .when(F.col("seq") % 109 == 0, F.regexp_replace("value", '"n":[0-9]+', '"n":{"x":1}'))
              .otherwise(F.col("value")))
     return rows.select("seq", value.alias("value"))
 

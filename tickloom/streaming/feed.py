@@ -1,37 +1,49 @@
-"""Replay a table through a streaming query in bounded, time-ordered slices.
+"""A table as a stream: written once in time order, then read in bounded micro-batches.
 
-Every slice is appended to the source folder and drained by a fresh run of the query on the same
-checkpoint, so a replay is also a sequence of restarts.
+However the table's own files are laid out, the files of the feed each hold one stretch of time, and their
+modification times follow it, which is the order a file source reads in. So a watermark drops only what is late.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_dir
-
-ROWS_PER_SLICE = 2_000_000
-MIN_SLICES = 3
-
-
-def slice_bounds(df: DataFrame, time: str, rows: int = ROWS_PER_SLICE) -> list[int]:
-    """Inner borders of slices with about ``rows`` rows each, at least ``MIN_SLICES`` slices."""
-    n = max(-(-df.count() // rows), MIN_SLICES)
-    marks = df.agg(F.percentile_approx(time, [i / n for i in range(1, n)]).alias("m")).first()["m"]
-    return sorted(set(marks or []))
-
-
-def replay(spark: SparkSession, df: DataFrame, time: str, start: Callable, label: str,
-           rows: int = ROWS_PER_SLICE) -> None:
-    """Feed ``df`` slice by slice; ``start(stream, checkpoint)`` starts a run that drains it."""
-    source, checkpoint = fresh_dir(spark, f"{label}-in"), fresh_dir(spark, f"{label}-state")
-    borders = slice_bounds(df, time, rows)
-    t = F.col(time)
-    for lo, hi in zip([None, *borders], [*borders, None]):
-        part = df if lo is None else df.filter(t >= lo)
-        part = part if hi is None else part.filter(t < hi)
-        part.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(df.schema).parquet(source)
-        start(stream, checkpoint).awaitTermination()
+from ..sources.topics import read_files_as_topic
+
+FILES = 8
+
+
+def stamp_in_order(spark: SparkSession, path: str) -> None:
+    """Give the data files of a folder ascending modification times in the order of their names (a part has its number)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath().getName(), s) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".parquet"))
+    start = min((s.getModificationTime() for _, s in files), default=0) - len(files)
+    for at, (_, status) in enumerate(files):
+        fs.setTimes(status.getPath(), start + at, -1)
+
+
+def time_ordered(df: DataFrame, time: str, label: str, files: int = FILES, flush: DataFrame | None = None,
+                 files_per_trigger: int = 1) -> DataFrame:
+    """Stream of ``df`` in the order of ``time``, about ``files`` files.
+
+    ``flush`` holds rows to append after everything else: later than all rows, they move the watermark on and
+    close what is still open.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, f"{label}-in")
+    df.repartitionByRange(files, time).sortWithinPartitions(time).write.parquet(path)
+    stamp_in_order(spark, path)
+    if flush is not None:
+        flush.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return read_files_as_topic(spark, path, df.schema, files_per_trigger=files_per_trigger)
+
+
+def later_rows(df: DataFrame, time: str, by_ms: int, *keys: str) -> DataFrame:
+    """For each key (or for all rows) a copy of its last row, ``by_ms`` after the last row of the table."""
+    end = df.agg((F.max(time) + by_ms).alias("_end"))
+    rest = [c for c in df.columns if c != time and c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), time).alias("_row")) if keys else \
+        df.agg(F.max_by(F.struct(*rest), time).alias("_row"))
+    return last.select(*keys, "_row.*").join(F.broadcast(end)).withColumnRenamed("_end", time)
