@@ -12,26 +12,36 @@ from ..session import fresh_dir
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of long texts in one Arrow batch.
-BATCH_ROWS = 1000
+#: Rows of one Arrow batch: of whole texts, and of a few numbers.
+TEXT_ROWS, NARROW_ROWS = 1000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``narrow`` tells that only rows of a few numbers go to Python in it, which may travel in large batches.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    spark.conf.set(_BATCH, str(NARROW_ROWS if narrow else TEXT_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
     return spark.read.schema(schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set(_BATCH, str(TEXT_ROWS))
 
 
 def words_of(text: Column) -> Column:

@@ -6,8 +6,8 @@ weight. A segment is indexed as a whole (weight 1) or, where one wide segment is
 one-deletion neighbourhood (weight 2). By the measured size of each index bucket a set skips its costliest segments,
 as many as the spare weight allows. What remains gives candidates, and those are verified exactly.
 
-Within a bucket no pairs are listed that a component already joins: members are first compared with one pivot, linked sets are merged, and
-only members of different components are compared further.
+Within a bucket no pairs are listed that a component already joins: members are first compared with one pivot and linked sets are
+merged. Members of different components are compared further, in large buckets block by block, where only links come out.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize, small_batches
@@ -34,10 +35,13 @@ _IS_SPACE[[32, *range(9, 14)]] = True
 _CHUNK = 1 << 20
 #: Sets seen in a task that later copies are compared with.
 SEEN = 500_000
-#: Spare share of the segments, and the band size from which one segment is indexed with its neighbourhood, that wide.
-SPARE, NEIGHBOURS_FROM, WIDE = 0.12, 512, 24
-#: Rounds that compare the members of a bucket with one pivot, before the rest of the pairs is listed.
-PIVOT_ROUNDS = 3
+#: Spare share of the segments of large bands and, where keys are few and shared passages weigh more, of bands below the size;
+#: the band size from which one segment is indexed with its neighbourhood, and how wide that is.
+SPARE, SPARE_SMALL, SMALL = 0.12, 0.40, 320
+NEIGHBOURS_FROM, WIDE = 512, 24
+#: Buckets of no more members than this have their open pairs listed; larger ones are compared in blocks of about ``BLOCK`` members,
+#: ``COLUMNS`` shingles at a time.
+PAIRED, BLOCK, COLUMNS = 48, 400, 4096
 
 
 class _Powers:
@@ -119,7 +123,7 @@ class Bands:
         if band not in self._schemes:
             top = int(math.exp((band + 1) * self.step) + 1)   # no set of the band is larger
             apart = top * (100 - self.percent) // self.percent  # most shingles in which a linked pair differs
-            spare = math.ceil(SPARE * (apart + 1)) if apart else 0
+            spare = math.ceil((SPARE if top >= SMALL else SPARE_SMALL) * (apart + 1)) if apart else 0
             wide = 1 if top >= NEIGHBOURS_FROM else 0
             self._schemes[band] = Scheme(band, wide, apart + 1 + spare - 2 * wide, spare, wide * WIDE / top)
         return self._schemes[band]
@@ -175,26 +179,26 @@ def _index(rows: DataFrame, size: int, percent: int, id_type: str) -> DataFrame:
 
 
 def _shared_keys(entries: DataFrame) -> DataFrame:
-    """Rows whose key also occurs with another document; the input is sorted by key within partitions."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
-        for df in frames:
-            if tail is not None:
-                df = pd.concat([tail, df], ignore_index=True)
-            if not len(df):
+    """Rows whose key also occurs with another document, streamed in the order of the key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, joined = None, False
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            k = df["key"].to_numpy()
+            k = batch.column("key").to_numpy()
             same = k[1:] == k[:-1]
-            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            # the last row waits for its successor; it is known to be shared if it equals the row before
-            if tail is not None and tail_shared:
-                shared[0] = True
-            tail, tail_shared = df.iloc[-1:], bool(shared[-1])
-            yield df.iloc[:-1][shared[:-1]]
-        if tail is not None and tail_shared:
+            opens = tail is not None and tail.column("key")[0].as_py() == int(k[0])
+            if tail is not None and (joined or opens):
+                yield tail
+            shared = np.concatenate((same, [False])) | np.concatenate(([opens], same))
+            # the last row waits for its successor
+            tail, joined = batch.slice(batch.num_rows - 1), bool(shared[-1])
+            shared[-1] = False
+            yield batch.filter(pa.array(shared))
+        if tail is not None and joined:
             yield tail
 
-    return entries.repartition("key").sortWithinPartitions("key").mapInPandas(run, entries.schema)
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, entries.schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,6 +211,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", F.when(possible, 100 * common >= percent * (n - common)).otherwise(F.lit(False)).alias("linked"))
 
 
+def _large_buckets(members: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """Links between the components met in large buckets (pivot, doc_id, c), found without listing pairs.
+
+    The members that share a pivot are dealt into blocks; each pair of blocks is compared by the product of its incidence matrices,
+    and only links that join two components come out, fewer than there are members.
+    """
+    counts = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
+    dealt = members.join(counts, "pivot").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")) \
+        .withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")) \
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("pivot", F.least("k", "t").alias("i"), F.greatest("k", "t").alias("j"), "doc_id", "c", "k") \
+        .join(sets, "doc_id")
+
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        sizes = df["s"].map(len).to_numpy()
+        flat = np.concatenate([np.asarray(x, np.int64) for x in df["s"]])
+        owner = np.repeat(np.arange(len(df)), sizes)
+        values, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.cumsum(times > 1) - 1
+        shared = times[place] > 1
+        owner, place = owner[shared], order[place[shared]]
+        common = np.zeros((len(df), len(df)), np.float32)
+        by = np.argsort(place, kind="stable")
+        owner, place = owner[by], place[by]
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            lo, hi = np.searchsorted(place, (at, at + COLUMNS))
+            part = np.zeros((len(df), COLUMNS), np.float32)
+            part[owner[lo:hi], place[lo:hi] - at] = 1
+            common += part @ part.T
+        both = sizes[:, None] + sizes[None, :]
+        x, y = np.nonzero(np.triu(100 * common >= percent * (both - common), 1))
+        names = {}
+        def find(c):
+            while names.get(c, c) != c:
+                c = names[c]
+            return c
+        ids, comps, out = df["doc_id"].to_numpy(), df["c"].to_numpy(), []
+        for u, v in zip(x, y):
+            p, q = find(comps[u]), find(comps[v])
+            if p != q:
+                names[max(p, q)] = min(p, q)
+                out.append((ids[u], ids[v]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt.select("pivot", "i", "j", "doc_id", "c", "s").groupBy("pivot", "i", "j") \
+        .applyInPandas(compare, f"a {id_type}, b {id_type}")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
@@ -218,16 +270,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     id_type = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     index = _index(rows, size, percent, id_type)
-    entry = index.filter("n_shingles > 0").select("doc_id", F.posexplode("schemes").alias("scheme", "x")) \
-        .select("doc_id", "scheme", "x.spare", "x.near", F.posexplode("x.keys").alias("pos", "key")) \
-        .select("key", "doc_id", F.when(F.col("pos") < F.col("near"), -1).otherwise(F.col("spare") * 2 + F.col("scheme"))
+    entry = index.filter("n_shingles > 0").select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.posexplode("schemes").alias("scheme", "x")) \
+        .select("doc_id", "size", "scheme", "x.spare", "x.near", F.posexplode("x.keys").alias("pos", "key")) \
+        .select("key", "doc_id", "size", F.when(F.col("pos") < F.col("near"), -1).otherwise(F.col("spare") * 2 + F.col("scheme"))
                 .cast("int").alias("skip"))
-    shared = materialize(_shared_keys(entry), "shared-keys")
+    shared = materialize(_shared_keys(entry), "shared-keys", narrow=True)
     costs = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("cost")), "key-costs")
     ranked = shared.filter("skip >= 0").join(costs, "key")
     costly = Window.partitionBy("doc_id", "skip").orderBy(F.desc("cost"), "key")
     paid = ranked.withColumn("__r", F.row_number().over(costly)).filter("__r > shiftright(skip, 1)")
-    buckets = materialize(paid.select("key", "doc_id").unionByName(shared.filter("skip < 0").select("key", "doc_id"))
+    buckets = materialize(paid.select("key", "doc_id", "size").unionByName(shared.filter("skip < 0").select("key", "doc_id", "size"))
                           .distinct(), "buckets")
 
     ids = buckets.select("doc_id").distinct()
@@ -239,38 +291,34 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
                 yield pd.DataFrame({"doc_id": df["doc_id"], "s": [shingles(t, size).view(np.int64) for t in df["text"]]})
 
     sets = materialize(wanted.mapInPandas(sets_of, f"doc_id {id_type}, s array<long>"), "shingle-sets")
+    def alike(x: str, y: str):
+        return 100 * F.least(x, y).cast("long") >= percent * F.greatest(x, y).cast("long")
+
+    def ordered(near: DataFrame) -> DataFrame:
+        return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
+
     links = index.filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    tested = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn:
-            belongs = components(links)
-            open_rows = buckets.join(belongs.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
-                .withColumn("c", F.coalesce("component", "doc_id"))
-            split = open_rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-            buckets_now = materialize(open_rows.join(split.select("key"), "key").select("key", "doc_id", "c"), "open-buckets")
-        else:
-            buckets_now = buckets.withColumn("c", F.col("doc_id"))
-        if turn < PIVOT_ROUNDS:
-            pivot = buckets_now.groupBy("key").agg(F.min_by(F.struct("doc_id", "c"),
-                                                            F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id"),
-                                                                     "doc_id")).alias("p"))
-            near = buckets_now.join(pivot, "key").filter(F.col("c") != F.col("p.c")) \
-                .select(F.col("doc_id").alias("x"), F.col("p.doc_id").alias("y"))
-        else:
-            other = buckets_now.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"))
-            near = buckets_now.join(other, "key").filter("c < cy").select(F.col("doc_id").alias("x"), "y")
-        pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        judged = materialize(_verified(pairs, sets, percent), "judged")
-        if not judged.take(1):
-            if turn == PIVOT_ROUNDS:
-                break
-            if turn and not buckets_now.take(1):
-                break
-            continue
-        tested = judged if tested is None else tested.unionByName(judged)
-        links = links.unionByName(judged.filter("linked").select("a", "b"))
+    pivots = buckets.groupBy("key").agg(F.min_by(F.struct("doc_id", "size"), "doc_id").alias("p"))
+    near = buckets.join(pivots, "key").filter((F.col("doc_id") != F.col("p.doc_id")) & alike("size", "p.size")) \
+        .select(F.col("doc_id").alias("x"), F.col("p.doc_id").alias("y"))
+    judged = materialize(_verified(ordered(near), sets, percent), "judged")
+    links = links.unionByName(judged.filter("linked").select("a", "b"))
+
+    # what is left: members of one bucket in different components
+    belongs = components(links)
+    rows_now = buckets.join(belongs.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
+        .withColumn("c", F.coalesce("component", "doc_id"))
+    split = rows_now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                        F.min("doc_id").alias("pivot")).filter("lo < hi")
+    left = materialize(rows_now.join(split.select("key", "n", "pivot"), "key")
+                       .select("key", "doc_id", "size", "c", "n", "pivot"), "open-buckets")
+    few = left.filter(F.col("n") <= PAIRED)
+    other = few.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("sy"))
+    pairs = ordered(few.join(other, "key").filter((F.col("c") < F.col("cy")) & alike("size", "sy"))
+                    .select(F.col("doc_id").alias("x"), "y"))
+    judged = materialize(_verified(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "judged")
+    across = _large_buckets(left.filter(F.col("n") > PAIRED).select("pivot", "doc_id", "c").distinct(), sets, percent, id_type)
+    links = links.unionByName(judged.filter("linked").select("a", "b")).unionByName(materialize(across, "across"))
     belongs = components(links)
     return index.select("doc_id", "n_shingles") \
         .join(belongs.withColumnRenamed("node", "doc_id"), "doc_id", "left") \

@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     kept = docs.drop("n_lines", "n_removed", "n_runs")
     spans = materialize(repeated_runs(docs, doc_id, text).groupBy(F.col("doc_id").alias("__id"))
-                        .agg(F.collect_list(F.struct("at", "n")).alias("__spans")), "line-runs")
+                        .agg(F.collect_list(F.struct("at", "n")).alias("__spans")), "line-runs", narrow=True)
 
     @F.pandas_udf("text string, n_lines long, n_removed long, n_runs long")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
