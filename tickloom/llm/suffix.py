@@ -26,6 +26,8 @@ _WINDOW = LENGTH - GRAM + 1
 STRETCH = 1 << 20
 #: Blocks a task settles among themselves before it sends one of each kind on.
 FLUSH = 1_500_000
+#: Blocks whose strings are sorted together.
+LOT = 4000
 _BYTES = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -134,39 +136,90 @@ def _runs(df: DataFrame, keys: list[str], inner: list[str]) -> DataFrame:
         .mapInPandas(run, f"{fields}, copies boolean, head boolean")
 
 
-def _second_ranks(df: DataFrame, id_type: str) -> DataFrame:
-    """Every string start of the wanted blocks with the ranks of its two halves; equal ones of a task are sent once."""
-    half = LENGTH // 2
-
+def _contexts(df: DataFrame, id_type: str) -> DataFrame:
+    """The bytes behind the strings of every wanted block."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            ids, a, b, at = [], [], [], []
+            out = []
             for d, text, blocks in zip(df["doc_id"], df["text"], df["blocks"]):
-                data = _as_bytes(text)
-                starts = np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in blocks])
-                starts.sort()
-                for piece in np.split(starts, np.flatnonzero(np.diff(starts) > STRETCH) + 1):
-                    for lot in np.array_split(piece, -(-(int(piece[-1] - piece[0]) + 1) // STRETCH)):
-                        if not len(lot):
-                            continue
-                        base = int(lot[0])
-                        total, i = _sums(data[base:int(lot[-1]) + LENGTH]), lot - base
-                        a.append(_hash(total, i, i + half, 4))
-                        b.append(_hash(total, i + half, i + LENGTH, 4))
-                        at.append(lot)
-                        ids.extend([d] * len(lot))
-            if not ids:
-                continue
-            a, b, at = (np.concatenate(x) for x in (a, b, at))
-            order = np.lexsort((b, a))
-            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-            twin, follower = np.zeros(len(a), bool), np.zeros(len(a), bool)
-            twin[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            follower[order] = np.concatenate(([False], same))
-            yield pd.DataFrame({"doc_id": ids, "a": a.view(np.int64), "b": b.view(np.int64), "at": at,
-                                "twin": twin, "sent": ~follower})
+                data = (text or "").encode("utf-8", "surrogatepass")
+                out += [(x["g"], d, x["at"], data[x["at"]:x["at"] + x["n"] + LENGTH - 1]) for x in blocks
+                        if x["at"] + x["n"] + LENGTH - 1 <= len(data)]
+            if out:
+                yield pd.DataFrame(out, columns=["g", "doc_id", "at", "bytes"])
+
+    return df.mapInPandas(run, f"g long, doc_id {id_type}, at long, bytes binary")
 
-    return df.mapInPandas(run, f"doc_id {id_type}, a long, b long, at long, twin boolean, sent boolean")
+
+def _pairs_of_ranks(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Row number, start, and the ranks of both halves of every string in some contexts."""
+    half = LENGTH // 2
+    data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+    size = rows["bytes"].map(len).to_numpy()
+    n = size - LENGTH + 1
+    row = np.repeat(np.arange(len(rows)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    i = np.repeat(np.cumsum(size) - size, n) + step
+    total = _sums(data)
+    return row, rows["at"].to_numpy()[row] + step, _hash(total, i, i + half, 4), _hash(total, i + half, i + LENGTH, 4)
+
+
+def _second_ranks(contexts: DataFrame, id_type: str) -> DataFrame:
+    """Strings of the full length that repeat, as (doc_id, at, n) with null ranks.
+
+    Contexts are streamed in the order of their first rank, a bounded lot at a time, and their strings sorted by the pair of ranks of
+    their halves. Strings of a first rank that fills more than a lot are handed on with their ranks, one of each kind of a
+    lot, to be compared once more.
+    """
+    def settle(rows: pd.DataFrame, whole: bool) -> pd.DataFrame:
+        row, at, a, b = _pairs_of_ranks(rows)
+        order = np.lexsort((at, row, b, a))
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        twin, follower = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        twin[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        follower[order] = np.concatenate(([False], same))
+        # neighbouring starts of a context make up one row
+        k = np.flatnonzero(twin)
+        new = np.concatenate(([True], (np.diff(k) > 1) | (np.diff(row[k]) > 0))) if len(k) else np.zeros(0, bool)
+        first = k[new]
+        n = np.diff(np.concatenate((np.flatnonzero(new), [len(k)])))
+        ids = rows["doc_id"].to_numpy()
+        done = pd.DataFrame({"doc_id": ids[row[first]], "at": at[first], "n": n.astype(np.int32), "a": None, "b": None})
+        if whole:
+            return done
+        on = np.flatnonzero(~follower)
+        more = pd.DataFrame({"doc_id": ids[row[on]], "at": at[on], "n": np.ones(len(on), np.int32),
+                             "a": a[on].view(np.int64), "b": b[on].view(np.int64)})
+        return pd.concat([done.astype({"a": "Int64", "b": "Int64"}), more.astype({"a": "Int64", "b": "Int64"})])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, split = None, None
+        for df in frames:
+            held = df if held is None else pd.concat([held, df], ignore_index=True)
+            while len(held) >= LOT:
+                g = held["g"].to_numpy()
+                last = 0 if g[0] == g[-1] else int(np.flatnonzero(g != g[-1])[-1]) + 1
+                cut = last or LOT
+                lot, held = held.iloc[:cut], held.iloc[cut:].reset_index(drop=True)
+                if not last:
+                    split = g[-1]
+                    yield settle(lot, False)
+                    continue
+                mine = lot["g"].to_numpy() == split
+                if split is not None and mine.any():
+                    yield settle(lot[mine], False)
+                    lot, split = lot[~mine], None
+                if len(lot):
+                    yield settle(lot, True)
+        if held is not None and len(held):
+            mine = held["g"].to_numpy() == split if split is not None else np.zeros(len(held), bool)
+            if mine.any():
+                yield settle(held[mine], False)
+            if not mine.all():
+                yield settle(held[~mine], True)
+
+    return contexts.repartition("g").sortWithinPartitions("g") \
+        .mapInPandas(run, f"doc_id {id_type}, at long, n int, a long, b long")
 
 
 def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,7 +233,7 @@ def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     first = materialize(_first_ranks(rows, id_type), "first-ranks")
     sent = first.filter("sent").select("g", "content", "doc_id", "at", "n", "twin")
-    ranked = materialize(_runs(sent, ["g"], ["content"]), "shared-ranks")
+    ranked = materialize(_runs(sent, ["g"], ["content"]), "shared-ranks", narrow=True)
     settled = first.filter("twin").select("doc_id", "at", "n") \
         .unionByName(ranked.filter("copies").select("doc_id", "at", "n"))
     # groups whose blocks differ, unless every kind of block has copies
@@ -188,11 +241,11 @@ def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.count(F.lit(1)).alias("kinds"), F.min((F.col("copies") | F.col("twin")).cast("int")).alias("known")) \
         .filter("kinds > 1 and known = 0").select("g")
     wanted = materialize(ranked.filter("head").join(mixed_groups, "g").groupBy("doc_id")
-                         .agg(F.collect_list(F.struct("at", "n")).alias("blocks")), "open-blocks")
-    second = materialize(_second_ranks(rows.join(wanted, "doc_id"), id_type), "second-ranks")
-    doubled = _runs(second.filter("sent").select("a", "b", "doc_id", "at"), ["a", "b"], [])
-    single = second.filter("twin").select("doc_id", "at").unionByName(doubled.select("doc_id", "at"))
-    return settled.unionByName(single.withColumn("n", F.lit(1)))
+                         .agg(F.collect_list(F.struct("g", "at", "n")).alias("blocks")), "open-blocks")
+    second = materialize(_second_ranks(_contexts(rows.join(wanted, "doc_id"), id_type), id_type), "second-ranks")
+    split = second.filter("a is not null").select("a", "b", "doc_id", "at")
+    doubled = materialize(_runs(split, ["a", "b"], []).select("doc_id", "at", F.lit(1).alias("n")), "split-ranks", narrow=True)
+    return settled.unionByName(second.filter("a is null").select("doc_id", "at", "n")).unionByName(doubled)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +257,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     id_type = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     starts = materialize(repeated_strings(docs, doc_id, text).groupBy("doc_id")
-                         .agg(F.collect_list(F.struct("at", "n")).alias("starts")), "repeats")
+                         .agg(F.collect_list(F.struct("at", "n")).alias("starts")), "repeats", narrow=True)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
