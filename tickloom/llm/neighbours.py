@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 PROJECTIONS, THRESHOLD = 40, 33
 #: First window (half width, in units of the block's median projected spread), its growth, and the share of a block that is verified at least.
 START, GROWTH, VERIFIED = 0.5, 1.15, 0.30
+#: Vectors of a block that are verified at least (all of a smaller one).
+LEAST = 1000
 #: Vectors of an index block and queries of a query block, about.
 BLOCK, QUERIES = 8192, 2048
 
@@ -48,7 +50,7 @@ class Block:
         half = START * self.unit
         distance = np.full(n, np.inf)
         checked = np.zeros(n, bool)
-        enough = min(n, max(4 * k, int(VERIFIED * n)))
+        enough = min(n, max(LEAST, 4 * k, int(VERIFIED * n)))
         while True:
             a = [int(x.searchsorted(c - half, "left")) for x, c in zip(self.sorted, centre)]
             b = [int(x.searchsorted(c + half, "right")) for x, c in zip(self.sorted, centre)]

@@ -1,0 +1,35 @@
+"""DuckDB SQL of the queries that SQL can express."""
+
+from __future__ import annotations
+
+_WORD = r"[^\x20\x09-\x0D]"
+
+LINE_DEDUP = rf"""WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line FROM split, unnest(range(len(ls))) AS u(i)),
+    b AS (SELECT * FROM l WHERE regexp_matches(line, '{_WORD}')),
+    runs AS (SELECT doc_id, pos, final, key FROM (SELECT doc_id, pos, lead(pos, 2) OVER w AS final,
+        [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS key FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE final IS NOT NULL
+      UNION ALL SELECT doc_id, pos, pos, [line] FROM b WHERE len(regexp_extract_all(line, '{_WORD}+')) >= 50),
+    later AS (SELECT doc_id, pos, final FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
+    marked AS (SELECT l.*, EXISTS (SELECT 1 FROM later r WHERE r.doc_id = l.doc_id AND l.pos BETWEEN r.pos AND r.final) AS gone FROM l),
+    counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+        count(*) FILTER (WHERE gone AND NOT before) AS n_runs, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
+      FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM marked) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, md5(kept) AS kept_md5
+    FROM documents LEFT JOIN counted USING (doc_id)"""
+
+QUALITY_RULES = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM documents),
+    g AS (SELECT doc_id, i, ws[i + 1:i + 8] AS gram FROM w, unnest(range(len(ws) - 7)) AS u(i)),
+    r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+    c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(8) AS x(k) GROUP BY doc_id),
+    m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+    f AS (SELECT *, n_words < 20 AS few, 100 * n_repeat_words > 30 * n_words AS repeats, 100 * n_symbols > 30 * n_words AS symbols,
+        100 * n_dup_lines > 30 * n_lines AS dups, word_chars < 2 * n_words OR word_chars > 15 * n_words AS lengths FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR repeats AS base_failed,
+      NOT (few OR repeats OR symbols OR dups OR lengths) AS kept,
+      few::BIGINT + 2 * repeats::BIGINT + 4 * symbols::BIGINT + 8 * dups::BIGINT + 16 * lengths::BIGINT AS fail_bits FROM f"""
+
+SQL = {"op5_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES}

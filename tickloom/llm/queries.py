@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import jaccard, language, lines, mixing, neighbours, packing, pages, quality, suffix, urls
 from .common import table
+from .oracle import SQL  # noqa: F401 - read by the entry point
 
 #: The rules every ``pages`` url is judged by.
 URL_RULES = urls.parse_rules(["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"])
@@ -79,7 +80,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_nearest_neighbours, op7_suffix_array_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
-SQL: dict[str, str] = {}
 
 
 def in_utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
