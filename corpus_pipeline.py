@@ -36,14 +36,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 or more the one with the smallest id stays."""
+    """Of each group of documents linked by five-word shingles at 0.8 or more the one with the smallest id stays.
+
+    Rows without an id are in no group and stay.
+    """
     groups = jaccard.jaccard_components(docs, size=5, percent=80)
-    stay = groups.filter("component_id = doc_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    gone = groups.filter("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen by the domain, language and source budgets, each once."""
+    """Documents chosen by the domain, language and source budgets, each once; rows without an id or a word are not."""
     chosen = mixing.mix(docs.withColumn("domain", queries.domain_of(F.col("source"))), queries.MIX_LEVELS,
                         queries.MIX_WEIGHTS, share=MIX_SHARE, max_epochs=1)
     return docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)

@@ -265,10 +265,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
 
     Words are separated by space and U+0009 to U+000D, A-Z in lower case; two documents link when
     100 * intersection >= ``percent`` * union of their shingle sets. Null texts and texts without words have the empty
-    set, n_shingles 0, and link with nothing. Ids should be unique; rows that repeat an id share its component.
+    set, n_shingles 0, and link with nothing. Ids should be unique; rows that repeat an id share its component,
+    rows without one are left out.
     """
     id_type = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     index = _index(rows, size, percent, id_type)
     entry = index.filter("n_shingles > 0").select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.posexplode("schemes").alias("scheme", "x")) \
         .select("doc_id", "size", "scheme", "x.spare", "x.near", F.posexplode("x.keys").alias("pos", "key")) \

@@ -70,7 +70,7 @@ def _later(df: pd.DataFrame, head: tuple | None) -> tuple[np.ndarray, np.ndarray
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, at, n): ``n`` lines from line ``at`` (from 0) on that also stand at an earlier (doc_id, line)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
 
     def select(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A line goes when it lies in ``WINDOW`` consecutive lines with a word that stand in the same order at an earlier
     (doc_id, line), or has ``LONG_WORDS`` words or more and stands earlier itself; blank lines inside a run go with it. The
     other lines stay as they are, joined by one ``\\n``. Null texts stay null (no lines), empty ones have one line.
-    Rows that repeat an id do not count as copies of each other; what is repeated elsewhere goes from all of them.
+    Rows that repeat an id do not count as copies of each other; what is repeated elsewhere goes from all of them. Rows
+    without an id have no place in the order: they take no part and stay as they are.
     Added columns replace columns of the same name.
     """
     kept = docs.drop("n_lines", "n_removed", "n_runs")

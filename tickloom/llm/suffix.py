@@ -226,11 +226,11 @@ def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """(doc_id, at, n): starts ``at`` to ``at + n - 1`` of strings of ``LENGTH`` bytes that also start anywhere else.
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents. Starts may be listed more than once. Ids should be unique:
-    a start is told by its id, so rows that repeat an id share what is found.
+    a start is told by its id, so rows that repeat an id share what is found. Rows without an id take no part and stay whole.
     """
     small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     first = materialize(_first_ranks(rows, id_type), "first-ranks")
     sent = first.filter("sent").select("g", "content", "doc_id", "at", "n", "twin")
     ranked = materialize(_runs(sent, ["g"], ["content"]), "shared-ranks", narrow=True)

@@ -67,7 +67,7 @@ def matched_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column
 
 def _entropy(text: Column) -> Column:
     """Bits per character of a text, 0 for an empty one."""
-    n = F.length(text).cast("double")
+    n = F.greatest(F.length(text), F.lit(1)).cast("double")
     def term(c: Column) -> Column:
         p = (n - F.length(F.replace(text, c, F.lit("")))) / n
         return -p * F.log2(p)
