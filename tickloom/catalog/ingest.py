@@ -8,8 +8,8 @@ from ..functions import scalars as S
 from ..operators import normalize as N
 from ..operators.book import level_rows
 from ..operators.merge import latest_per_symbol
-from ..plans.serving import in_range
-from ..schemas import HOUR_MS, KLINE, MINUTE_MS, TRADE
+from ..plans.serving import in_range, request_problem
+from ..schemas import DAY_MS, HOUR_MS, KLINE, MAX_HISTORICAL, MINUTE_MS, TRADE
 from ..session import fresh_dir
 from ..sources import lake, tables as tb, topics
 from .registry import OHLCV, query, with_views
@@ -247,8 +247,20 @@ def _requests(spark, d) -> DataFrame:
         SELECT event_id, upper(event_type) || user_id || CASE WHEN value >= 20 THEN '/USDT' ELSE 'USDT' END AS symbol
         FROM events))""")
 def _(spark, d):
-    good, bad = N.split_symbols(_requests(spark, d))
-    return (good.withColumn("is_valid", F.lit(True)).unionByName(bad.withColumn("is_valid", F.lit(False))))
+    return N.flag_symbols(_requests(spark, d))
+
+
+@query("validated_requests", "P18", f"""SELECT event_id, CASE WHEN value >= 20 THEN 'Invalid symbol'
+      WHEN "limit" NOT BETWEEN 1 AND {MAX_HISTORICAL} THEN 'limit must be between 1 and {MAX_HISTORICAL}'
+      WHEN days <= 0 THEN 'end must be greater than start' WHEN days > 365 THEN 'range cannot exceed 1 year' END AS problem
+    FROM (SELECT event_id, value, event_id % 60 * 100 - 200 AS "limit", user_id % 500 - 20 AS days FROM events)""")
+def _(spark, d):
+    at = S.to_ms("ts")
+    days = (F.col("user_id") % 500 - 20).cast("bigint")
+    extra = tb.load(spark, d, "events").select("event_id", at.alias("start_ms"), (at + days * DAY_MS).alias("end_ms"),
+                                               (F.col("event_id") % 60 * 100 - 200).alias("limit"))
+    requests = _requests(spark, d).join(extra, "event_id")
+    return requests.select("event_id", request_problem(MAX_HISTORICAL).alias("problem"))
 
 
 @query("validated_intervals", "P17", """SELECT event_id, "interval", CAST(CASE "interval" WHEN '1m' THEN 60

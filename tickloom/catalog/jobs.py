@@ -58,6 +58,12 @@ def _(spark, d):
     return J.trim_history(tb.ticks(spark, d), DAY_MS).select("seq", "symbol", "event_time", "price")
 
 
+@query("unexpired_history", "M4", with_views("ticks_many", f"""SELECT seq, symbol, event_time FROM ticks_many SEMI JOIN
+    (SELECT symbol FROM ticks_many GROUP BY symbol HAVING max(event_time) > {NOW - DAY_MS}) USING (symbol)"""))
+def _(spark, d):
+    return J.unexpired(tb.ticks_many(spark, d), NOW, DAY_MS).select("seq", "symbol", "event_time")
+
+
 # ------------------------------------------------------------------ compaction and imports
 
 @query("compacted_table", "M5", with_views("k1m", f"SELECT {KLINE_COLS} FROM k1m"))

@@ -187,10 +187,17 @@ def closed_minutes(klines: DataFrame) -> DataFrame:
     return klines.filter((F.col("interval") == "1m") & F.col("is_closed"))
 
 
+def flag_symbols(requests: DataFrame) -> DataFrame:
+    """Requests with ``is_valid``; the valid ones with their normalised symbol, the others as given."""
+    ok = symbol_is_valid("symbol")
+    return requests.withColumn("is_valid", ok).withColumn(
+        "symbol", F.when(F.col("is_valid"), normal_symbol("symbol")).otherwise(F.col("symbol")))
+
+
 def split_symbols(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid with normalised symbol, rejected as given)."""
-    ok = symbol_is_valid("symbol")
-    return (requests.filter(ok).withColumn("symbol", normal_symbol("symbol")), requests.filter(~ok))
+    flagged = flag_symbols(requests)
+    return flagged.filter("is_valid").drop("is_valid"), flagged.filter("NOT is_valid").drop("is_valid")
 
 
 def with_interval_seconds(requests: DataFrame) -> DataFrame:

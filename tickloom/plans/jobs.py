@@ -14,7 +14,7 @@ from ..operators.lookup import rows_in_ranges
 from ..operators.merge import only_new, priority_merge
 from ..operators.normalize import candle_points, synthetic_ticks, tradable_symbols
 from ..operators.sizing import small_side
-from ..schemas import (CACHE_RETENTION_MS, DAY_MS, GAP_LOOKBACK_MS, HISTORY_TRIM_MS, HOUR_MS,
+from ..schemas import (CACHE_RETENTION_MS, DAY_MS, GAP_LOOKBACK_MS, HISTORY_TRIM_MS, HISTORY_TTL_MS, HOUR_MS,
                        MIN_GAP_MS, MIN_INPUT_FILES, MINUTE_MS, POPULATE_DAYS,
                        STORE_RETENTION_MS, TARGET_FILE_BYTES)
 from ..sources.lake import (SORT_ORDER, append_sorted, data_files, drop_days, overwrite_days,
@@ -80,6 +80,12 @@ def trim_history(ticks: DataFrame, keep_ms: int = HISTORY_TRIM_MS) -> DataFrame:
     return ticks.join(small_side(cutoff), "symbol").filter(F.col("event_time") > F.col("_cutoff")).drop("_cutoff")
 
 
+def unexpired(rows: DataFrame, now_ms: int, keep_ms: int = HISTORY_TTL_MS, time: str = "event_time") -> DataFrame:
+    """Rows of the symbols last written less than ``keep_ms`` ago; a symbol expires as a whole."""
+    written = rows.filter(F.col(time) > now_ms - keep_ms).select("symbol").distinct()
+    return rows.join(small_side(written), "symbol", "left_semi")
+
+
 def compact(spark: SparkSession, path: str, sort: tuple[str, ...] = SORT_ORDER["kline"],
             target_bytes: int = TARGET_FILE_BYTES, min_files: int = MIN_INPUT_FILES) -> int:
     """Merge the small files of every day that has ``min_files`` of them; returns the days done.

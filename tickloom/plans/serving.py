@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalars import ms_to_timestamp
+from ..functions.scalars import ms_to_timestamp, symbol_is_valid
 from ..operators.candles import interval_ms, resample
 from ..operators.lookup import enrich_with_live
 from ..operators.merge import best_by_volume, newest_n, prepend_older, priority_merge
@@ -42,6 +42,15 @@ def checked_range(start_ms: int, end_ms: int) -> None:
         raise ValueError("range cannot exceed 1 year")
 
 
+def request_problem(most: int) -> Column:
+    """What is wrong with a row (symbol, start_ms, end_ms, limit) of a table of requests; null for a good one."""
+    span = F.col("end_ms") - F.col("start_ms")
+    return (F.when(~symbol_is_valid("symbol"), "Invalid symbol")
+            .when(~F.coalesce(F.col("limit").between(1, most), F.lit(False)), f"limit must be between 1 and {most}")
+            .when(~F.coalesce(span > 0, F.lit(False)), "end must be greater than start")
+            .when(span > MAX_RANGE_MS, "range cannot exceed 1 year"))
+
+
 def for_symbols(df: DataFrame, symbols: Sequence[str] | None) -> DataFrame:
     """All symbols, or the given ones (validated); a pushed ``IN`` filter, not a join."""
     return df if symbols is None else df.filter(F.col("symbol").isin([checked_symbol(s) for s in symbols]))

@@ -96,6 +96,8 @@ MIN_GAP_MS = 300_000
 GAP_LOOKBACK_MS = 7 * DAY_MS
 HEARTBEAT_MS = 5_000
 HISTORY_TRIM_MS = 300_000
+# A symbol's tick history and its book are dropped as a whole this long after their last write.
+HISTORY_TTL_MS, BOOK_TTL_MS = 600_000, 300_000
 LISTING_EPOCH_MS = 1_500_000_000_000
 STORE_RETENTION_MS = {"1s": 7 * DAY_MS, "1m": 90 * DAY_MS}
 CACHE_RETENTION_MS = {"1s": DAY_MS, "1m": 7 * DAY_MS}
