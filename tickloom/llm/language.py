@@ -19,10 +19,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import small_batches
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (1, 2, 3, 4)
+#: Texts of a mini-batch.
+BATCH = 16
 #: Training texts of one language at most (expected number; chosen by hash).
 TRAIN_PER_LANGUAGE = 500
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: Share of doubt in the labels of the calibration texts; it keeps scores below certainty where all of them are right.
+SMOOTHING = 0.02
 #: Bytes of a subword: letters a to z and all bytes of other scripts; everything else is a word border.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -73,8 +77,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(counts: list[np.ndarray], buckets: list[np.ndarray], labels: np.ndarray, languages: list[str],
-          epochs: int = 12, rate: float = 2.0, seed: int = 3) -> LanguageModel:
-    """Stochastic gradient descent over mini-batches; every fifth text is kept for calibration."""
+          epochs: int = 12, steps: int = 1200, rate: float = 2.0, seed: int = 3) -> LanguageModel:
+    """Stochastic gradient descent over mini-batches; every fifth text is kept for calibration.
+
+    Small samples are passed more often, so that there are about ``steps`` batches at least.
+    """
     rng = np.random.default_rng(seed)
     k, n = len(languages), len(labels)
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -87,9 +94,10 @@ def train(counts: list[np.ndarray], buckets: list[np.ndarray], labels: np.ndarra
     def mean(i: int) -> np.ndarray:
         return shares[i] @ embed[buckets[i]] if len(buckets[i]) else np.zeros(DIM, np.float32)
 
+    epochs = max(epochs, -(-steps * BATCH // max(1, len(fit))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 16)):
+        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH)):
             if not len(batch):
                 continue
             x = np.stack([mean(i) for i in batch])
@@ -103,8 +111,11 @@ def train(counts: list[np.ndarray], buckets: list[np.ndarray], labels: np.ndarra
                 embed[buckets[i]] -= 20 * step * shares[i][:, None] * g
     logits = np.stack([mean(i) for i in held]) @ weight + bias
     truth = labels[held]
-    grid = np.geomspace(0.05, 5, 60)
-    loss = [-np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in grid]
+    grid = np.geomspace(0.01, 5, 80)
+    loss = []
+    for t in grid:
+        p = np.log(_softmax(logits / t) + 1e-12)
+        loss.append(-((1 - SMOOTHING) * p[np.arange(len(held)), truth] + SMOOTHING * p.mean(1)).mean())
     temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == truth]
