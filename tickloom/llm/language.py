@@ -27,6 +27,8 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Share of doubt in the labels of the calibration texts; it keeps scores below certainty where all of them are right.
 SMOOTHING = 0.02
+#: No score from here on is rejected.
+DOUBT = 0.4
 #: Bytes of a subword: letters a to z and all bytes of other scripts; everything else is a word border.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -119,8 +121,8 @@ def train(counts: list[np.ndarray], buckets: list[np.ndarray], labels: np.ndarra
     temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == truth]
-    # rejects at most one in a thousand of the rightly predicted texts, and only scores below one half
-    floor = min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.0
+    # rejects at most one in a thousand of the rightly predicted texts, and only scores below a bound
+    floor = min(DOUBT, float(np.quantile(right, 0.001))) if len(right) else 0.0
     return LanguageModel(languages, (embed @ weight).astype(np.float32), bias, temperature, floor)
 
 
