@@ -34,20 +34,37 @@ def _next_sent(times: np.ndarray, changed: np.ndarray, heartbeat_ms: int) -> np.
     return np.minimum(np.maximum(due, np.arange(1, n + 1)), change)
 
 
+def _chain_ends(jump: np.ndarray) -> np.ndarray:
+    """Last row of the chain of sent rows that starts at each row, by doubling the jumps."""
+    end = np.where(jump >= len(jump), np.arange(len(jump)), jump)
+    while True:
+        further = end[end]
+        if (further == end).all():
+            return end
+        end = further
+
+
+def _chain(jump: np.ndarray, start: int) -> np.ndarray:
+    """Rows of the chain that starts at ``start`` (and the end mark), by doubling the jumps."""
+    hop, rows = np.append(jump, len(jump)), np.array([start])
+    while rows[-1] < len(jump):
+        rows, hop = np.concatenate((rows, hop[rows])), hop[hop]
+    return rows
+
+
 def _block_maps(heartbeat_ms: int):
     """Reduce a block to: exit state per first sent row that some incoming state can lead to."""
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
         times, changed = rows["event_time"].to_numpy(), rows["changed"].to_numpy()
         n, jump = len(times), _next_sent(times, changed, heartbeat_ms)
-        last = np.empty(n, dtype=np.int64)
-        for i in range(n - 1, -1, -1):
-            last[i] = times[i] if jump[i] >= n else last[jump[i]]
+        last = times[_chain_ends(jump)]
         first_change = int(np.argmax(changed)) if changed.any() else n
         # Incoming state is older than the block, so a row at or beyond block start + heartbeat
         # is always due; rows with equal times are reached through the first of them only.
         reach = min(first_change + 1, int(np.searchsorted(times, times[0] + heartbeat_ms)) + 1, n)
-        firsts = np.array([i for i in range(reach) if i == first_change or i == 0 or times[i] > times[i - 1]])
+        new = np.concatenate(([True], times[1:reach] > times[:reach - 1]))
+        firsts = np.flatnonzero(new | (np.arange(reach) == first_change))
         # Neighbouring entries with the same exit collapse into the last of them.
         firsts = firsts[np.append(last[firsts[1:]] != last[firsts[:-1]], True)]
         return pd.DataFrame({
@@ -82,10 +99,9 @@ def _replay(heartbeat_ms: int):
         start = int(np.searchsorted(times, int(right["entry_time"].iloc[0]) + heartbeat_ms))
         if changed.any():
             start = min(start, int(np.argmax(changed)))
-        sent = np.zeros(n, dtype=bool)
-        while start < n:
-            sent[start] = True
-            start = int(jump[start])
+        sent = np.zeros(n + 1, dtype=bool)
+        sent[_chain(jump, min(start, n))] = True
+        sent = sent[:n]
         reason = np.where(changed, "change", np.where(sent, "heartbeat", "skipped"))
         return pd.DataFrame({"symbol": rows["symbol"], "seq": rows["seq"],
                              "event_time": rows["event_time"], "price": rows["price"], "reason": reason})
