@@ -165,3 +165,10 @@ def test_as_of_takes_the_value_at_or_before(spark):
     values = spark.createDataFrame([("A", 10, 1.0), ("A", 20, 2.0)], "symbol string, open_time long, close double")
     got = {r["open_time"]: r["close"] for r in as_dicts(as_of(probes, values, "close", 8))}
     assert got == {5: None, 10: 1.0, 15: 1.0, 99_999: 2.0}
+
+
+def test_smoothing_of_many_rows_in_one_step_stays_finite(spark):
+    rows = spark.range(5000).select(F.lit("A").alias("symbol"), F.lit(0).cast("long").alias("open_time"), F.lit(7.0).alias("close"))
+    out = I.ema(rows, [12, 26], 60_000)
+    low, high, n = out.agg(F.min("ema12"), F.max("ema26"), F.count("ema12")).first()
+    assert n == 5000 and abs(low - 7.0) < 1e-9 and abs(high - 7.0) < 1e-9

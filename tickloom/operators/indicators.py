@@ -66,10 +66,13 @@ def _compose_blocks(specs: Sequence[Smoothing]):
 def smooth(series: DataFrame, specs: Sequence[Smoothing], step_ms: int) -> DataFrame:
     """Add one column per recursion; null before its seed is complete.
 
-    ``series`` has at most one row per symbol and step, so a block holds at most ``BLOCK_STEPS``
-    rows, which keeps the scaled weights ``(1 - a) ** -c`` far from overflow.
+    A time block with more than ``BLOCK_STEPS`` rows (repeated steps) is cut further by row number,
+    which keeps the scaled weights ``(1 - a) ** -c`` far from overflow.
     """
     rows = with_row_index(series, step_ms * BLOCK_STEPS, ["open_time"], keep=True)
+    # A block's time is a multiple of its length, so the small number of the cut keeps the order.
+    rows = (rows.withColumn(BLOCK, F.col(BLOCK) + F.floor((F.col(RN) - 1) / BLOCK_STEPS))
+            .withColumn(RN, (F.col(RN) - 1) % BLOCK_STEPS + 1))
     index, recursive = F.col("row_index"), []
     for i, spec in enumerate(specs):
         x = F.col(spec.source)
@@ -86,7 +89,7 @@ def smooth(series: DataFrame, specs: Sequence[Smoothing], step_ms: int) -> DataF
         *[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(specs))])
     schema = f"symbol string, {BLOCK} bigint, " + ", ".join(f"_e{i} double" for i in range(len(specs)))
     starts = summary.groupBy("symbol").applyInPandas(_compose_blocks(specs), schema)
-    running = block_window(["open_time"]).rowsBetween(W.unboundedPreceding, 0)
+    running = block_window(["row_index"]).rowsBetween(W.unboundedPreceding, 0)
     sums = rows.select("*", *[F.sum(f"_w{i}").over(running).alias(f"_r{i}") for i in recursive])
     out = sums.join(starts, ["symbol", BLOCK])
     values = []
