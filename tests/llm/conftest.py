@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from ..conftest import spark  # noqa: F401 - the session of all tests
-
 WORDS = [a + b + c for a in ("ba", "ke", "li", "mo", "nu", "ra", "se") for b in ("dan", "fel", "gor", "tis", "pul") for c in ("a", "en", "o")]
 
 
