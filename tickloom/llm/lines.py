@@ -135,7 +135,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                         len(lines), int(gone[:-1].sum()), runs))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_runs"])
 
-    joined = kept.join(spans, F.col(doc_id) == F.col("__id"), "left") \
+    # a shuffled join at every size: adaptive execution splits it, and no plan rests on how few runs there are
+    joined = kept.join(spans.hint("merge"), F.col(doc_id) == F.col("__id"), "left") \
         .withColumn("__cut", cut(F.col(text), F.col("__spans")))
     columns = [F.col("__cut.text").alias(c) if c == text else F.col(c) for c in kept.columns]
     return joined.select(*columns, "__cut.n_lines", "__cut.n_removed", "__cut.n_runs")
