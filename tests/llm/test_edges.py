@@ -155,6 +155,17 @@ def test_lines(spark):
     assert lines.repeated_runs(spark.createDataFrame([(9, run), (9, run)], "doc_id long, text string")).count() == 0
 
 
+def test_two_lines_of_many_words(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, few = prose(rng, 47), prose(rng, 8), prose(rng, 60), prose(rng, 30)
+    rows = [(1, f"{a}\n{b}\n{c}\n{few}"), (2, f"x\n{a}\n\n{b}\ny"), (3, f"{b}\n{c}\nz"), (4, f"{c}\n{few}"), (5, f"{b}\n{a}"), (6, f"{few}\n{b}"),
+            (7, f"{few}\n{b}\n{a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(got(lines.dedup_lines(df, run_words=50), "doc_id", "text")) == {
+        1: rows[0][1], 2: "x\ny", 3: "z", 4: "", 5: rows[4][1], 6: rows[5][1], 7: few}
+    assert dict(got(lines.dedup_lines(df), "doc_id", "n_removed")) == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]

@@ -30,10 +30,11 @@ def _digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def fingerprints(text: str | None) -> list[tuple[int, int, int, int, int]]:
+def fingerprints(text: str | None, run_words: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """(fingerprint, match hash in two parts, first line, lines) of each window of lines and of each long line.
 
-    A window counts its lines from the first to the last one with a word, blank lines between included.
+    With ``run_words`` also of each two lines that have so many words together, so no repeated run of lines with
+    ``LONG_WORDS`` or ``run_words`` words, whichever are more, goes unseen, however few lines it has. A window counts its lines from the first to the last one with a word, blank lines between included.
     """
     found, hashes = [], []
     for at, line in enumerate((text or "").split("\n")):
@@ -42,13 +43,15 @@ def fingerprints(text: str | None) -> list[tuple[int, int, int, int, int]]:
             continue
         data = line.encode("utf-8", "surrogatepass")
         d = _digest(data)
-        hashes.append((d, at))
+        hashes.append((d, at, n))
         if n >= LONG_WORDS:
             found.append((d[0], *_digest(b"line" + data), at, 1))
-    for k in range(len(hashes) - WINDOW + 1):
-        part = hashes[k:k + WINDOW]
-        match = _digest(b"".join(x.to_bytes(8, "little", signed=True) for d, _ in part for x in d))
-        found.append((min(d for d, _ in part)[0], *match, part[0][1], part[-1][1] - part[0][1] + 1))
+    parts = [hashes[k:k + WINDOW] for k in range(len(hashes) - WINDOW + 1)]
+    if run_words is not None:
+        parts += [[a, b] for a, b in zip(hashes, hashes[1:]) if a[2] + b[2] >= run_words]
+    for part in parts:
+        match = _digest(b"".join(x.to_bytes(8, "little", signed=True) for d, *_ in part for x in d))
+        found.append((min(d for d, *_ in part)[0], *match, part[0][1], part[-1][1] - part[0][1] + 1))
     return found
 
 
@@ -67,7 +70,7 @@ def _later(df: pd.DataFrame, head: tuple | None) -> tuple[np.ndarray, np.ndarray
     return first, ~first & ~((d == od) & (at == oat)), last
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int | None = None) -> DataFrame:
     """(doc_id, at, n): ``n`` lines from line ``at`` (from 0) on that also stand at an earlier (doc_id, line)."""
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -83,7 +86,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
         for df in frames:
             for d, t in zip(df["doc_id"], df["text"]):
-                held += [(*f, d) for f in fingerprints(t)]
+                held += [(*f, d) for f in fingerprints(t, run_words)]
                 if len(held) > FLUSH:
                     yield flush()
                     held = []
@@ -105,18 +108,19 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return found.filter("later").select("doc_id", "at", "n").unionByName(across)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the repeated runs taken out of ``text``, and n_lines, n_removed and n_runs added.
 
     A line goes when it lies in ``WINDOW`` consecutive lines with a word that stand in the same order at an earlier
-    (doc_id, line), or has ``LONG_WORDS`` words or more and stands earlier itself; blank lines inside a run go with it. The
+    (doc_id, line), or has ``LONG_WORDS`` words or more and stands earlier itself; blank lines inside a run go with it. With
+    ``run_words`` it also goes when it and a neighbour have so many words together and both stand in that order earlier. The
     other lines stay as they are, joined by one ``\\n``. Null texts stay null (no lines), empty ones have one line.
     Rows that repeat an id do not count as copies of each other; what is repeated elsewhere goes from all of them. Rows
     without an id have no place in the order: they take no part and stay as they are.
     Added columns replace columns of the same name.
     """
     kept = docs.drop("n_lines", "n_removed", "n_runs")
-    spans = materialize(repeated_runs(docs, doc_id, text).groupBy(F.col("doc_id").alias("__id"))
+    spans = materialize(repeated_runs(docs, doc_id, text, run_words).groupBy(F.col("doc_id").alias("__id"))
                         .agg(F.collect_list(F.struct("at", "n")).alias("__spans")), "line-runs", narrow=True)
 
     @F.pandas_udf("text string, n_lines long, n_removed long, n_runs long")
