@@ -99,6 +99,17 @@ def test_wrapper_tells_slots_from_template():
     assert pages.main_texts([page(9)], wrapper)[0] == ["Story 9 is about 63\nMore of 9"]
 
 
+def test_template_inside_a_marked_article_goes():
+    def page(i):
+        story = "".join(f"<p>Part {k} of story {i}</p>" for k in range(1 + i % 3))
+        return f"<body><article><h1>Title {i}</h1><div class='x7'>Members read more</div>{story}<p>Write to the desk</p></article></body>"
+    found, _ = pages.main_texts([page(i) for i in range(6)])
+    assert found == ["\n".join([f"Title {i}", *(f"Part {k} of story {i}" for k in range(1 + i % 3))]) for i in range(6)]
+    # copies of one story with another date are no template
+    copies = [f"<body><article><p>{'A long story. ' * 9}</p><p>Day {i}</p></article></body>" for i in range(4)]
+    assert pages.main_texts(copies)[0] == [f"{('A long story. ' * 9).strip()}\nDay {i}" for i in range(4)]
+
+
 def test_language(spark, docs):
     model = language.fit(docs, F.lit(True))
     out = {r["doc_id"]: r for r in language.predict(clashing(docs), model).collect()}

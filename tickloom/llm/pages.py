@@ -2,7 +2,7 @@
 
 The trees of same-host pages are aligned by simple tree matching. What stays the same on the aligned pages is the host's template; slots
 that vary hold content. Inside a page, marked page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) is left out, and the article is the marked article element, or else the varying slots.
+reader comments) is left out, and the article is what varies in the marked article element, or else in the page.
 
 Pages are dealt by ranges of (host, hash of the page), so a large host spreads over many tasks, each of which learns the wrapper from
 the pages it has, a bounded number at a time.
@@ -25,6 +25,8 @@ from .urls import host_of
 GROUP, LEAST = 64, 3
 #: A text is template when this share of the aligned pages has it.
 CONSTANT = 0.6
+#: The bulk of a page's text. Template blocks that make up more of a marked article stay: its pages are copies of one story.
+BULK = 0.8
 #: Differing middles of two lists of children whose product is larger stay unaligned.
 CELLS = 4000
 
@@ -51,6 +53,8 @@ FURNITURE = set("""ad ads adv advert adverts advertisement advertising adsense b
 ARTICLE_WORDS = set("article articlebody post entry story content maincontent main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
+#: Inside a marked article these stay or go as a whole.
+WHOLE = set("ul ol dl menu table".split())
 SCOPE = set("ul ol table article section div body html main td th dl blockquote aside nav header footer form".split())
 
 
@@ -195,25 +199,36 @@ def _aligned(template: Node, page: Node) -> Iterator[tuple[Node, Node]]:
 
 
 class Wrapper:
-    """A host's template: the tree of its richest page, with the texts that the aligned pages have at each node."""
+    """A host's template: the tree of its richest page, with the texts that the aligned pages have at each node and below it.
+
+    Blocks move up and down with the number of their siblings, so a text also counts by kind under the aligned parent.
+    """
 
     def __init__(self, trees: list[Node]):
         self.template = max(trees, key=lambda t: sum(1 for _ in _walk(t)))
         self.pages = len(trees)
         self.texts: dict[int, dict[str, int]] = {}
+        self.below: dict[int, dict[tuple, int]] = {}
         self.pairs: dict[int, list[tuple[Node, Node]]] = {}
         for tree in trees:
             self.pairs[id(tree)] = list(_aligned(self.template, tree))
             for a, b in self.pairs[id(tree)]:
                 counts = self.texts.setdefault(id(a), {})
                 counts[_own_text(b)] = counts.get(_own_text(b), 0) + 1
+                below = self.below.setdefault(id(a), {})
+                for key in {(*_kind(c), _own_text(c)) for c in b.children if _own_text(c)}:
+                    below[key] = below.get(key, 0) + 1
+
+    def _template(self, same: int) -> bool:
+        return same >= LEAST and same >= CONSTANT * self.pages
 
     def mark(self, tree: Node) -> None:
         """Mark the nodes of a page whose text is template."""
         for a, b in self.pairs.pop(id(tree), None) or _aligned(self.template, tree):
-            counts = self.texts.get(id(a), {})
-            same = counts.get(_own_text(b), 0)
-            b.constant = bool(_own_text(b)) and same >= LEAST and same >= CONSTANT * self.pages
+            counts, below = self.texts.get(id(a), {}), self.below.get(id(a), {})
+            b.constant = b.constant or bool(_own_text(b)) and self._template(counts.get(_own_text(b), 0))
+            for c in b.children:
+                c.constant = c.constant or bool(_own_text(c)) and self._template(below.get((*_kind(c), _own_text(c)), 0))
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -263,6 +278,34 @@ def _article(root: Node) -> tuple[Node, bool]:
     return root, False
 
 
+def _shown(node: Node) -> list[Node]:
+    """The nodes with text of their own outside furniture."""
+    found, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if _own_text(n):
+            found.append(n)
+        stack += [c for c in n.children if not _furniture(c)]
+    return found
+
+
+def _repeated(region: Node) -> set[int]:
+    """Ids of the outermost blocks of a marked article that are template in all their text."""
+    found, size, stack = set(), 0, [region]
+    while stack:
+        n = stack.pop()
+        for c in n.children:
+            if _furniture(c):
+                continue
+            texts = _shown(c) if c.tag in BLOCK else []
+            if texts and all(t.constant for t in texts):
+                found.add(id(c))
+                size += sum(len(_own_text(t)) for t in texts)
+            elif c.tag not in WHOLE:
+                stack.append(c)
+    return found if size <= BULK * sum(len(_own_text(t)) for t in _shown(region)) else set()
+
+
 def _link_share(node: Node) -> float:
     every = sum(len(_own_text(n)) for n in _walk(node))
     linked = sum(len(_own_text(n)) for a in _walk(node) if a.tag == "a" for n in _walk(a))
@@ -272,6 +315,7 @@ def _link_share(node: Node) -> float:
 def blocks(root: Node) -> list[str]:
     """Texts of the content blocks in page order."""
     content, marked = _article(root)
+    gone = _repeated(content) if marked else set()
     out, line = [], []
 
     def flush() -> None:
@@ -293,6 +337,9 @@ def blocks(root: Node) -> list[str]:
                 line.append(" " if p.tag == "br" else "")
             elif not _furniture(p):
                 block = p.tag in BLOCK
+                if id(p) in gone:
+                    stack.append((None, only))
+                    continue
                 if not marked and block and (p.constant and not p.children or p.tag in ("ul", "ol", "div", "p")
                                              and _link_share(p) > 0.7):
                     continue
