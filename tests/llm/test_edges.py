@@ -110,6 +110,20 @@ def test_template_inside_a_marked_article_goes():
     assert pages.main_texts(copies)[0] == [f"{('A long story. ' * 9).strip()}\nDay {i}" for i in range(4)]
 
 
+def test_wrappers_with_furniture_words_keep_the_article():
+    side, talk = "<div class='sidebar'><p>Side {i} of it</p></div>", "<div id='comments'><p>Reader {i} says</p></div>"
+    story = "<h1>Title {i}</h1><p>Long story {i} about many things</p>"
+    shells = [f"<div class='layout has-sidebar'><article>{story}</article>{side}</div>",
+              f"<main><div class='row with-nav'><article>{story}</article></div>{talk}</main>",
+              f"<div class='post comments-open'>{story}</div>{talk}", f"<form id='all'><article>{story}{talk}</article></form>",
+              f"<div class='no-sidebar'><div>{story}</div></div>"]
+    for shell in shells:
+        found, _ = pages.main_texts([f"<body>{shell}</body>".replace("{i}", str(i)) for i in range(5)])
+        assert found == [f"Title {i}\nLong story {i} about many things" for i in range(5)]
+    footer = f"<div>{story}</div><div class='footer-content'><p>Desk {{i}}</p></div>"
+    assert pages.main_texts([footer.replace("{i}", "1")])[0] == ["Title 1\nLong story 1 about many things"]
+
+
 def test_language(spark, docs):
     model = language.fit(docs, F.lit(True))
     out = {r["doc_id"]: r for r in language.predict(clashing(docs), model).collect()}

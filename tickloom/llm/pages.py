@@ -59,13 +59,14 @@ SCOPE = set("ul ol table article section div body html main td th dl blockquote
 
 
 class Node:
-    __slots__ = ("tag", "words", "hidden", "parts", "children", "own", "constant", "seen", "texts")
+    __slots__ = ("tag", "words", "hidden", "parts", "children", "own", "constant", "wraps")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.words, self.hidden = tag, frozenset(), False
         self.parts: list = []          # texts and child nodes in order
         self.children: list[Node] = []
         self.own = self.constant = None
+        self.wraps = False             # holds the bulk of the page's content, whatever its class says
         if attrs.strip(" /"):
             marks = []
             for name, value in _ATTRIBUTE.findall(attrs):
@@ -240,11 +241,53 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def _furniture(node: Node) -> bool:
-    if node.tag in ("html", "body", "article", "main"):
+    if node.tag in ("html", "body", "article", "main") or node.wraps:
         return False
     return node.tag in DROPPED or node.hidden or bool(node.words & FURNITURE)
 
 
+def _level(node: Node) -> int | None:
+    """How a page marks its article: 0 by an article element, 1 as main, 2 by class, id or role."""
+    if node.tag == "article":
+        return 0
+    if node.tag == "main" or "main" in node.words and node.tag != "body":
+        return 1
+    return 2 if node.words & ARTICLE_WORDS and node.tag in BLOCK and node.tag not in ("html", "body") else None
+
+
+def _spare_wrappers(root: Node) -> None:
+    """Mark the elements that are furniture by their class or as a form, yet hold the page's content.
+
+    Content is the varying text in article and main elements, without furniture that holds no such element, or all varying text where they have none. An element that
+    is itself marked as an article by class then holds it with more than half, any other with more than ``BULK``.
+    """
+    nodes = list(_walk(root))
+    doubtful = [n for n in nodes if n.children and not n.hidden and (n.tag == "form" or n.tag not in DROPPED) and _furniture(n)]
+    if not doubtful:
+        return
+    for varying in (True, False):
+        every: dict[int, int] = {}
+        inside: dict[int, int] = {}
+        strong: dict[int, int] = {}
+        marks: set[int] = set()
+        for n in reversed(nodes):
+            if n.hidden or n.tag in DROPPED and n.tag != "form":
+                every[id(n)] = inside[id(n)] = strong[id(n)] = 0
+                continue
+            own, mark = 0 if varying and n.constant else len(_own_text(n)), n.tag in ("article", "main")
+            if mark or any(id(c) in marks for c in n.children):
+                marks.add(id(n))
+            every[id(n)] = own + sum(every[id(c)] for c in n.children)
+            inside[id(n)] = 0 if id(n) not in marks and _furniture(n) else own + sum(inside[id(c)] for c in n.children)
+            strong[id(n)] = inside[id(n)] if mark else sum(strong[id(c)] for c in n.children)
+        if every[id(root)]:
+            break
+    held = strong if strong[id(root)] else every
+    for n in doubtful:
+        least = 0.5 if held is every and _level(n) is not None else BULK
+        n.wraps = held[id(n)] > least * held[id(root)]
+
+
 def _length(node: Node) -> int:
     """Characters of text outside furniture and template."""
     total, stack = 0, [node]
@@ -258,18 +301,16 @@ def _length(node: Node) -> int:
 
 def _article(root: Node) -> tuple[Node, bool]:
     """The content element, and whether the page marks it as such."""
+    _spare_wrappers(root)
     found: dict[int, list[Node]] = {}
     stack = [root]
     while stack:
         n = stack.pop()
         if _furniture(n):
             continue
-        if n.tag == "article":
-            found.setdefault(0, []).append(n)
-        elif n.tag == "main" or "main" in n.words and n.tag != "body":
-            found.setdefault(1, []).append(n)
-        elif n.words & ARTICLE_WORDS and n.tag in BLOCK and n.tag not in ("html", "body"):
-            found.setdefault(2, []).append(n)
+        level = _level(n)
+        if level is not None:
+            found.setdefault(level, []).append(n)
         stack += n.children
     for level in sorted(found):
         best = max(found[level], key=_length)
