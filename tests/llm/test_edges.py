@@ -124,6 +124,18 @@ def test_wrappers_with_furniture_words_keep_the_article():
     assert pages.main_texts([footer.replace("{i}", "1")])[0] == ["Title 1\nLong story 1 about many things"]
 
 
+def test_all_marked_articles_of_a_page_count():
+    a, b = "<p>First part {i} of a story</p>", "<p>Part two {i}</p>"
+    both = ["First part {i} of a story", "Part two {i}"]
+    pages_ = [(f"<article>{a}</article><hr><article>{b}</article>", both), (f"<div class='entry'>{a}</div><div class='entry'>{b}</div>", both),
+              (f"<article>{b}</article><main>{a}<p>and much more of it {{i}}</p></main>", [both[0], "and much more of it {i}"]),
+              (f"<main><article>{a}</article>{b}</main>", both[:1]),
+              (f"<article>{a}<article>{b}</article></article>", both), (f"<article>{a}</article><article class='comment'>{b}</article>", both[:1])]
+    for page, want in pages_:
+        found, _ = pages.main_texts([f"<body>{page}</body>".replace("{i}", str(i)) for i in range(5)])
+        assert found == ["\n".join(want).replace("{i}", str(i)) for i in range(5)]
+
+
 def test_language(spark, docs):
     model = language.fit(docs, F.lit(True))
     out = {r["doc_id"]: r for r in language.predict(clashing(docs), model).collect()}

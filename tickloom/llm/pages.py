@@ -2,7 +2,7 @@
 
 The trees of same-host pages are aligned by simple tree matching. What stays the same on the aligned pages is the host's template; slots
 that vary hold content. Inside a page, marked page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) is left out, and the article is what varies in the marked article element, or else in the page.
+reader comments) is left out, and the article is what varies in the marked article elements, or else in the page.
 
 Pages are dealt by ranges of (host, hash of the page), so a large host spreads over many tasks, each of which learns the wrapper from
 the pages it has, a bounded number at a time.
@@ -27,6 +27,8 @@ GROUP, LEAST = 64, 3
 CONSTANT = 0.6
 #: The bulk of a page's text. Template blocks that make up more of a marked article stay: its pages are copies of one story.
 BULK = 0.8
+#: A more exact mark of the article counts from this share of the text under the less exact ones on.
+SHARE = 0.5
 #: Differing middles of two lists of children whose product is larger stay unaligned.
 CELLS = 4000
 
@@ -299,24 +301,35 @@ def _length(node: Node) -> int:
     return total
 
 
-def _article(root: Node) -> tuple[Node, bool]:
-    """The content element, and whether the page marks it as such."""
+def _article(root: Node) -> tuple[list[Node], bool]:
+    """The content elements in page order, and whether the page marks them as such.
+
+    Of the levels of marks the most exact one counts that has at least ``SHARE`` of the text of the level that has most. All
+    its elements with varying text are content, but for those inside another one and those marked as furniture as well.
+    """
     _spare_wrappers(root)
     found: dict[int, list[Node]] = {}
-    stack = [root]
+    stack: list[tuple[Node, frozenset]] = [(root, frozenset())]
     while stack:
-        n = stack.pop()
+        n, above = stack.pop()
         if _furniture(n):
             continue
         level = _level(n)
-        if level is not None:
+        if level is not None and level not in above:
             found.setdefault(level, []).append(n)
-        stack += n.children
-    for level in sorted(found):
-        best = max(found[level], key=_length)
-        if any(_own_text(n) for n in _walk(best)):
-            return best, True
-    return root, False
+            above |= {level}
+        stack += [(c, above) for c in reversed(n.children)]
+    for length in (_length, lambda n: sum(len(_own_text(t)) for t in _shown(n))):
+        held: dict[int, list[Node]] = {}
+        size: dict[int, int] = {}
+        for level, nodes in found.items():
+            nodes = [(n, length(n)) for n in nodes]
+            nodes = [(n, k) for n, k in nodes if k]
+            plain = [(n, k) for n, k in nodes if n.wraps or not n.words & FURNITURE] or nodes
+            held[level], size[level] = [n for n, _ in plain], sum(k for _, k in plain)
+        if any(size.values()):
+            return held[min(x for x in held if size[x] >= SHARE * max(size.values()))], True
+    return [root], False
 
 
 def _shown(node: Node) -> list[Node]:
@@ -330,9 +343,9 @@ def _shown(node: Node) -> list[Node]:
     return found
 
 
-def _repeated(region: Node) -> set[int]:
-    """Ids of the outermost blocks of a marked article that are template in all their text."""
-    found, size, stack = set(), 0, [region]
+def _repeated(regions: list[Node]) -> set[int]:
+    """Ids of the outermost blocks of marked articles that are template in all their text."""
+    found, size, stack = set(), 0, list(regions)
     while stack:
         n = stack.pop()
         for c in n.children:
@@ -344,7 +357,7 @@ def _repeated(region: Node) -> set[int]:
                 size += sum(len(_own_text(t)) for t in texts)
             elif c.tag not in WHOLE:
                 stack.append(c)
-    return found if size <= BULK * sum(len(_own_text(t)) for t in _shown(region)) else set()
+    return found if size <= BULK * sum(len(_own_text(t)) for r in regions for t in _shown(r)) else set()
 
 
 def _link_share(node: Node) -> float:
@@ -355,8 +368,8 @@ def _link_share(node: Node) -> float:
 
 def blocks(root: Node) -> list[str]:
     """Texts of the content blocks in page order."""
-    content, marked = _article(root)
-    gone = _repeated(content) if marked else set()
+    regions, marked = _article(root)
+    gone = _repeated(regions) if marked else set()
     out, line = [], []
 
     def flush() -> None:
@@ -395,8 +408,9 @@ def blocks(root: Node) -> list[str]:
                 stack += reversed(parts)
                 stack += texts
 
-    visit(content, False)
-    flush()
+    for region in regions:
+        visit(region, False)
+        flush()
     return out
 
 
