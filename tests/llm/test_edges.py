@@ -136,6 +136,48 @@ def test_all_marked_articles_of_a_page_count():
         assert found == ["\n".join(want).replace("{i}", str(i)) for i in range(5)]
 
 
+def test_long_lists_of_children_are_aligned(monkeypatch):
+    def page(i):
+        def some(n):
+            return "".join(f"<{t}>Item {k} of {i}</{t}>" for k, t in enumerate(("p", "h4", "div") * n))
+        own = f"<p class='s{i}'>Start {i}</p>{some(22)}<section><h5>All rights kept</h5></section>{some(22)}<h6 class='e{i}'>End {i}</h6>"
+        return f"<body>{own}</body>"
+    found, _ = pages.main_texts([page(i) for i in range(4)])
+    assert all("All rights kept" not in t and len(t.split("\n")) == 134 for t in found)
+    # halved or not, a match is as large
+    rng = np.random.default_rng(10)
+    for _ in range(40):
+        trees = [pages.parse("".join(("<p>", "<div><p></p></div>", "<h4>", "<div><h4></h4><p></p></div>", "</p>")[k] for k in rng.integers(0, 5, 30)))
+                 for _ in range(2)]
+        matcher = pages.Matcher()
+        for t in trees:
+            matcher.shape(t)
+        sizes = []
+        for cells in (4000, 3):
+            monkeypatch.setattr(pages, "CELLS", cells)
+            sizes.append(sum(1 for _ in matcher.aligned(*trees)))
+        assert sizes == [matcher.size(*trees)] * 2
+
+
+def test_parts_of_a_host_do_not_rest_on_partitions(spark):
+    def page(i):
+        return f"<body><div><p>Welcome, dear reader</p></div><div><p>Story {i} is about {i * 7}</p></div></body>"
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", page(i)) for i in range(12)]
+                               + [(100 + i, f"http://b.com/{i}", page(100 + i)) for i in range(150)], "page_id long, url string, html string")
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = dict(got(pages.extract(df), "page_id", "text"))
+        few = dict(got(pages.extract(df.filter("page_id < 12")), "page_id", "text"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {i: f"Story {i} is about {i * 7}" for i in (*range(12), *range(100, 250))}
+    assert out == want and few == {i: want[i] for i in range(12)}
+
+
 def test_language(spark, docs):
     model = language.fit(docs, F.lit(True))
     out = {r["doc_id"]: r for r in language.predict(clashing(docs), model).collect()}

@@ -4,8 +4,8 @@ The trees of same-host pages are aligned by simple tree matching. What stays the
 that vary hold content. Inside a page, marked page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments) is left out, and the article is what varies in the marked article elements, or else in the page.
 
-Pages are dealt by ranges of (host, hash of the page), so a large host spreads over many tasks, each of which learns the wrapper from
-the pages it has, a bounded number at a time.
+Pages are dealt by (host, part): a host of more than ``GROUP`` pages is cut by hash into parts of about that many, so it spreads over
+many tasks. Each part is read as a whole with a wrapper of its own, however the parts fall to tasks.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.sizing import small_side
 from .common import small_batches
 from .urls import host_of
 
-#: Pages aligned together, and distinct pages a template needs.
+#: Pages aligned together (expected number), and distinct pages a template needs.
 GROUP, LEAST = 64, 3
 #: A text is template when this share of the aligned pages has it.
 CONSTANT = 0.6
@@ -29,7 +31,7 @@ CONSTANT = 0.6
 BULK = 0.8
 #: A more exact mark of the article counts from this share of the text under the less exact ones on.
 SHARE = 0.5
-#: Differing middles of two lists of children whose product is larger stay unaligned.
+#: Differing middles of two lists of children whose product is larger are aligned half by half.
 CELLS = 4000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -61,7 +63,7 @@ SCOPE = set("ul ol table article section div body html main td th dl blockquote
 
 
 class Node:
-    __slots__ = ("tag", "words", "hidden", "parts", "children", "own", "constant", "wraps")
+    __slots__ = ("tag", "words", "hidden", "parts", "children", "own", "constant", "wraps", "shape")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.words, self.hidden = tag, frozenset(), False
@@ -148,37 +150,83 @@ def _kind(node: Node) -> tuple:
     return node.tag, node.words
 
 
-def _matching(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: nodes of the largest order-preserving top-down match of two trees, and the matched children."""
-    found = memo.get((id(a), id(b)))
-    if found is not None:
+class Matcher:
+    """Simple tree matching: the largest order-preserving top-down match of two trees.
+
+    The size of a match rests on tags and classes alone, so sizes are kept by the shapes of the subtrees, ``KEPT`` at most.
+    """
+
+    KEPT = 1_000_000
+
+    def __init__(self):
+        self.shapes: dict[tuple, int] = {}
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def shape(self, tree: Node) -> None:
+        """Number the subtrees of a tree, equal ones alike."""
+        for n in reversed(list(_walk(tree))):
+            key = (*_kind(n), tuple(c.shape for c in n.children))
+            n.shape = self.shapes.setdefault(key, len(self.shapes))
+
+    @staticmethod
+    def _ends(x: list[Node], y: list[Node]) -> tuple[int, int]:
+        """Children of equal kind at the head and at the tail: they are aligned as they are."""
+        head = tail = 0
+        while head < min(len(x), len(y)) and _kind(x[head]) == _kind(y[head]):
+            head += 1
+        while tail < min(len(x), len(y)) - head and _kind(x[-1 - tail]) == _kind(y[-1 - tail]):
+            tail += 1
+        return head, tail
+
+    def size(self, a: Node, b: Node) -> int:
+        if a.tag != b.tag:
+            return 0
+        x, y = a.children, b.children
+        if not x or not y:
+            return 1
+        key = a.shape, b.shape
+        found = self.sizes.get(key)
+        if found is None:
+            head, tail = self._ends(x, y)
+            found = 1
+            for k in (*range(head), *range(-tail, 0)):
+                found += self.size(x[k], y[k])
+            x, y = x[head:len(x) - tail], y[head:len(y) - tail]
+            if x and y:
+                found += int(self._row(x, y)[-1])
+            if len(self.sizes) >= self.KEPT:
+                self.sizes.clear()
+            self.sizes[key] = found
         return found
-    if a.tag != b.tag:
-        memo[id(a), id(b)] = (0, [])
-        return memo[id(a), id(b)]
-    x, y = a.children, b.children
-    if not x or not y:
-        memo[id(a), id(b)] = (1, [])
-        return memo[id(a), id(b)]
-    # equal ends are aligned as they are, what differs between them by the largest matching
-    head = 0
-    while head < min(len(x), len(y)) and _kind(x[head]) == _kind(y[head]):
-        head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and _kind(x[-1 - tail]) == _kind(y[-1 - tail]):
-        tail += 1
-    pairs = [*zip(x[:head], y[:head]), *zip(x[len(x) - tail:], y[len(y) - tail:])]
-    size = 1 + sum(_matching(u, v, memo)[0] for u, v in pairs if u.children and v.children) \
-        + sum(1 for u, v in pairs if not (u.children and v.children))
-    x, y = x[head:len(x) - tail], y[head:len(y) - tail]
-    if x and y and len(x) * len(y) <= CELLS:
+
+    def _row(self, x: list[Node], y: list[Node]) -> np.ndarray:
+        """Sizes of the largest matches of all of ``x`` with the first 0, 1, ... of ``y``."""
+        kinds = {v.shape: v for v in y}
+        place = {k: n for n, k in enumerate(kinds)}
+        at = np.array([place[v.shape] for v in y])
+        best, last, w = np.zeros(len(y) + 1, np.int64), None, None
+        for u in x:
+            if u.shape != last:
+                last, w = u.shape, np.array([self.size(u, v) for v in kinds.values()], np.int64)[at]
+            here = np.where(w > 0, best[:-1] + w, 0)
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], here))
+        return best
+
+    def _middle(self, x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+        """The pairs of the largest match of two lists; long lists are halved where their halves match best."""
+        if not x or not y:
+            return []
+        if len(x) > 1 and len(x) * len(y) > CELLS:
+            half = len(x) // 2
+            both = self._row(x[:half], y) + self._row(x[half:][::-1], y[::-1])[::-1]
+            cut = int(both.argmax())
+            return self._middle(x[:half], y[:cut]) + self._middle(x[half:], y[cut:])
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i, u in enumerate(x, 1):
             for j, v in enumerate(y, 1):
-                w = _matching(u, v, memo)[0]
+                w = self.size(u, v)
                 best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w if w else 0)
-        size += best[-1][-1]
-        i, j = len(x), len(y)
+        pairs, i, j = [], len(x), len(y)
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -187,18 +235,21 @@ def _matching(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[Node, Node]
             else:
                 i, j = i - 1, j - 1
                 pairs.append((x[i], y[j]))
-    memo[id(a), id(b)] = (size, pairs)
-    return memo[id(a), id(b)]
+        return pairs
 
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The children that the largest match of two nodes of one tag aligns."""
+        x, y = a.children, b.children
+        head, tail = self._ends(x, y)
+        ends = [*zip(x[:head], y[:head]), *zip(x[len(x) - tail:], y[len(y) - tail:])]
+        return ends + self._middle(x[head:len(x) - tail], y[head:len(y) - tail])
 
-def _aligned(template: Node, page: Node) -> Iterator[tuple[Node, Node]]:
-    memo: dict = {}
-    _matching(template, page, memo)
-    stack = [(template, page)]
-    while stack:
-        a, b = stack.pop()
-        yield a, b
-        stack += memo.get((id(a), id(b)), (0, []))[1]
+    def aligned(self, template: Node, page: Node) -> Iterator[tuple[Node, Node]]:
+        stack = [(template, page)]
+        while stack:
+            a, b = stack.pop()
+            yield a, b
+            stack += self.pairs(a, b)
 
 
 class Wrapper:
@@ -209,12 +260,15 @@ class Wrapper:
 
     def __init__(self, trees: list[Node]):
         self.template = max(trees, key=lambda t: sum(1 for _ in _walk(t)))
+        self.matcher = Matcher()
         self.pages = len(trees)
         self.texts: dict[int, dict[str, int]] = {}
         self.below: dict[int, dict[tuple, int]] = {}
         self.pairs: dict[int, list[tuple[Node, Node]]] = {}
         for tree in trees:
-            self.pairs[id(tree)] = list(_aligned(self.template, tree))
+            self.matcher.shape(tree)
+        for tree in trees:
+            self.pairs[id(tree)] = list(self.matcher.aligned(self.template, tree))
             for a, b in self.pairs[id(tree)]:
                 counts = self.texts.setdefault(id(a), {})
                 counts[_own_text(b)] = counts.get(_own_text(b), 0) + 1
@@ -227,7 +281,11 @@ class Wrapper:
 
     def mark(self, tree: Node) -> None:
         """Mark the nodes of a page whose text is template."""
-        for a, b in self.pairs.pop(id(tree), None) or _aligned(self.template, tree):
+        pairs = self.pairs.pop(id(tree), None)
+        if pairs is None:
+            self.matcher.shape(tree)
+            pairs = self.matcher.aligned(self.template, tree)
+        for a, b in pairs:
             counts, below = self.texts.get(id(a), {}), self.below.get(id(a), {})
             b.constant = b.constant or bool(_own_text(b)) and self._template(counts.get(_own_text(b), 0))
             for c in b.children:
@@ -436,11 +494,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     small_batches(pages.sparkSession)
     types = dict(pages.dtypes)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
-                        host_of(F.col(url)).alias("host"), F.xxhash64(F.col(page_id)).alias("h"))
-    dealt = rows.repartitionByRange("host", "h").sortWithinPartitions("host", "h")
+                        host_of(F.col(url)).alias("host"))
+    large = small_side(rows.groupBy(F.col("host").alias("__host")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).filter("parts > 1"))
+    h = F.xxhash64("page_id", "url", "html")
+    dealt = rows.join(large, F.col("host") == F.col("__host"), "left") \
+        .withColumn("part", F.coalesce(F.pmod(h, F.col("parts")), F.lit(0).cast("long"))).drop("__host", "parts") \
+        .repartitionByRange("host", "part").sortWithinPartitions("host", "part", "page_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, wrapper, held = None, None, []
+        place, wrapper, held = None, None, []
 
         def flush() -> pd.DataFrame:
             nonlocal wrapper
@@ -450,12 +512,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
         for df in frames:
             out = []
-            for p, u, page, at in zip(df["page_id"], df["url"], df["html"], df["host"]):
-                if held and (at != host or len(held) >= GROUP):
+            for p, u, page, *at in zip(df["page_id"], df["url"], df["html"], df["host"], df["part"]):
+                # a part is larger than that only by rows that repeat
+                if held and (at != place or len(held) >= 4 * GROUP):
                     out.append(flush())
                     held = []
-                if at != host:
-                    host, wrapper = at, None
+                if at != place:
+                    place, wrapper = at, None
                 held.append((p, u, page))
             if out:
                 yield pd.concat(out)
