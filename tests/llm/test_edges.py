@@ -245,6 +245,13 @@ def test_two_lines_of_many_words(spark):
     assert dict(got(lines.dedup_lines(df), "doc_id", "n_removed")) == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
 
 
+def test_a_frequent_line_spreads(spark):
+    rows = [(i, f"before {i}\nevery page has it\nafter {i}") for i in range(400)]
+    plan = lines.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "RepartitionByExpression" in x]
+    assert len(dealt) == 1 and "m1#" in dealt[0] and "m2#" in dealt[0] and "fp#" not in dealt[0]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]

@@ -1,9 +1,9 @@
 """Line dedup: later copies of repeated runs of lines are deleted.
 
-The lines of a text that have a word are hashed. Of every ``WINDOW`` consecutive lines the smallest hash is the fingerprint (winnowing), so two
-texts that share a run of that many lines share a fingerprint; lines of ``LONG_WORDS`` words and more are fingerprints of their own.
-Positions are brought together by fingerprint and extended both ways over the window around it; overlapping
-matches make up longer runs. The first position, by (doc_id, line), stays and the later ones go.
+The lines of a text that have a word are hashed, and so is every window of ``WINDOW`` consecutive ones as a whole; lines of
+``LONG_WORDS`` words and more are windows of their own. Nothing is winnowed: every window is a row, positions of equal windows are
+brought together by the hash of the window, and overlapping matches make up longer runs. The first position, by
+(doc_id, line), stays and the later ones go.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ def _digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def fingerprints(text: str | None, run_words: int | None = None) -> list[tuple[int, int, int, int, int]]:
-    """(fingerprint, match hash in two parts, first line, lines) of each window of lines and of each long line.
+def windows(text: str | None, run_words: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(match hash in two parts, first line, lines) of each window of lines and of each long line.
 
     With ``run_words`` also of each two lines that have so many words together, so no repeated run of lines with
     ``LONG_WORDS`` or ``run_words`` words, whichever are more, goes unseen, however few lines it has. A window counts its lines from the first to the last one with a word, blank lines between included.
@@ -45,22 +45,22 @@ def fingerprints(text: str | None, run_words: int | None = None) -> list[tuple[i
         d = _digest(data)
         hashes.append((d, at, n))
         if n >= LONG_WORDS:
-            found.append((d[0], *_digest(b"line" + data), at, 1))
+            found.append((*_digest(b"line" + data), at, 1))
     parts = [hashes[k:k + WINDOW] for k in range(len(hashes) - WINDOW + 1)]
     if run_words is not None:
         parts += [[a, b] for a, b in zip(hashes, hashes[1:]) if a[2] + b[2] >= run_words]
     for part in parts:
         match = _digest(b"".join(x.to_bytes(8, "little", signed=True) for d, *_ in part for x in d))
-        found.append((min(d for d, *_ in part)[0], *match, part[0][1], part[-1][1] - part[0][1] + 1))
+        found.append((*match, part[0][1], part[-1][1] - part[0][1] + 1))
     return found
 
 
-_KEYS = ["fp", "m1", "m2", "doc_id", "at"]
+_KEYS = ["m1", "m2", "doc_id", "at"]
 
 
 def _later(df: pd.DataFrame, head: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple]:
     """For rows sorted by ``_KEYS``: is it the first of its match, is it a later one; and the first of the last match."""
-    m = df[["fp", "m1", "m2"]].to_numpy()
+    m = df[["m1", "m2"]].to_numpy()
     first = np.concatenate(([head is None or tuple(m[0]) != head[0]], (m[1:] != m[:-1]).any(1)))
     owner = np.maximum.accumulate(np.where(first, np.arange(len(df)), -1))
     d, at = df["doc_id"].to_numpy(), df["at"].to_numpy()
@@ -80,21 +80,21 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
         held: list[tuple] = []
 
         def flush() -> pd.DataFrame:
-            df = pd.DataFrame(held, columns=["fp", "m1", "m2", "at", "n", "doc_id"]).sort_values(_KEYS, ignore_index=True)
+            df = pd.DataFrame(held, columns=["m1", "m2", "at", "n", "doc_id"]).sort_values(_KEYS, ignore_index=True)
             first, later, _ = _later(df, None)
             return df.assign(first=first, later=later)[first | later]
 
         for df in frames:
             for d, t in zip(df["doc_id"], df["text"]):
-                held += [(*f, d) for f in fingerprints(t, run_words)]
+                held += [(*f, d) for f in windows(t, run_words)]
                 if len(held) > FLUSH:
                     yield flush()
                     held = []
         if held:
             yield flush()
 
-    schema = f"fp long, m1 long, m2 long, at int, n int, doc_id {id_type}, first boolean, later boolean"
-    found = materialize(rows.mapInPandas(select, schema), "line-fingerprints")
+    schema = f"m1 long, m2 long, at int, n int, doc_id {id_type}, first boolean, later boolean"
+    found = materialize(rows.mapInPandas(select, schema), "line-windows")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = None
@@ -103,7 +103,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
                 _, later, head = _later(df, head)
                 yield df.loc[later, ["doc_id", "at", "n"]]
 
-    across = found.filter("first").drop("first", "later").repartition("fp").sortWithinPartitions(*_KEYS) \
+    across = found.filter("first").drop("first", "later").repartition("m1", "m2").sortWithinPartitions(*_KEYS) \
         .mapInPandas(compare, f"doc_id {id_type}, at int, n int")
     return found.filter("later").select("doc_id", "at", "n").unionByName(across)
 
