@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,6 +41,25 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the rows of an Arrow batch for what runs inside; the former bound comes back."""
+    former = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, former)
+
+
+def store(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """``materialize`` for wide rows: ``rows`` of them to an Arrow batch."""
+    path, schema = fresh_dir(df.sparkSession, label), df.schema
+    with arrow_rows(df.sparkSession, rows):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts to Python."""
     spark.conf.set(_BATCH, str(TEXT_ROWS))

@@ -32,4 +32,40 @@ QUALITY_RULES = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_e
       NOT (few OR repeats OR symbols OR dups OR lengths) AS kept,
       few::BIGINT + 2 * repeats::BIGINT + 4 * symbols::BIGINT + 8 * dups::BIGINT + 16 * lengths::BIGINT AS fail_bits FROM f"""
 
-SQL = {"op5_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES}
+PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d, unnest(ps) AS u(piece)),
+    f AS MATERIALIZED (SELECT lang, w[i + 1:i + k] AS g, count(*) AS a FROM p, range(1, 6) AS x(k), unnest(range(len(w) - k + 1)) AS u(i) GROUP BY ALL),
+    total AS (SELECT lang, sum(a) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+    c AS MATERIALIZED (SELECT * FROM f WHERE len(g) > 1 AND a >= 100),
+    inside AS (SELECT lang, g[i + 1:i + k] AS g, max(a) AS most FROM c, range(2, 5) AS x(k), unnest(range(len(g) - k + 1)) AS u(i) WHERE k < len(g) GROUP BY ALL),
+    left_over AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, g) WHERE coalesce(100 * most < 100 * a, true)),
+    cuts AS (SELECT c.lang, c.g, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+      FROM left_over c, unnest(range(1, len(c.g))) AS u(k), f l, f r, total t
+      WHERE l.lang = c.lang AND l.g = c.g[1:k] AND r.lang = c.lang AND r.g = c.g[k + 1:] AND t.lang = c.lang),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+    SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM (SELECT *, array_to_string(g, ' ') AS phrase,
+      row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best) WHERE rank <= 2000"""
+
+
+def _clustering(count: int, rounds: int) -> str:
+    """One CTE for the assignment and one for the centroids of every round."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS m FROM v
+        QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= {count})"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, v, c, d FROM (SELECT vec_id, v, c,
+            list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{k})
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        parts.append(f"""c{k + 1} AS MATERIALIZED (WITH s AS (SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 65) AS x(i) GROUP BY c, i)
+          SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s GROUP BY c UNION ALL SELECT c, m FROM c{k} WHERE c NOT IN (SELECT c FROM s))""")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(parts[:-1])}
+    SELECT vec_id, {last}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY {last}.c))::BIGINT AS cluster_inertia,
+      (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} ON c{rounds}.c = {last}.c"""
+
+
+CLUSTERING = _clustering(40, 5)
+
+SQL = {"op5_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES, "op11_phrase_collocations": PHRASES, "op13_centroid_clustering": CLUSTERING}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, language, lines, mixing, neighbours, packing, pages, quality, suffix, urls
+from . import centroids, jaccard, language, lines, mixing, neighbours, packing, pages, phrases, quality, suffix, urls
 from .common import table
 from .oracle import SQL  # noqa: F401 - read by the entry point
 
@@ -78,8 +78,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of every language over all documents."""
+    found = phrases.phrases(table(spark, sf_dir, "documents"), least=100, share=100, top=2000)
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector with its cluster after five rounds and a last assignment."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), dimensions=64, count=40, rounds=5, seed=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_nearest_neighbours, op7_suffix_array_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
+    f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_nearest_neighbours, op7_suffix_array_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing,
+    op11_phrase_collocations, op13_centroid_clustering)}
 
 
 def in_utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
