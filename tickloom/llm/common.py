@@ -60,6 +60,16 @@ def store(df: DataFrame, label: str, rows: int) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table of ``store`` that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/tickloom/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts to Python."""
     spark.conf.set(_BATCH, str(TEXT_ROWS))

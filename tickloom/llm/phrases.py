@@ -1,7 +1,8 @@
 """Collocations from a weighted de Bruijn graph of word n-grams.
 
-Words, then pairs of neighbours, that occur fewer than ``least`` times are in no candidate, so pieces are cut there first (exact, since a
-phrase occurs at most as often as its words and pairs). What is left are runs. Their longest grams are the edges of the graph, weighted
+Words, pairs and triples of neighbours that occur fewer than ``least`` times are in no candidate, so pieces are cut there first (exact,
+since a phrase occurs at most as often as its parts). What is left are runs: at a rare pair one ends before its second word, at a
+rare triple one ends with its second word and the next begins with it, so every longer gram lies in one run. Their longest grams are the edges of the graph, weighted
 by their occurrences; an edge leads from the node of its first words to the node of its last. Shorter counts are not taken from the
 text: a gram occurs as often as the grams one word longer that it begins, plus the runs that end with it. Unary paths of edges
 are joined to passages; the nodes inside one lie in an equally frequent longer phrase and are no results.
@@ -17,85 +18,130 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import lexicon
-from .common import materialize, store
+from .common import discard, materialize, store
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 LONGEST = 5
 _W = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
-def _pairs(lot, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the tokens, the distinct neighbouring pairs (positions of one occurrence), for each place the number of its pair or -1,
-    and the pairs' counts."""
-    codes = lexicon.unpack(lot.codes)
-    tokens = ids[codes]
-    places = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
-    _, one, back, n = np.unique(codes[places] * len(ids) + codes[places + 1], return_index=True, return_inverse=True, return_counts=True)
-    number = np.full(max(0, len(tokens) - 1), -1)
+#: Runs of a lot (kind 0: ids, runs parted by 0) and messages to a shard (kind 1: the words of distinct grams, and their counts).
+_STAGE = "kind int, lot long, shard int, parts array<binary>, n binary"
+
+
+def _distinct(tokens: np.ndarray, reach: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of up to ``size`` words that begin at some places, the one at place p with ``reach[p]`` words:
+    a place of each, the gram of every place (-1: none), and how often each occurs."""
+    known, code = np.unique(np.concatenate((tokens, np.zeros(size, np.int64))), return_inverse=True)
+    places = np.flatnonzero(reach)
+    gram = code[places]
+    for j in range(1, size):
+        gram = np.unique(gram * len(known) + np.where(reach[places] > j, code[places + j], 0), return_inverse=True)[1]
+    _, one, back, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+    number = np.full(len(tokens), -1)
     number[places] = back
-    return tokens, places[one], number, n
+    return places[one], number, n
+
+
+def _grams_of(tokens: np.ndarray, size: int, shards: int):
+    """The distinct grams of exactly ``size`` words: places, number by place, counts and shards."""
+    inside = np.concatenate((tokens > 0, np.zeros(size, bool)))
+    whole = np.logical_and.reduce([inside[j:j + len(tokens)] for j in range(size)])
+    one, number, n = _distinct(tokens, np.where(whole, size, 0), size)
+    h = tokens[one]
+    for j in range(1, size):
+        h = lexicon.mixed(h, tokens[one + j])
+    return one, number, n, (np.asarray(h).astype(np.uint64) % np.uint64(shards)).astype(np.int64)
 
 
-def _shared(lots: DataFrame, answers: DataFrame, word_shards: int, shards: int, least: int) -> DataFrame:
-    """Answers of kind 1: for a lot's pairs of a shard, in the lot's order, whether they occur ``least`` times in all."""
-    def send(lot_df: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+def _stage(lot, tokens: np.ndarray, size: int, shards: int) -> pd.DataFrame:
+    """A lot's runs, and its grams of ``size`` words to their shards."""
+    rows = [(0, lot, 0, [lexicon.pack(tokens)], None)]
+    one, _, n, shard = _grams_of(tokens, size, shards)
+    rows += [(1, lot, s, [lexicon.pack(tokens[one[at] + j]) for j in range(size)], lexicon.pack(n[at])) for s, at in lexicon.by_shard(shard)]
+    return pd.DataFrame(rows, columns=["kind", "lot", "shard", "parts", "n"])
+
+
+def _runs_of_words(lots: DataFrame, answers: DataFrame, word_shards: int, shards: int) -> DataFrame:
+    """Runs of words that have an id."""
+    def run(lot_df: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=["kind", "lot", "shard", "parts", "n"])]
         for lot in lot_df.itertuples():
             ids, _ = lexicon.resolved(lot, found, word_shards)
-            tokens, one, _, n = _pairs(lot, ids)
-            a, b = tokens[one], tokens[one + 1]
-            for shard, at in lexicon.by_shard((lexicon.mixed(a, b) % np.uint64(shards)).astype(np.int64)):
-                rows.append((shard, lot.lot, lexicon.pack(a[at]), lexicon.pack(b[at]), lexicon.pack(n[at])))
-        return pd.DataFrame(rows, columns=["shard", "lot", "a", "b", "n"])
-
+            tokens = ids[lexicon.unpack(lot.codes)]
+            near = np.concatenate(([0], tokens, [0]))
+            # Words without a neighbour are in no phrase; of several breaks one is enough.
+            alone = (tokens > 0) & (near[:-2] == 0) & (near[2:] == 0)
+            tokens = tokens[~alone]
+            tokens = tokens[(tokens > 0) | np.concatenate(([False], tokens[:-1] > 0))]
+            out.append(_stage(lot.lot, tokens, 2, shards))
+        return pd.concat(out)
+    return store(lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(run, _STAGE), "word-runs", lexicon.LOT_ROWS)
+
+
+def _frequent(stage: DataFrame, size: int, least: int) -> DataFrame:
+    """(lot, shard, bits): for a lot's grams of a shard, in the lot's order, whether they occur ``least`` times in all."""
     def answer(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        a, b, n = (np.concatenate([lexicon.unpack(x) for x in df[c]]) for c in ("a", "b", "n"))
-        sizes = [len(lexicon.unpack(x)) for x in df["n"]]
-        order = np.lexsort((b, a))
-        new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
-        totals = np.add.reduceat(n[order], np.flatnonzero(new))
-        often = np.empty(len(a), bool)
+        words = [np.concatenate([lexicon.unpack(p[j]) for p in df["parts"]]) for j in range(size)]
+        each = [lexicon.unpack(x) for x in df["n"]]
+        order = np.lexsort(words)
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([w[order][1:] != w[order][:-1] for w in words])
+        totals = np.add.reduceat(np.concatenate(each)[order], np.flatnonzero(new))
+        often = np.empty(len(order), bool)
         often[order] = (totals >= least)[np.cumsum(new) - 1]
-        parts = np.split(often, np.cumsum(sizes)[:-1])
-        rows = [(int(lot), int(key[0]), 1, lexicon.pack(p), None, None, None, None, None) for lot, p in zip(df["lot"], parts) if p.any()]
-        return pd.DataFrame(rows, columns=["lot", "shard", "kind", "x", "y", "grp", "words", "total", "n_distinct"])
+        parts = np.split(often, np.cumsum([len(x) for x in each])[:-1])
+        return pd.DataFrame([(lot, int(key[0]), lexicon.pack(p)) for lot, p in zip(df["lot"], parts) if p.any()], columns=["lot", "shard", "bits"])
+
+    answers = stage.filter("kind = 1").groupBy("shard").applyInPandas(answer, "lot long, shard int, bits binary")
+    return store(answers, "gram-answers", lexicon.LOT_ROWS)
+
 
-    messages = lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(send, "shard int, lot long, a binary, b binary, n binary")
-    return store(messages.groupBy("shard").applyInPandas(answer, lexicon.ANSWERS), "pair-answers", lexicon.LOT_ROWS)
+def _often(tokens: np.ndarray, answers: pd.DataFrame, size: int, shards: int) -> np.ndarray:
+    """For every place whether a frequent gram of ``size`` words begins there."""
+    one, number, _, shard = _grams_of(tokens, size, shards)
+    often = np.zeros(len(one) + 1, bool)
+    bits = dict(zip(answers["shard"], answers["bits"]))
+    for s, at in lexicon.by_shard(shard):
+        if s in bits:
+            often[at] = lexicon.unpack(bits[s]) > 0
+    return often[number]
 
 
-def _grams(lots: DataFrame, answers: DataFrame, word_shards: int, shards: int) -> DataFrame:
-    """Edges (``LONGEST`` words) and the shorter grams that end a run, with their counts in a lot; absent words are 0."""
+def _runs_of_pairs(stage: DataFrame, answers: DataFrame, shards: int, next_shards: int) -> DataFrame:
+    """Runs of frequent pairs, cut between the words of the others."""
     def run(lot_df: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        out = [pd.DataFrame(columns=["kind", "lot", "shard", "parts", "n"])]
         for lot in lot_df.itertuples():
-            ids, _ = lexicon.resolved(lot, found, word_shards)
-            tokens, one, number, n = _pairs(lot, ids)
-            often = np.zeros(len(n) + 1, bool)
-            bits = {r.shard: r.x for r in found.itertuples() if r.kind == 1}
-            for shard, at in lexicon.by_shard((lexicon.mixed(tokens[one], tokens[one + 1]) % np.uint64(shards)).astype(np.int64)):
-                if shard in bits:
-                    often[at] = lexicon.unpack(bits[shard]) > 0
-            # Pairs that follow at a place without a break, up to an edge's; number + 1 of each, else 0.
-            step = np.concatenate((np.where(often[number], number + 1, 0), np.zeros(LONGEST, np.int64)))
-            keys, m = [step[:len(number)]], len(number)
-            for j in range(1, LONGEST - 1):
-                keys.append(np.where(keys[-1] > 0, step[j:j + m], 0))
-            places = np.flatnonzero(keys[0] > 0)
-            if not len(places):
-                continue
-            whole = keys[0][places]
-            for k in keys[1:]:
-                whole = np.unique(whole * (len(n) + 1) + k[places], return_inverse=True)[1]
-            _, first, times = np.unique(whole, return_index=True, return_counts=True)
-            at = places[first]
-            padded = np.concatenate((tokens, np.zeros(LONGEST, np.int64)))
-            words = [padded[at], padded[at + 1]] + [np.where(k[at] > 0, padded[at + j], 0) for j, k in enumerate(keys[1:], 2)]
-            parts.append(pd.DataFrame(dict(zip(_W, words)) | {"n": times}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*_W, "n"])
+            tokens = lexicon.unpack(lot.parts[0])
+            goes_on = _often(tokens, found, 2, shards)
+            kept = goes_on | np.concatenate(([False], goes_on[:-1]))
+            tokens = np.insert(tokens[kept], np.flatnonzero(~goes_on[kept]) + 1, 0)
+            out.append(_stage(lot.lot, tokens, 3, next_shards))
+        return pd.concat(out)
+    runs = stage.filter("kind = 0").groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(run, _STAGE)
+    return store(runs, "pair-runs", lexicon.LOT_ROWS)
+
+
+def _grams(stage: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """Edges (``LONGEST`` words) and the shorter grams that end a run of frequent triples, with their counts in a lot; absent words are 0."""
+    def run(lot_df: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=[*_W, "n"])]
+        for lot in lot_df.itertuples():
+            tokens = lexicon.unpack(lot.parts[0])
+            triple = np.concatenate((_often(tokens, found, 3, shards), np.zeros(LONGEST, bool)))
+            padded, m = np.concatenate((tokens, np.zeros(LONGEST, np.int64))), len(tokens)
+            goes_on = (tokens > 0) & (padded[1:m + 1] > 0)
+            reach = np.where(goes_on, 2, 0)
+            for j in range(LONGEST - 2):
+                goes_on = goes_on & triple[j:j + m]
+                reach = reach + goes_on
+            one, _, n = _distinct(tokens, reach, LONGEST)
+            out.append(pd.DataFrame({w: np.where(reach[one] > j, padded[one + j], 0) for j, w in enumerate(_W)} | {"n": n}))
+        return pd.concat(out)
 
     schema = ", ".join(f"{w} long" for w in [*_W, "n"])
-    return lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(run, schema)
+    return stage.filter("kind = 0").groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(run, schema)
 
 
 def flows(grams: DataFrame) -> list[DataFrame]:
@@ -153,13 +199,15 @@ def phrases(docs: DataFrame, group: str = "lang", least: int = 100, share: int =
                        F.lit(True).alias("counted"))
     lots = lexicon.gather(rows, breaks=BREAKS)
     sizes = lots.agg(F.sum("n_words"), F.sum("n_tokens")).first()
-    word_shards, pair_shards = lexicon.shards_for(sizes[0]), lexicon.shards_for((sizes[1] or 0) // 4)
+    word_shards, gram_shards = lexicon.shards_for(sizes[0]), lexicon.shards_for((sizes[1] or 0) // 4)
     answers = lexicon.look_up(lots, word_shards, least)
     words = materialize(lexicon.vocabulary(answers), "vocabulary")
     sums = answers.filter("lot = -1").groupBy("grp").agg(F.sum("total").alias("all"))
-    mine = answers.filter("lot >= 0")
-    shared = _shared(lots, mine, word_shards, pair_shards, least)
-    grams = _grams(lots, mine.unionByName(shared), word_shards, pair_shards)
+    of_words = _runs_of_words(lots, answers.filter("lot >= 0"), word_shards, gram_shards)
+    discard(lots)
+    of_pairs = _runs_of_pairs(of_words, _frequent(of_words, 2, least), gram_shards, gram_shards)
+    discard(of_words)
+    grams = _grams(of_pairs, _frequent(of_pairs, 3, least), gram_shards)
     grams = materialize(grams.groupBy(*_W).agg(F.sum("n").alias("n")), "de-bruijn")
 
     frequent = [materialize(f.filter(F.col("n") >= least), f"grams-{k}") for k, f in enumerate(flows(grams), 2)]
