@@ -53,7 +53,7 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def gather(docs: DataFrame, breaks: str = "", end: bool = False, keep_ids: bool = False) -> DataFrame:
+def gather(docs: DataFrame, breaks: str = "", end: bool = False, keep_ids: bool = False, lot_tokens: int = LOT_TOKENS) -> DataFrame:
     """Lots of ``docs`` (id, text, grp, counted): words between white space, A-Z in lower case, null texts as empty.
 
     Characters of ``breaks`` become marks, ``end`` puts a mark behind every text. Only words of ``counted`` documents are counted.
@@ -108,7 +108,7 @@ def gather(docs: DataFrame, breaks: str = "", end: bool = False, keep_ids: bool
                 state["ids"].append(d)
                 state["flags"].append(bool(counted))
                 state["n"] += len(tokens)
-                if state["n"] >= LOT_TOKENS:
+                if state["n"] >= lot_tokens:
                     yield lot()
                     start()
         if state["parts"]:
@@ -135,11 +135,11 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[part[0]]), part
 
 
-def look_up(lots: DataFrame, shards: int, least: int = 0) -> DataFrame:
+def look_up(lots: DataFrame, shards: int, least: int = 0, listed: bool = True) -> DataFrame:
     """Answers to the lots (kind 0: ids and counts of a lot's words of a shard, in the lot's order) and, under lot -1, the
     vocabulary of every shard and group: words, ids, counts, with ``total`` tokens and ``n_distinct`` words that are counted.
 
-    Words counted fewer than ``least`` times have the id 0 and are not listed. Ids are from 1, small ones for frequent words.
+    Words counted fewer than ``least`` times have the id 0 and are not listed; nor is any word without ``listed``. Ids are from 1, small ones for frequent words.
     """
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -173,8 +173,8 @@ def look_up(lots: DataFrame, shards: int, least: int = 0) -> DataFrame:
         for g, book in books.items():
             at = np.fromiter(book.values(), np.int64, len(book))
             words = np.array(list(book), object)
-            listed = totals[at] >= max(least, 1)
-            rows.append((-1, shard, 0, pack(ids[at[listed]]), pack(totals[at[listed]]), g, b" ".join(words[listed]),
+            named = (totals[at] >= max(least, 1)) & listed
+            rows.append((-1, shard, 0, pack(ids[at[named]]), pack(totals[at[named]]), g, b" ".join(words[named]),
                          int(totals[at].sum()), int((totals[at] > 0).sum())))
         return pd.DataFrame(rows, columns=["lot", "shard", "kind", "x", "y", "grp", "words", "total", "n_distinct"])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, jaccard, language, lines, mixing, neighbours, packing, pages, phrases, quality, suffix, urls
+from . import centroids, jaccard, language, lines, mixing, neighbours, packing, pages, phrases, quality, scoring, suffix, urls
 from .common import table
 from .oracle import SQL  # noqa: F401 - read by the entry point
 
@@ -16,6 +16,7 @@ MIX_LEVELS = ["domain", "lang", "source"]
 #: Weights of the mix by level; values not named weigh 1.
 MIX_WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 LANGUAGE_FOLDS, HELD_OUT = 3, 1
+LM_FOLDS = 10
 
 
 def tokenizer_path() -> str:
@@ -84,6 +85,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a bigram model of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scoring.score(docs, F.crc32(F.col("doc_id").cast("string")) % LM_FOLDS == 0)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector with its cluster after five rounds and a last assignment."""
     return centroids.cluster(table(spark, sf_dir, "embeddings"), dimensions=64, count=40, rounds=5, seed=2)
@@ -91,7 +98,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_nearest_neighbours, op7_suffix_array_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing,
-    op11_phrase_collocations, op13_centroid_clustering)}
+    op11_phrase_collocations, op12_lm_scoring, op13_centroid_clustering)}
 
 
 def in_utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
