@@ -79,18 +79,23 @@ def _runs_of_words(lots: DataFrame, answers: DataFrame, word_shards: int, shards
     return store(lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(run, _STAGE), "word-runs", lexicon.LOT_ROWS)
 
 
-def _frequent(stage: DataFrame, size: int, least: int) -> DataFrame:
+def _merged(df: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The words of a shard's messages, their order, which are new in it, the total of each distinct gram, and the messages' lengths."""
+    words = [np.concatenate([lexicon.unpack(p[j]) for p in df["parts"]]) for j in range(len(df["parts"].iloc[0]))]
+    each = [lexicon.unpack(x) for x in df["n"]]
+    order = np.lexsort(words)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([w[order][1:] != w[order][:-1] for w in words])
+    return words, order, new, np.add.reduceat(np.concatenate(each)[order], np.flatnonzero(new)), [len(x) for x in each]
+
+
+def _frequent(stage: DataFrame, least: int) -> DataFrame:
     """(lot, shard, bits): for a lot's grams of a shard, in the lot's order, whether they occur ``least`` times in all."""
     def answer(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        words = [np.concatenate([lexicon.unpack(p[j]) for p in df["parts"]]) for j in range(size)]
-        each = [lexicon.unpack(x) for x in df["n"]]
-        order = np.lexsort(words)
-        new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([w[order][1:] != w[order][:-1] for w in words])
-        totals = np.add.reduceat(np.concatenate(each)[order], np.flatnonzero(new))
+        _, order, new, totals, each = _merged(df)
         often = np.empty(len(order), bool)
         often[order] = (totals >= least)[np.cumsum(new) - 1]
-        parts = np.split(often, np.cumsum([len(x) for x in each])[:-1])
+        parts = np.split(often, np.cumsum(each)[:-1])
         return pd.DataFrame([(lot, int(key[0]), lexicon.pack(p)) for lot, p in zip(df["lot"], parts) if p.any()], columns=["lot", "shard", "bits"])
 
     answers = stage.filter("kind = 1").groupBy("shard").applyInPandas(answer, "lot long, shard int, bits binary")
@@ -124,9 +129,9 @@ def _runs_of_pairs(stage: DataFrame, answers: DataFrame, shards: int, next_shard
 
 
 def _grams(stage: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
-    """Edges (``LONGEST`` words) and the shorter grams that end a run of frequent triples, with their counts in a lot; absent words are 0."""
-    def run(lot_df: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(columns=[*_W, "n"])]
+    """Edges (``LONGEST`` words) and the shorter grams that end a run of frequent triples, with their counts; absent words are 0."""
+    def send(lot_df: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = []
         for lot in lot_df.itertuples():
             tokens = lexicon.unpack(lot.parts[0])
             triple = np.concatenate((_often(tokens, found, 3, shards), np.zeros(LONGEST, bool)))
@@ -137,11 +142,18 @@ def _grams(stage: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
                 goes_on = goes_on & triple[j:j + m]
                 reach = reach + goes_on
             one, _, n = _distinct(tokens, reach, LONGEST)
-            out.append(pd.DataFrame({w: np.where(reach[one] > j, padded[one + j], 0) for j, w in enumerate(_W)} | {"n": n}))
-        return pd.concat(out)
+            words = [np.where(reach[one] > j, padded[one + j], 0) for j in range(LONGEST)]
+            shard = (reduce(lexicon.mixed, words).astype(np.uint64) % np.uint64(shards)).astype(np.int64)
+            rows += [(s, [lexicon.pack(w[at]) for w in words], lexicon.pack(n[at])) for s, at in lexicon.by_shard(shard)]
+        return pd.DataFrame(rows, columns=["shard", "parts", "n"])
+
+    def add(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        words, order, new, totals, _ = _merged(df)
+        return pd.DataFrame({c: w[order[new]] for c, w in zip(_W, words)} | {"n": totals})
 
-    schema = ", ".join(f"{w} long" for w in [*_W, "n"])
-    return stage.filter("kind = 0").groupBy("lot").cogroup(answers.groupBy("lot")).applyInPandas(run, schema)
+    messages = (stage.filter("kind = 0").groupBy("lot").cogroup(answers.groupBy("lot"))
+                .applyInPandas(send, "shard int, parts array<binary>, n binary"))
+    return messages.groupBy("shard").applyInPandas(add, ", ".join(f"{w} long" for w in [*_W, "n"]))
 
 
 def flows(grams: DataFrame) -> list[DataFrame]:
@@ -205,10 +217,10 @@ def phrases(docs: DataFrame, group: str = "lang", least: int = 100, share: int =
     sums = answers.filter("lot = -1").groupBy("grp").agg(F.sum("total").alias("all"))
     of_words = _runs_of_words(lots, answers.filter("lot >= 0"), word_shards, gram_shards)
     discard(lots)
-    of_pairs = _runs_of_pairs(of_words, _frequent(of_words, 2, least), gram_shards, gram_shards)
+    of_pairs = _runs_of_pairs(of_words, _frequent(of_words, least), gram_shards, gram_shards)
     discard(of_words)
-    grams = _grams(of_pairs, _frequent(of_pairs, 3, least), gram_shards)
-    grams = materialize(grams.groupBy(*_W).agg(F.sum("n").alias("n")), "de-bruijn")
+    grams = _grams(of_pairs, _frequent(of_pairs, least), gram_shards)
+    grams = materialize(grams, "de-bruijn")
 
     frequent = [materialize(f.filter(F.col("n") >= least), f"grams-{k}") for k, f in enumerate(flows(grams), 2)]
     paths = materialize(passages(frequent[-1], frequent[-2]), "passages")
