@@ -32,7 +32,7 @@ def texts(spark):
 
 def test_all_are_registered():
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and [s for s, _ in corpus_pipeline.STAGES] == [
         "language_id", "line_dedup", "ngram_jaccard", "mix_sources", "best_fit_packing"]
