@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import scalars as S
 from ..operators import normalize as N
 from ..operators.book import level_rows
 from ..operators.merge import latest_per_symbol
 from ..plans.serving import in_range, request_problem
-from ..schemas import DAY_MS, HOUR_MS, KLINE, MAX_HISTORICAL, MINUTE_MS, TRADE
+from ..schemas import DAY_MS, DEPTH_RECORD, HOUR_MS, KLINE, LEVEL, MAX_HISTORICAL, MINUTE_MS, TICKER, TRADE
 from ..session import fresh_dir
-from ..sources import lake, tables as tb, topics
+from ..sources import avro, lake, tables as tb, topics
 from .registry import OHLCV, query, with_views
 
 KLINE_COLS = """event_time, symbol, kline_start, kline_close, "interval", open, high, low, close, volume,
@@ -113,6 +113,54 @@ def _(spark, d):
     return topics.decode_framed(topics.encode_framed(trades(spark, d), schema_id=7), TRADE)
 
 
+RECORDS = {"ticker": (TICKER, 1), "trade": (TRADE, 2), "kline": (KLINE, 3), "depth": (DEPTH_RECORD, 4)}
+AVRO = {number: avro.avro_schema(struct, kind) for kind, (struct, number) in RECORDS.items()}
+
+
+def _records(spark, d) -> dict[str, DataFrame]:
+    """Rows of the four record kinds."""
+    tickers = tb.tickers(spark, d)
+    tickers = tickers.select(*(F.col(f.name) if f.name in tickers.columns else F.lit(0.0).alias(f.name) for f in TICKER))
+    depth = N.normalize_depth(tb.raw_depth(spark, d)).select(
+        "event_time", "symbol", "last_update_id", F.to_json("bids").alias("bids"), F.to_json("asks").alias("asks"))
+    return {"ticker": tickers, "trade": trades(spark, d), "kline": tb.klines(spark, d, "1h", HOUR_MS), "depth": depth}
+
+
+def framed_records(spark, d) -> dict[str, DataFrame]:
+    return {kind: avro.encode_records(rows, AVRO[RECORDS[kind][1]], RECORDS[kind][1]) for kind, rows in _records(spark, d).items()}
+
+
+@query("avro_records", "S2 S3", with_views("tickers ticks k1h books", """SELECT 'ticker' AS kind, symbol, event_time, close AS x, h24_trade_count AS n FROM tickers
+    UNION ALL SELECT 'trade', symbol, event_time, price, seq FROM ticks
+    UNION ALL SELECT 'kline', symbol, event_time, close, trade_count FROM k1h
+    UNION ALL SELECT 'depth', symbol, event_time, (bid_depth + ask_depth)::DOUBLE, last_update_id FROM books"""))
+def _(spark, d):
+    measure = {"ticker": ("close", "h24_trade_count"), "trade": ("price", "agg_trade_id"), "kline": ("close", "trade_count"), "depth": ("x", "last_update_id")}
+    parts = []
+    for kind, messages in framed_records(spark, d).items():
+        rows = avro.decode_records(messages, AVRO, RECORDS[kind][0]).filter("malformed IS NULL")
+        if kind == "depth":
+            levels = [F.size(F.from_json(c, T.ArrayType(LEVEL))) for c in ("bids", "asks")]
+            rows = rows.withColumn("x", (levels[0] + levels[1]).cast("double"))
+        x, n = measure[kind]
+        parts.append(rows.select(F.lit(kind).alias("kind"), "symbol", "event_time", F.col(x).alias("x"), F.col(n).alias("n")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("avro_malformed_frames", "S2 P8", with_views("ticks", """SELECT seq, CASE WHEN seq % 5 = 0 OR seq % 7 = 0 OR seq % 11 = 0 THEN NULL ELSE price END AS price,
+    seq % 5 = 0 OR seq % 7 = 0 OR seq % 11 = 0 AS is_malformed FROM ticks"""))
+def _(spark, d):
+    # Cut short by a byte, of an unknown schema, of another magic byte; the key is the sequence number.
+    framed = avro.encode_records(trades(spark, d).withColumn("seq", F.col("agg_trade_id")), AVRO[2], 2, key="seq")
+    seq, value = F.col("key").cast("long"), F.col("value")
+    body = F.expr("substring(value, 6, length(value) - 5)")
+    broken = framed.withColumn("value", F.when(seq % 5 == 0, F.expr("substring(value, 1, length(value) - 1)"))
+                               .when(seq % 7 == 0, F.concat(F.unhex(F.lit("00000000ff")), body))
+                               .when(seq % 11 == 0, F.concat(F.unhex(F.lit("0100000002")), body)).otherwise(value))
+    return avro.decode_records(broken, AVRO, TRADE, keep=("key",)).select(
+        F.col("key").cast("long").alias("seq"), "price", F.col("malformed").isNotNull().alias("is_malformed"))
+
+
 @query("declared_schema_read", "S4", with_views("k1h", f"SELECT {KLINE_COLS} FROM k1h"))
 def _(spark, d):
     path = fresh_dir(spark, "declared-schema")

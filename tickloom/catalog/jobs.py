@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.normalize import positional_klines
 from ..plans import jobs as J
-from ..schemas import DAY_MS, HOUR_MS, MINUTE_MS
+from ..schemas import DAY_MS, HOUR_MS, MINUTE_MS, TRADE
 from ..session import fresh_dir
-from ..sources import lake, sinks, tables as tb
-from ..streaming import queries as Q
+from ..sources import avro, lake, sinks, tables as tb, topic_log
+from ..streaming import minutes as M, queries as Q
 from ..streaming.feed import later_rows, time_ordered
 from .bars import BEAT_MS, COARSE, INDICATORS, _GAPS, _THROTTLED, _WINDOW_FILL, coarse_ticks, rounded
-from .ingest import ALL_KLINES, KLINE_COLS, TRADES_SQL, all_klines, settled
+from .ingest import ALL_KLINES, AVRO, KLINE_COLS, TRADES_SQL, all_klines, settled, trades
 from .merging import CUT, NOW
 from .registry import OHLCV, query, with_views
 
@@ -150,6 +150,30 @@ def _(spark, d):
     return _drain(rows, spark, "trades").drop("event_timestamp", "trade_timestamp")
 
 
+def _through_log(spark, d, label: str) -> tuple[str, int]:
+    """The trades as Avro frames in a log of four partitions, and how many there are."""
+    path, rows = fresh_dir(spark, f"{label}-log"), trades(spark, d)
+    framed = avro.encode_records(rows, AVRO[2], 2)
+    # A log is written in order of time, which the frames hold.
+    timed = avro.decode_records(framed, AVRO, TRADE, keep=("key", "value")).select("key", "value", F.col("event_time").alias("timestamp"), "agg_trade_id")
+    ends = topic_log.append_log(timed, path, ["timestamp", "agg_trade_id"])
+    return path, sum(ends.values())
+
+
+@query("streamed_topic_log", "S1 S2 S3 S6 T8", with_views("ticks", f"SELECT *, true AS is_bounded FROM ({TRADES_SQL})"))
+def _(spark, d):
+    path, n = _through_log(spark, d, "topic")
+    bound = max(1, n // 6)
+    log = topic_log.read_log(spark, path, fresh_dir(spark, "topic-progress"), starting="earliest", max_offsets=bound)
+    rows = avro.decode_records(log, AVRO, TRADE).filter("malformed IS NULL").drop("schema_id", "malformed")
+    out = fresh_dir(spark, "topic")
+    running = sinks.foreach_batch(rows, sinks.to_path(out), fresh_dir(spark, "topic-state"), trigger={"processingTime": "0 seconds"})
+    sinks.drain(running)
+    stored = spark.read.parquet(out)
+    sizes = stored.groupBy("batch").count().select("batch", (F.col("count") <= bound).alias("is_bounded"))
+    return stored.join(sizes, "batch").drop("batch")
+
+
 @query("streamed_candles", "T2 T5 T8", with_views("c1h", f"SELECT {OHLCV} FROM c1h"))
 def _(spark, d):
     return _drain(Q.window_candles(_tick_stream(spark, d, "candles", flush=True), "1 hour"), spark, "candles")
@@ -256,11 +280,14 @@ def _(spark, d):
     return _replayed(spark, rows, "open_time", Q.change_only_stream, "changes")
 
 
-@query("streamed_filled_minutes", "T4 T6 A2", with_views("c1s", _WINDOW_FILL.replace("c1h", "c1s").replace(str(DAY_MS), "60000").replace(
+_FILLED_MINUTES = with_views("c1s", _WINDOW_FILL.replace("c1h", "c1s").replace(str(DAY_MS), "60000").replace(
        str(HOUR_MS), "1000") + """, minutes AS (SELECT symbol, day AS kline_start, arg_min(coalesce(open, carried), t) AS open,
     max(coalesce(high, carried)) AS high, min(coalesce(low, carried)) AS low, arg_max(carried, t) AS close,
     sum(coalesce(volume, 0)) AS volume, count(*) FILTER (WHERE volume > 0) AS real_count FROM dense GROUP BY 1, 2)
-    SELECT * FROM minutes"""))
+    SELECT * FROM minutes""")
+
+
+@query("streamed_filled_minutes", "T4 T6 A2", _FILLED_MINUTES)
 def _(spark, d):
     seconds = tb.klines(spark, d, "1s", 1000)
     # A much later second of each symbol closes its last minute.
@@ -269,6 +296,15 @@ def _(spark, d):
     return rows.select("symbol", "kline_start", "open", "high", "low", "close", "volume", "real_count")
 
 
+@query("streamed_idle_minutes", "T3 T4 T6 U2", _FILLED_MINUTES)
+def _(spark, d):
+    seconds = tb.klines(spark, d, "1s", 1000)
+    # A row without a symbol only moves the clock: every last minute is closed by its symbol's timer.
+    clock = later_rows(seconds, "kline_start", FLUSH_MS).withColumn("symbol", F.lit(None).cast("string"))
+    rows = _replayed(spark, seconds, "kline_start", lambda s: M.idle_roll_up_stream(s, keep_ms=5 * DAY_MS), "idle-minutes", flush=clock)
+    return rows.select("symbol", "kline_start", "open", "high", "low", "close", "volume", "real_count")
+
+
 @query("pandas_projection", "U1", with_views("ticks", "SELECT seq, symbol, price * volume AS notional FROM ticks"))
 def _(spark, d):
     def notional(batches):

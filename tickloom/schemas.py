@@ -31,6 +31,8 @@ DEPTH = _struct(
     ("event_time", _L), ("symbol", _S), ("last_update_id", _L),
     ("bids", T.ArrayType(LEVEL)), ("asks", T.ArrayType(LEVEL)),
 )
+#: A book as it travels in a topic: its levels are JSON text.
+DEPTH_RECORD = _struct(("event_time", _L), ("symbol", _S), ("last_update_id", _L), ("bids", _S), ("asks", _S))
 CANDLE = _struct(
     ("symbol", _S), ("open_time", _L), ("open", _D), ("high", _D), ("low", _D),
     ("close", _D), ("volume", _D),

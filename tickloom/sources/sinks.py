@@ -49,12 +49,20 @@ def to_path(path: str, transform: Callable[[DataFrame], DataFrame] = lambda df:
 
 
 def foreach_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
-                  once: bool = False, mode: str = "append"):
-    trigger = {"availableNow": True} if once else TRIGGER
+                  once: bool = False, mode: str = "append", trigger: dict | None = None):
+    trigger = trigger or ({"availableNow": True} if once else TRIGGER)
     return (df.writeStream.foreachBatch(write).outputMode(mode)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+def drain(query) -> None:
+    """Run until everything the sources have now is stored, in as many bounded micro-batches as that takes; then stop."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def read_upserts(spark: SparkSession, path: str, keys: Sequence[str],
                  order: Sequence[str] = ()) -> DataFrame:
     """Current rows of an upsert log: per key the last batch wins, within it the last ``order``."""
