@@ -114,7 +114,7 @@ class TopicLogReader(DataSourceStreamReader):
     """Plans stretches of offsets; a micro-batch takes at most ``maxOffsetsPerTrigger`` in all, an even share of each partition.
 
     Spark does not tell a Python source where it stands after a restart, so the end of each planned micro-batch is written to the folder of
-    the option ``progress`` before Spark sees it. A crash in between makes the next micro-batch longer, never wrong: what is read
+    the option ``progress`` before Spark sees it; keep it beside the checkpoint. A crash in between makes the next micro-batch longer, never wrong: what is read
     is always the stretch from Spark's own committed offsets.
     """
 
@@ -154,7 +154,10 @@ class TopicLogReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         if self.current is None:
-            self.current = self._read_progress() or {int(p): n for p, n in self.initialOffset().items()}
+            self.current = self._read_progress()
+        if self.current is None:
+            self.current = {int(p): n for p, n in self.initialOffset().items()}
+            self._write_progress(sum(self.current.values()))
         ends, _ = end_offsets(self.path)
         behind = {p: max(0, end - self.current.get(p, 0)) for p, end in ends.items()}
         left, moved = self.limit, dict(self.current)
@@ -169,6 +172,8 @@ class TopicLogReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
         _, sizes = end_offsets(self.path)
+        if any(end.get(p, 0) < at for p, at in start.items()):
+            raise ValueError(f"offsets go back from {start} to {end}: {self.progress} does not belong to this query's checkpoint")
         out = []
         for p, stop in end.items():
             at = start.get(p, 0)

@@ -105,8 +105,11 @@ class MinuteAggregator(StatefulProcessor):
             yield self._close(key[0], self._stored(), carry)
             self.seconds.clear()
             self.opened.clear()
-            if self.event_clock:
-                self.handle.registerTimer(minute + self.idle_ms + self.keep_ms)
+            expiry = minute + self.idle_ms + self.keep_ms
+            if self.event_clock and expiry <= timerValues.getCurrentWatermarkInMs():
+                self.closed.clear()
+            elif self.event_clock:
+                self.handle.registerTimer(expiry)
         elif minute is None and done is not None and done + self.idle_ms + self.keep_ms <= now:
             self.closed.clear()
 
