@@ -85,6 +85,61 @@ def test_compaction_merges_files_and_keeps_rows(spark):
     assert J.compact(spark, path) == 0
 
 
+def named_files(spark, path):
+    return {(str(r["dt"]), r["path"].rsplit("/", 1)[1]): r["bytes"] for r in lake.data_files(spark, path).collect()}
+
+
+def test_compaction_leaves_files_near_the_target_alone(spark):
+    path, day = fresh_dir(spark, "test-binpack"), 86_400_000
+    noisy = klines(spark, [T0 + i * 1000 for i in range(8_000)], interval="1s").withColumn("close", F.rand(3)).withColumn("high", F.rand(4))
+    lake.with_day(noisy, "kline_start").coalesce(1).write.partitionBy("dt").parquet(path)
+    (big,) = named_files(spark, path).items()
+    for i in range(9):
+        lake.with_day(klines(spark, [T0 + i, T0 + 3 * day + i]), "kline_start").coalesce(1).write.mode("append").partitionBy("dt").parquet(path)
+    for i in range(3):
+        lake.with_day(klines(spark, [T0 + 7 * day + i]), "kline_start").coalesce(1).write.mode("append").partitionBy("dt").parquet(path)
+    before, rows = named_files(spark, path), sorted(map(tuple, spark.read.parquet(path).collect()), key=str)
+    small = max(size for key, size in before.items() if key != big[0])
+    assert J.compact(spark, path, target_bytes=max(big[1], 4 * small)) == 2
+    after = named_files(spark, path)
+    # The large file keeps its name, three files are too few, two days have one file in the place of nine.
+    assert after[big[0]] == big[1] and len(after) == 1 + 1 + 1 + 3
+    assert {k for k in after if k in before} == {big[0], *(k for k in before if k[0] == max(before)[0])}
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == rows
+    assert J.compact(spark, path, target_bytes=max(big[1], 4 * small)) == 0 and named_files(spark, path) == after
+
+
+def test_groups_of_files_stay_below_the_target():
+    sizes = {f"f{i}": 10 + i * 37 % 90 for i in range(50)}
+    groups = J.pack_files(sizes, 100)
+    assert sorted(f for g in groups for f in g) == sorted(sizes) and max(sum(sizes[f] for f in g) for g in groups) <= 100
+    assert len(groups) <= 1.23 * -(-sum(sizes.values()) // 100) + 1
+
+
+@pytest.mark.parametrize("broken", ["write_text", "delete_path"])
+def test_a_compaction_that_breaks_off_is_completed_or_forgotten(spark, monkeypatch, broken):
+    path = fresh_dir(spark, "test-broken-compaction")
+    for i in range(6):
+        lake.with_day(klines(spark, [T0 + i]), "kline_start").coalesce(1).write.mode("append").partitionBy("dt").parquet(path)
+    real, calls = getattr(J, broken), []
+
+    def fail(*args):
+        calls.append(args)
+        if len(calls) == (1 if broken == "write_text" else 3):
+            raise OSError("gone")
+        return real(*args)
+    monkeypatch.setattr(J, broken, fail)
+    with pytest.raises(OSError, match="gone"):
+        J.compact(spark, path)
+    monkeypatch.undo()
+    J.finish_compaction(spark, path)
+    assert spark.read.parquet(path).count() == 6
+    assert len(named_files(spark, path)) == (6 if broken == "write_text" else 1)
+    J.compact(spark, path)
+    assert spark.read.parquet(path).count() == 6 and len(named_files(spark, path)) == 1
+    assert not [n for n in lake.child_names(spark, path) if n.startswith(J.ASIDE)]
+
+
 def test_import_is_idempotent_and_stops_at_the_last_whole_minute(spark):
     source = klines(spark, [T0 + i * 60_000 for i in range(10)])
     symbols = spark.createDataFrame([("AUSDT",), ("NEWUSDT",)], "symbol string")

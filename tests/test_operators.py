@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
 from tickloom.operators import book as B, candles as C, lookup as L, merge as M, normalize as N
-from tickloom.plans import serving as P
+from tickloom.plans import paging, serving as P
 from tickloom.sources import topics
 
 from .conftest import as_dicts, candle_frame
@@ -237,8 +237,8 @@ def test_deep_books_keep_every_level(spark):
 
 def test_page_is_clamped(spark):
     rows = spark.range(25).select(F.format_string("S%02d", "id").alias("symbol"))
-    assert [r["symbol"] for r in P.page(rows, ["symbol"], 99).collect()] == ["S20", "S21", "S22", "S23", "S24"]
-    assert P.page(rows, ["symbol"], 0).count() == 10
+    assert [r["symbol"] for r in paging.page(rows, ["symbol"], 99).collect()] == ["S20", "S21", "S22", "S23", "S24"]
+    assert paging.page(rows, ["symbol"], 0).count() == 10
 
 
 def test_framed_message_bytes(spark):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import book as B, candles as C, lookup as L, merge as M
-from ..plans import serving as P
+from ..plans import paging, serving as P
 from ..schemas import DAY_MS, HOUR_MS, INTERVAL_MS, MINUTE_MS
-from ..sources import tables as tb
+from ..session import fresh_dir
+from ..sources import lake, tables as tb
 from .bars import _GAPS, _POINTS
 from .ingest import all_klines
 from .registry import OHLCV, query, with_views
@@ -387,6 +388,23 @@ def _(spark, d):
     return M.newest_n(C.resample(rows, FOUR_H), 60)
 
 
+_DORMANT = f"(symbol <> 'VIEWUSDT' OR open_time < {CUT - 5 * DAY_MS})"
+
+
+@query("paged_klines_4h", "K5", with_views("hot1m cold1m", f""", {BASE}, part AS (SELECT * FROM base WHERE open_time < {NOW} AND {_DORMANT}),
+    {_bars('part', FOUR_H)} {_newest(12, 'bars')}"""))
+def _(spark, d):
+    # Day-partitioned tiers; one symbol fell silent before the cutoff, so only its rows are looked for in older pages.
+    paths = []
+    for name, tier in (("hot", tb.hot), ("cold", tb.cold)):
+        paths.append(fresh_dir(spark, f"paged-{name}"))
+        lake.append_sorted(tier(spark, d, MINUTE_MS).filter(_DORMANT), paths[-1], "open_time", ("symbol", "open_time"))
+    hot, cold = (spark.read.parquet(p) for p in paths)
+    first = min(lake.table_days(spark, p)[0] for p in paths)
+    rows = paging.paged_minutes(paging.tiered_reader(hot, cold, CUT), tb.symbols(spark, d), FOUR_H, 12, NOW, first)
+    return M.newest_n(C.resample(rows.drop("dt"), FOUR_H), 12)
+
+
 _SECONDS = _FLAT.format(step=1000)
 
 
@@ -446,7 +464,7 @@ def _(spark, d):
     QUALIFY row_number() OVER (ORDER BY symbol) > (count(*) OVER () - 1) // 10 * 10"""))
 def _(spark, d):
     counts = tb.ticks_many(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    return P.page(counts, ["symbol"], 9_999)
+    return paging.page(counts, ["symbol"], 9_999)
 
 
 @query("preloaded_series", "K13", with_views("c1h", f""", cur AS (SELECT {OHLCV} FROM c1h WHERE open_time >= {NOW}),

@@ -1,12 +1,16 @@
 """Table jobs: retention, compaction, roll-up, incremental import, gap backfill and populate.
 
-Every job handles all symbols in one plan. Only lists of days, bounded by the calendar, reach the
-driver.
+Every job handles all symbols in one plan. Only lists of days, bounded by the calendar, and the names of small files reach
+the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import ms_to_timestamp
 from ..operators.candles import detect_gaps, first_available, high_watermarks, resample
@@ -17,11 +21,17 @@ from ..operators.sizing import small_side
 from ..schemas import (CACHE_RETENTION_MS, DAY_MS, GAP_LOOKBACK_MS, HISTORY_TRIM_MS, HISTORY_TTL_MS, HOUR_MS,
                        MIN_GAP_MS, MIN_INPUT_FILES, MINUTE_MS, POPULATE_DAYS,
                        STORE_RETENTION_MS, TARGET_FILE_BYTES)
-from ..sources.lake import (SORT_ORDER, append_sorted, data_files, drop_days, overwrite_days,
-                            table_exists, with_day)
+from ..sources.lake import (SORT_ORDER, append_sorted, child_names, data_files, delete_path, drop_days, move_file,
+                            overwrite_days, read_text, table_exists, with_day, write_text)
 from .serving import in_range, stored_minutes
 
 HOURLY_SORT = ("symbol", "open_time")
+#: Below this share of the target size a file is merged, beyond that multiple it is split.
+SMALL, LARGE = 0.75, 1.8
+#: Groups of one write, which bounds the list of files that is broadcast.
+GROUPS_AT_ONCE = 2_000
+#: Folders of new files on their way into the table; readers skip names with an underscore.
+ASIDE, MANIFEST = "_compact-", "manifest.json"
 
 
 def expired(cutoff_ms: int) -> Column:
@@ -86,22 +96,93 @@ def unexpired(rows: DataFrame, now_ms: int, keep_ms: int = HISTORY_TTL_MS, time:
     return rows.join(small_side(written), "symbol", "left_semi")
 
 
+def pack_files(sizes: dict[str, int], target_bytes: int) -> list[list[str]]:
+    """Groups of files of at most the target together, first fit in decreasing size."""
+    groups, room = [], []
+    for path, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        at = next((k for k, left in enumerate(room) if size <= left), None)
+        if at is None:
+            groups.append([])
+            room.append(target_bytes)
+            at = len(groups) - 1
+        groups[at].append(path)
+        room[at] -= size
+    return groups
+
+
+def compaction_plan(spark: SparkSession, path: str, target_bytes: int = TARGET_FILE_BYTES,
+                    min_files: int = MIN_INPUT_FILES) -> tuple[dict[str, list[list[str]]], dict[str, dict[str, int]]]:
+    """By day: groups of small files to merge, and files beyond the largest size to split (with their bytes).
+
+    Files near the target stay as they are. A day has work if it holds ``min_files`` small files or one that is too large; a file left
+    alone in its group stays too. Only names and sizes of the files in question reach the driver.
+    """
+    size = F.when(F.col("bytes") < SMALL * target_bytes, "small").when(F.col("bytes") > LARGE * target_bytes, "large")
+    files = data_files(spark, path).withColumn("kind", size).filter("kind IS NOT NULL")
+    few = W.partitionBy("dt", "kind")
+    files = files.filter(F.col("kind") == "large").unionByName(
+        files.filter(F.col("kind") == "small").withColumn("n", F.count(F.lit(1)).over(few)).filter(F.col("n") >= min_files).drop("n"))
+    small, large = {}, {}
+    for r in files.select(F.col("dt").cast("string").alias("dt"), "path", "bytes", "kind").collect():
+        (small if r["kind"] == "small" else large).setdefault(r["dt"], {})[r["path"]] = r["bytes"]
+    groups = {day: [g for g in pack_files(sizes, target_bytes) if len(g) > 1] for day, sizes in small.items()}
+    return {day: g for day, g in groups.items() if g}, large
+
+
 def compact(spark: SparkSession, path: str, sort: tuple[str, ...] = SORT_ORDER["kline"],
             target_bytes: int = TARGET_FILE_BYTES, min_files: int = MIN_INPUT_FILES) -> int:
-    """Merge the small files of every day that has ``min_files`` of them; returns the days done.
+    """Merge small files of a day into files near the target size and split files far beyond it; returns the days done.
 
-    The rows are range-partitioned by (day, sort) into as many tasks as target-size files are
-    needed, so big days and hot symbols split and every file covers one stretch of the order.
+    Other files are neither read nor replaced. The new files are written aside; a manifest then names what goes and what comes, so a
+    run that breaks off in the exchange is completed by the next one, and one that breaks off before leaves no trace.
     """
-    small = (data_files(spark, path).groupBy("dt")
-             .agg(F.count_if(F.col("bytes") < target_bytes).alias("n"), F.sum("bytes").alias("bytes"))
-             .filter(F.col("n") >= min_files).select(F.col("dt").cast("string").alias("dt"), "bytes").collect())
-    if not small:
+    finish_compaction(spark, path)
+    groups, large = compaction_plan(spark, path, target_bytes, min_files)
+    if not groups and not large:
         return 0
-    files = sum(-(-int(r["bytes"]) // target_bytes) for r in small)
-    rows = spark.read.parquet(path).filter(F.col("dt").isin([r["dt"] for r in small]))
-    overwrite_days(rows.repartitionByRange(files, "dt", *sort).sortWithinPartitions("dt", *sort), path)
-    return len(small)
+    aside = f"{path}/{ASIDE}{uuid.uuid4().hex}"
+    schema = spark.read.parquet(path).schema
+    columns = [c for c in schema.names if c != "dt"]
+
+    def rows_of(files: list[str]) -> DataFrame:
+        return spark.read.schema(schema).option("basePath", path).parquet(*files)
+
+    merged = [(day, g) for day, packed in sorted(groups.items()) for g in packed]
+    for at in range(0, len(merged), GROUPS_AT_ONCE):
+        # One task and one file a group: the list of files is bounded, so it may be broadcast.
+        some = list(enumerate(merged[at:at + GROUPS_AT_ONCE], at))
+        place = spark.createDataFrame([(f, k) for k, (_, g) in some for f in g], "_file string, _group int")
+        rows = rows_of([f for _, (_, g) in some for f in g]).withColumn("_file", F.col("_metadata.file_path"))
+        (rows.join(F.broadcast(place), "_file").repartition(len(some), "_group").sortWithinPartitions("_group", *sort)
+         .select(F.concat(F.lit("dt="), F.col("dt").cast("string"), F.lit("/g"), F.col("_group")).alias("_to"), *columns)
+         .write.mode("append").partitionBy("_to").option("compression", "zstd").parquet(aside))
+    if large:
+        files = sum(-(-size // target_bytes) for sizes in large.values() for size in sizes.values())
+        (rows_of([f for sizes in large.values() for f in sizes]).repartitionByRange(files, "dt", *sort).sortWithinPartitions("dt", *sort)
+         .select(F.concat(F.lit("dt="), F.col("dt").cast("string"), F.lit("/split")).alias("_to"), *columns)
+         .write.mode("append").partitionBy("_to").option("compression", "zstd").parquet(aside))
+    old = [f for _, g in merged for f in g] + [f for sizes in large.values() for f in sizes]
+    write_text(spark, f"{aside}/{MANIFEST}", json.dumps(old))
+    finish_compaction(spark, path)
+    return len(groups.keys() | large.keys())
+
+
+def finish_compaction(spark: SparkSession, path: str) -> None:
+    """Complete exchanges that have a manifest, forget the others. Doing it twice does no harm."""
+    for folder in child_names(spark, path):
+        if not folder.startswith(ASIDE):
+            continue
+        names = child_names(spark, f"{path}/{folder}")
+        if MANIFEST in names:
+            for target in names:
+                if target.startswith("_to="):
+                    day = unquote(target[4:]).split("/")[0]
+                    for part in child_names(spark, f"{path}/{folder}/{target}"):
+                        if part.endswith(".parquet"):
+                            move_file(spark, f"{path}/{folder}/{target}/{part}", f"{path}/{day}/c{folder[len(ASIDE):]}-{part}")
+            for old in json.loads(read_text(spark, f"{path}/{folder}/{MANIFEST}")):
+                delete_path(spark, old)
+        delete_path(spark, f"{path}/{folder}")
 
 
 def build_hourly(spark: SparkSession, klines: DataFrame, path: str, since_ms: int | None = None) -> None:

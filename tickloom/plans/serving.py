@@ -202,14 +202,6 @@ def extend_to(current: DataFrame, history: DataFrame, required: int) -> DataFram
     return prepend_older(current, picked.select(*current.columns))
 
 
-def page(df: DataFrame, order: Sequence[str], number: int, size: int = 10) -> DataFrame:
-    """One page of a sorted list; the page number is clamped to the pages there are."""
-    total = df.count()
-    last = max((total + size - 1) // size, 1)
-    at = min(max(number, 1), last)
-    return df.orderBy(*order).offset((at - 1) * size).limit(size)
-
-
 def all_tickers(latest: DataFrame) -> DataFrame:
     return latest.orderBy("symbol")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalars import ms_to_timestamp
-from ..schemas import TARGET_FILE_BYTES
+from ..schemas import DAY_MS, TARGET_FILE_BYTES
 
 # Event-time column of each table kind: it gives the partition date.
 TABLE_TIME = {"ticker": "event_time", "trade": "trade_time", "kline": "kline_start"}
@@ -60,11 +62,58 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target) and bool(fs.listStatus(target))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it is not there."""
+    fs, target = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def move_file(spark: SparkSession, old: str, new: str) -> None:
+    fs, target = _hadoop(spark, old)
+    if not fs.rename(target, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"cannot move {old} to {new}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all."""
+    fs, target = _hadoop(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    out = fs.create(draft, True)
+    out.write(text.encode())
+    out.close()
+    if not fs.rename(draft, target):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _hadoop(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def table_days(spark: SparkSession, path: str) -> list[int]:
+    """The days of a table in ms, ascending, from its folder names alone."""
+    names = [n for n in child_names(spark, path) if re.fullmatch(r"dt=\d{4}-\d\d-\d\d", n)]
+    return [(date.fromisoformat(n[3:]) - date(1970, 1, 1)).days * DAY_MS for n in names]
+
+
 def drop_days(spark: SparkSession, path: str, days: Sequence[str]) -> None:
     """Remove whole day partitions of a table."""
     for day in days:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={day}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(spark, f"{path}/dt={day}")
 
 
 def data_files(spark: SparkSession, path: str) -> DataFrame:

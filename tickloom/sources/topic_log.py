@@ -16,17 +16,13 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..operators.blocks import with_row_index
 from ..schemas import HOUR_MS
+from .lake import delete_path, write_text
 
 SCHEMA = "partition int, offset bigint, key string, value binary, timestamp bigint"
 MARKERS = "_ends"
 PARTITIONS, SEGMENT_ROWS = 4, 100_000
 
 
-def _hadoop(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def append_log(messages: DataFrame, path: str, order: list[str], partitions: int = PARTITIONS, segment_rows: int = SEGMENT_ROWS,
                block_ms: int = HOUR_MS) -> dict[int, int]:
     """Append (key, value, timestamp, ...) rows; a key's messages go to one partition in ``order`` (whose first column is in ms).
@@ -47,13 +43,7 @@ def append_log(messages: DataFrame, path: str, order: list[str], partitions: int
     # Counted from the input, one row a partition.
     grown = {r["partition"]: r["count"] for r in dealt.groupBy("partition").count().collect()}
     ends = {p: ends.get(p, 0) + grown.get(p, 0) for p in range(partitions)}
-    fs, _ = _hadoop(spark, path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKERS}/{uuid.uuid4().hex}.json")
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKERS}/.{uuid.uuid4().hex}")
-    out = fs.create(draft)
-    out.write(json.dumps({"ends": ends, "segment_rows": segment_rows}).encode())
-    out.close()
-    fs.rename(draft, target)
+    write_text(spark, f"{path}/{MARKERS}/{uuid.uuid4().hex}.json", json.dumps({"ends": ends, "segment_rows": segment_rows}))
     return ends
 
 
@@ -63,8 +53,7 @@ def drop_segments(spark: SparkSession, path: str, before: dict[int, int]) -> Non
     for partition, offset in before.items():
         for segment in _segments(path).get(partition, []):
             if sizes and (segment + 1) * sizes[1] <= offset:
-                fs, target = _hadoop(spark, f"{path}/partition={partition}/segment={segment}")
-                fs.delete(target, True)
+                delete_path(spark, f"{path}/partition={partition}/segment={segment}")
 
 
 def _open(path: str):
