@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.normalize import positional_klines
 from ..plans import jobs as J
 from ..schemas import DAY_MS, HOUR_MS, MINUTE_MS, TRADE
 from ..session import fresh_dir
 from ..sources import avro, lake, sinks, tables as tb, topic_log
-from ..streaming import minutes as M, queries as Q
+from ..streaming import blocks as B, minutes as M, queries as Q, supervision as V
 from ..streaming.feed import later_rows, time_ordered
 from .bars import BEAT_MS, COARSE, INDICATORS, _GAPS, _THROTTLED, _WINDOW_FILL, coarse_ticks, rounded
 from .ingest import ALL_KLINES, AVRO, KLINE_COLS, TRADES_SQL, all_klines, settled, trades
@@ -216,6 +217,67 @@ def _(spark, d):
     return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
+@query("streamed_restarts", "T9 S6 S10", with_views("ticks", TRADES_SQL))
+def _(spark, d):
+    """The trades through a query that is broken off twice and goes on from its checkpoint."""
+    rows = trades(spark, d)
+    stream, out, state = time_ordered(rows, "event_time", "restarts", files=6), fresh_dir(spark, "restarts"), fresh_dir(spark, "restarts-state")
+
+    def until(batch: int, written: bool):
+        def write(df, batch_id):
+            if batch_id == batch and not written:
+                raise InterruptedError("between two micro-batches")
+            if batch_id == batch:
+                sinks.write_batch(df, batch_id, out)
+                raise InterruptedError("between the rows and their mark")
+            sinks.write_committed(df, batch_id, out)
+        return write
+
+    for batch, written in ((2, True), (4, False), (-1, False)):
+        running = sinks.foreach_batch(stream, until(batch, written), state, once=True)
+        try:
+            running.awaitTermination()
+        except StreamingQueryException as broken:
+            if "InterruptedError" not in str(broken):
+                raise
+    return sinks.read_committed(spark, out, rows.schema)
+
+
+@query("supervised_sinks", "T11 S9", with_views("tickers ticks k1m", """SELECT 'ticker' AS name, count(*) AS rows_read, count(DISTINCT (symbol, event_time)) AS rows_stored FROM tickers
+    UNION ALL SELECT 'trade', count(*), count(*) FROM ticks
+    UNION ALL SELECT 'kline', count(*), count(DISTINCT (symbol, kline_start)) FILTER (WHERE is_closed) FROM k1m"""))
+def _(spark, d):
+    kinds = {"ticker": (tb.tickers(spark, d), "event_time", Q.dedup_ticker_stream), "trade": (trades(spark, d), "event_time", Q.trade_stream),
+             "kline": (tb.klines(spark, d, "1m", MINUTE_MS), "kline_start", Q.dedup_kline_stream)}
+    paths = {kind: fresh_dir(spark, f"supervised-{kind}") for kind in kinds}
+
+    def starter(kind):
+        rows, time, build = kinds[kind]
+        stream = build(time_ordered(rows, time, f"supervised-{kind}", files=4))
+        return lambda: sinks.append_stream(stream, paths[kind], fresh_dir(spark, f"supervised-{kind}-state"), once=True)
+
+    log = V.run_supervised(spark, {kind: starter(kind) for kind in kinds})
+    read = log.table(spark).groupBy("name").agg(F.sum("rows_in").alias("rows_read"))
+    stored = [spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_stored")).withColumn("name", F.lit(kind)) for kind, path in paths.items()]
+    return read.join(stored[0].unionByName(stored[1]).unionByName(stored[2]), "name")
+
+
+@query("late_rows", "T5 D6", with_views("tickers", """SELECT 'seen' AS what, count(*) + count(*) FILTER (WHERE seq % 50 = 0) AS n FROM tickers
+    UNION ALL SELECT 'late', count(*) FILTER (WHERE seq % 50 = 0) FROM tickers UNION ALL SELECT 'stored', count(DISTINCT (symbol, event_time)) FROM tickers"""))
+def _(spark, d):
+    rows = tb.tickers(spark, d)
+    # Every fiftieth row comes once more after all others, far older than the watermark.
+    late = rows.filter("seq % 50 = 0").withColumn("event_time", F.col("event_time") - 100 * DAY_MS)
+    stream = V.observed(time_ordered(rows, "event_time", "late", files=4, flush=late), "seen", rows=F.count(F.lit(1)))
+    out = fresh_dir(spark, "late")
+    log = V.run_supervised(spark, {"late": lambda: sinks.append_stream(Q.dedup_ticker_stream(stream), out, fresh_dir(spark, "late-state"), once=True)})
+    seen = log.observations(spark).filter("name = 'late' AND metric = 'seen.rows'").agg(F.sum("value").cast("long").alias("n"))
+    dropped = log.table(spark).agg(F.sum("rows_late").alias("n"))
+    stored = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"))
+    parts = [df.select(F.lit(what).alias("what"), "n") for what, df in (("seen", seen), ("late", dropped), ("stored", stored))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("streamed_unique_tickers", "D6 T5", with_views("tickers", "SELECT DISTINCT symbol, event_time FROM tickers"))
 def _(spark, d):
     t = _tick_stream(spark, d, "tickers").select("symbol", "event_time")
@@ -260,13 +322,37 @@ def _replayed(spark, df: DataFrame, time: str, build, label: str, flush: DataFra
     return _drain(build(time_ordered(df, time, label, flush=flush)), spark, label)
 
 
-@query("streamed_throttle", "T1 U2 T6", with_views("ticks", f", {COARSE}" + _THROTTLED.format(ticks="coarse", beat=BEAT_MS) +
-       " SELECT symbol, seq, event_time, price, reason FROM walk WHERE sent", recursive=True))
+_STREAMED_THROTTLE = with_views("ticks", f", {COARSE}" + _THROTTLED.format(ticks="coarse", beat=BEAT_MS) +
+                                " SELECT symbol, seq, event_time, price, reason FROM walk WHERE sent", recursive=True)
+_STREAMED_INDICATORS = with_views("k1m", INDICATORS.replace("k1h", "k1m") + " SELECT * FROM indicators", recursive=True)
+
+
+@query("streamed_throttle", "T1 U2 T6", _STREAMED_THROTTLE)
 def _(spark, d):
     return _replayed(spark, coarse_ticks(spark, d), "event_time", lambda s: Q.throttle_stream(s, BEAT_MS), "throttle")
 
 
-@query("streamed_indicators", "T7", with_views("k1m", INDICATORS.replace("k1h", "k1m") + " SELECT * FROM indicators", recursive=True))
+def _in_blocks(spark, df: DataFrame, time: str, step, state: str, schema: str, label: str) -> DataFrame:
+    """The table in time order through a block-parallel step, and its results read back."""
+    out, kept = fresh_dir(spark, label), fresh_dir(spark, f"{label}-carried")
+    B.run_in_blocks(time_ordered(df, time, label, files=4), step, state, out, kept, fresh_dir(spark, f"{label}-state"), once=True).awaitTermination()
+    return sinks.read_committed(spark, out, T.StructType.fromDDL(schema))
+
+
+@query("streamed_block_throttle", "T1 T8", _STREAMED_THROTTLE)
+def _(spark, d):
+    return _in_blocks(spark, coarse_ticks(spark, d), "event_time", B.throttle_step(BEAT_MS), B.THROTTLE_STATE,
+                      "symbol string, seq bigint, event_time bigint, price double, reason string", "block-throttle")
+
+
+@query("streamed_block_indicators", "T7 T8", _STREAMED_INDICATORS)
+def _(spark, d):
+    rows = _in_blocks(spark, tb.klines(spark, d, "1m", MINUTE_MS), "kline_start", B.indicator_step(), B.INDICATOR_STATE,
+                      "symbol string, timestamp bigint, sma20 double, sma50 double, ema12 double, ema26 double, close double", "block-indicators")
+    return rounded(rows, "sma20", "sma50", "ema12", "ema26")
+
+
+@query("streamed_indicators", "T7", _STREAMED_INDICATORS)
 def _(spark, d):
     rows = _replayed(spark, tb.klines(spark, d, "1m", MINUTE_MS), "kline_start", Q.indicator_stream, "indicators")
     return rounded(rows, "sma20", "sma50", "ema12", "ema26")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import bucket
 from ..schemas import DAY_MS, HEARTBEAT_MS, HOUR_MS, MINUTE_MS
 from .blocks import BLOCK, fit_block, trailing
+from .sizing import small_side
 
 BLOCK_CHOICES = (MINUTE_MS, HOUR_MS, DAY_MS, 30 * DAY_MS)
 BLOCK_ROWS = 500_000
@@ -109,23 +110,32 @@ def _replay(heartbeat_ms: int):
 
 
 def throttle(ticks: DataFrame, heartbeat_ms: int = HEARTBEAT_MS,
-             block_ms: int | None = None) -> DataFrame:
+             block_ms: int | None = None, start: DataFrame | None = None) -> DataFrame:
     """Every tick with its ``reason``: change, heartbeat or skipped.
 
     ``seq`` is unique within a symbol and ascends with ``event_time``. Without ``block_ms`` the
     block is the longest whose rows fit ``BLOCK_ROWS``; the result is the same for any length.
+    ``start`` is what earlier ticks left behind: (symbol, price, sent_at) of the last tick and the last one sent.
     """
     rows = ticks.select("symbol", "event_time", "seq", "price")
     if block_ms is None:
         block_ms = fit_block(rows, "event_time", BLOCK_CHOICES, BLOCK_ROWS)
     flagged = trailing(rows, 1, block_ms, ["event_time", "seq"], {
-        "changed": lambda w: ~F.col("price").eqNullSafe(F.lag("price").over(w))})
+        "_before": lambda w: F.lag("price").over(w), "_first": lambda w: F.lag("seq").over(w).isNull()})
+    if start is not None:
+        prices = small_side(start.select("symbol", F.col("price").alias("_carried")))
+        flagged = flagged.join(prices, "symbol", "left").withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))).drop("_carried")
+    flagged = flagged.withColumn("changed", ~F.col("price").eqNullSafe(F.col("_before"))).drop("_before", "_first")
+    # Both uses take all columns, so the rows are dealt to their blocks once.
     flagged = flagged.withColumn(BLOCK, bucket("event_time", block_ms))
-    maps = flagged.select("symbol", BLOCK, "event_time", "seq", "changed").groupBy("symbol", BLOCK).applyInPandas(
-        _block_maps(heartbeat_ms),
-        f"symbol string, {BLOCK} bigint, first_time bigint, forced boolean, exit_time bigint")
+    table = f"symbol string, {BLOCK} bigint, first_time bigint, forced boolean, exit_time bigint"
+    maps = flagged.groupBy("symbol", BLOCK).applyInPandas(_block_maps(heartbeat_ms), table)
+    if start is not None:
+        # A block before all others that always ends with the carried state.
+        maps = maps.unionByName(start.select("symbol", F.lit(NEVER).alias(BLOCK), F.lit(NEVER).alias("first_time"), F.lit(True).alias("forced"),
+                                             F.col("sent_at").alias("exit_time")))
     entries = maps.groupBy("symbol").applyInPandas(
-        _compose(heartbeat_ms), f"symbol string, {BLOCK} bigint, entry_time bigint")
+        _compose(heartbeat_ms), f"symbol string, {BLOCK} bigint, entry_time bigint").filter(F.col(BLOCK) > NEVER)
     return (flagged.groupBy("symbol", BLOCK).cogroup(entries.groupBy("symbol", BLOCK))
             .applyInPandas(_replay(heartbeat_ms),
                            "symbol string, seq bigint, event_time bigint, price double, reason string"))

@@ -85,12 +85,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file that is there as a whole or not at all."""
+    """A small file that is there as a whole or not at all; one of the same name is replaced."""
     fs, target = _hadoop(spark, path)
     draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
     out = fs.create(draft, True)
     out.write(text.encode())
     out.close()
+    fs.delete(target, False)
     if not fs.rename(draft, target):
         raise OSError(f"cannot write {path}")
 

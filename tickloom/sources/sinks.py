@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..operators.candles import latest_write
+from .lake import child_names, delete_path, write_text
 
 TRIGGER = {"processingTime": "1 minute"}
+#: Folder of the marks of whole micro-batches.
+COMMITS = "_committed"
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, once: bool = False,
@@ -55,6 +58,36 @@ def foreach_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkp
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+def write_committed(df: DataFrame, batch_id: int, path: str) -> None:
+    """Idempotent write of one micro-batch that readers see only once it is whole."""
+    write_batch(df, batch_id, path)
+    commit_batch(df.sparkSession, batch_id, path)
+
+
+def commit_batch(spark: SparkSession, batch_id: int, path: str) -> None:
+    write_text(spark, f"{path}/{COMMITS}/{batch_id}", "")
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole micro-batches, ascending."""
+    return sorted(int(n) for n in child_names(spark, f"{path}/{COMMITS}") if n.isdigit())
+
+
+def read_committed(spark: SparkSession, path: str, schema: T.StructType, batches: Sequence[int] | None = None) -> DataFrame:
+    """Rows of the whole micro-batches (or of some of them); a batch being written, or half written before a crash, is not read."""
+    numbers = committed(spark, path) if batches is None else batches
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/batch={n}" for n in numbers])
+
+
+def forget_batches(spark: SparkSession, path: str, batches: Sequence[int]) -> None:
+    """Remove micro-batches that nothing reads any more: first their mark, then their rows."""
+    for n in batches:
+        delete_path(spark, f"{path}/{COMMITS}/{n}")
+        delete_path(spark, f"{path}/batch={n}")
+
+
 def drain(query) -> None:
     """Run until everything the sources have now is stored, in as many bounded micro-batches as that takes; then stop."""
     try:
