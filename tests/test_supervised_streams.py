@@ -114,7 +114,7 @@ def test_one_failure_stops_the_siblings_and_passes_on_its_cause(spark):
         if batch_id == 1:
             raise RuntimeError("sink is down")
     broken = lambda: sinks.foreach_batch(time_ordered(rows, "event_time", "test-bad"), fail, fresh_dir(spark, "test-bad-state"), once=True)
-    with pytest.raises(V.SupervisedFailure, match="query bad failed: .*sink is down") as caught:
+    with pytest.raises(V.SupervisedFailure, match="(?s)query bad failed: .*sink is down") as caught:
         V.run_supervised(spark, {"good": endless, "bad": broken})
     assert caught.value.name == "bad" and not started["good"].isActive and started["good"].exception() is None
     spark.streams.resetTerminated()
