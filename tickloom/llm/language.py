@@ -146,17 +146,17 @@ def fit(docs: DataFrame, allowed: Column, per_language: int = TRAIN_PER_LANGUAGE
             if not len(df):
                 continue
             pairs = [np.unique(subwords(t), return_counts=True) for t in df["text"]]
-            yield pd.DataFrame({"lang": df["lang"], "doc_id": df["doc_id"], "b": [p[0].astype(np.int32) for p in pairs],
-                                "c": [p[1].astype(np.float32) for p in pairs]})
+            yield pd.DataFrame({"lang": df["lang"], "doc_id": df["doc_id"], "b": [p[0].astype("<i4").tobytes() for p in pairs],
+                                "c": [p[1].astype("<f4").tobytes() for p in pairs]})
 
     small_batches(docs.sparkSession)
-    sample = chosen.mapInPandas(count, f"lang string, doc_id {dict(rows.dtypes)['doc_id']}, b array<int>, c array<float>") \
+    sample = chosen.mapInPandas(count, f"lang string, doc_id {dict(rows.dtypes)['doc_id']}, b binary, c binary") \
         .toPandas().sort_values("doc_id", kind="stable")
     labels = np.array([languages.index(x) for x in sample["lang"]], int)
     if not len(labels):
         return None
-    return train([np.asarray(c, np.float32) for c in sample["c"]], [np.asarray(b, np.int64) for b in sample["b"]],
-                 labels, languages)
+    # Counts arrive as bytes: as arrays of numbers each would be a Python object here.
+    return train([np.frombuffer(c, "<f4") for c in sample["c"]], [np.frombuffer(b, "<i4") for b in sample["b"]], labels, languages)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
