@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     maps = []
     while edges.take(1):
+        former = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(both.groupBy("a").agg(F.min("b").alias("b"))
                            .select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "contract")
@@ -26,10 +27,14 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(left.join(step.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
                             .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
                             .distinct(), "links")
+        discard(former)
     if not maps:
         return links.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     found = maps[-1]
     for step in reversed(maps[:-1]):
         later = found.select(F.col("node").alias("component"), F.col("component").alias("__c"))
         found = step.join(later, "component", "left").select("node", F.coalesce("__c", "component").alias("component"))
-    return materialize(found, "components")
+    done = materialize(found, "components")
+    for table in (*maps, edges):
+        discard(table)
+    return done

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, small_batches
+from .common import discard, materialize, small_batches
 from .graph import components
 
 _U = np.uint64
@@ -33,7 +33,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 #: Bytes hashed in one go; powers of the hash base are kept for so many.
 _CHUNK = 1 << 20
-#: Sets seen in a task that later copies are compared with.
+#: Names of sets seen in a task; the keys of a later copy are left out.
 SEEN = 500_000
 #: Spare share of the segments of large bands and, where keys are few and shared passages weigh more, of bands below the size;
 #: the band size from which one segment is indexed with its neighbourhood, and how wide that is.
@@ -147,35 +147,50 @@ class Bands:
         return keys, len(gone) + sch.wide
 
 
-def _index(rows: DataFrame, size: int, percent: int, id_type: str) -> DataFrame:
-    """Per document its set size, the first document of its task with the same set, and for that one its keys by scheme."""
+def _name(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _sizes(rows: DataFrame, size: int, id_type: str) -> DataFrame:
+    """Per document the size and the 128-bit name of its set; no name for the empty one."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            if len(df):
+                sets = [shingles(t, size) for t in df["text"]]
+                yield pd.DataFrame({"doc_id": df["doc_id"], "n_shingles": [len(s) for s in sets], "name": [_name(s) if len(s) else None for s in sets]})
+
+    return materialize(rows.mapInPandas(run, f"doc_id {id_type}, n_shingles long, name binary"), "set-sizes")
+
+
+def _entries(rows: DataFrame, size: int, percent: int, id_type: str) -> DataFrame:
+    """Index keys by document and scheme, one set of each name within a task. They are as large as the input, so they go straight on."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands, seen = Bands(percent), {}
+        bands, seen = Bands(percent), set()
         for df in frames:
             out = []
             if not len(df):
                 continue
             for d, text in zip(df["doc_id"], df["text"]):
                 s = shingles(text, size)
-                if not len(s):
-                    out.append((d, d, 0, []))
+                if not len(s) or (name := _name(s)) in seen:
                     continue
-                name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if len(seen) > SEEN:
                     seen.clear()
-                first = seen.setdefault(name, d)
+                seen.add(name)
+                b = bands.band(len(s))
                 found = []
-                if first == d:
-                    b = bands.band(len(s))
-                    for band in (b, b - 1) if b else (b,):
-                        keys, near = bands.keys(s, band)
-                        found.append((bands.scheme(band).spare, near, keys.view(np.int64)))
-                out.append((d, first, len(s), found))
-            yield pd.DataFrame(out, columns=["doc_id", "first", "n_shingles", "schemes"])
+                for band in (b, b - 1) if b else (b,):
+                    keys, near = bands.keys(s, band)
+                    found.append((bands.scheme(band).spare, near, keys.view(np.int64)))
+                out.append((d, len(s), found))
+            yield pd.DataFrame(out, columns=["doc_id", "size", "schemes"])
 
     small_batches(rows.sparkSession)
-    return materialize(rows.mapInPandas(run, f"doc_id {id_type}, first {id_type}, n_shingles long, "
-                                             "schemes array<struct<spare:int,near:int,keys:array<long>>>"), "shingle-index")
+    schemes = rows.mapInPandas(run, f"doc_id {id_type}, size int, schemes array<struct<spare:int,near:int,keys:array<long>>>")
+    return (schemes.select("doc_id", "size", F.posexplode("schemes").alias("scheme", "x"))
+            .select("doc_id", "size", "scheme", "x.spare", "x.near", F.posexplode("x.keys").alias("pos", "key"))
+            .select("key", "doc_id", "size", F.when(F.col("pos") < F.col("near"), -1).otherwise(F.col("spare") * 2 + F.col("scheme"))
+                    .cast("int").alias("skip")))
 
 
 def _shared_keys(entries: DataFrame) -> DataFrame:
@@ -270,12 +285,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     """
     id_type = dict(docs.dtypes)[doc_id]
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    index = _index(rows, size, percent, id_type)
-    entry = index.filter("n_shingles > 0").select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.posexplode("schemes").alias("scheme", "x")) \
-        .select("doc_id", "size", "scheme", "x.spare", "x.near", F.posexplode("x.keys").alias("pos", "key")) \
-        .select("key", "doc_id", "size", F.when(F.col("pos") < F.col("near"), -1).otherwise(F.col("spare") * 2 + F.col("scheme"))
-                .cast("int").alias("skip"))
-    shared = materialize(_shared_keys(entry), "shared-keys", narrow=True)
+    index = _sizes(rows, size, id_type)
+    shared = materialize(_shared_keys(_entries(rows, size, percent, id_type)), "shared-keys", narrow=True)
     costs = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("cost")), "key-costs")
     ranked = shared.filter("skip >= 0").join(costs, "key")
     costly = Window.partitionBy("doc_id", "skip").orderBy(F.desc("cost"), "key")
@@ -283,6 +294,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     buckets = materialize(paid.select("key", "doc_id", "size").unionByName(shared.filter("skip < 0").select("key", "doc_id", "size"))
                           .distinct(), "buckets")
 
+    discard(shared)
+    discard(costs)
     ids = buckets.select("doc_id").distinct()
     wanted = rows.join(materialize(ids, "candidates"), "doc_id")
 
@@ -298,7 +311,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     def ordered(near: DataFrame) -> DataFrame:
         return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
 
-    links = index.filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    # Equal sets are linked by their names over the whole table; only one of them in a task has keys.
+    named = index.filter("name IS NOT NULL")
+    firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"))
+    links = named.join(firsts, "name").filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     pivots = buckets.groupBy("key").agg(F.min_by(F.struct("doc_id", "size"), "doc_id").alias("p"))
     near = buckets.join(pivots, "key").filter((F.col("doc_id") != F.col("p.doc_id")) & alike("size", "p.size")) \
         .select(F.col("doc_id").alias("x"), F.col("p.doc_id").alias("y"))
@@ -321,6 +337,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     across = _large_buckets(left.filter(F.col("n") > PAIRED).select("pivot", "doc_id", "c").distinct(), sets, percent, id_type)
     links = links.unionByName(judged.filter("linked").select("a", "b")).unionByName(materialize(across, "across"))
     belongs = components(links)
+    for done in (buckets, sets, left):
+        discard(done)
     return index.select("doc_id", "n_shingles") \
         .join(belongs.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
