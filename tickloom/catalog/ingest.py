@@ -96,9 +96,7 @@ def _(spark, d):
     UNION ALL SELECT 'kline', symbol, event_time FROM k1h
     UNION ALL SELECT DISTINCT 'depth', symbol, event_time FROM levels"""))
 def _(spark, d):
-    routes = N.route_events(N.unwrap_envelopes(_combined(spark, d)), quote="")
-    parts = [df.select(F.lit(topic).alias("topic"), "symbol", "event_time") for topic, df in routes.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return N.routed(N.unwrap_envelopes(_combined(spark, d)), quote="").select("topic", "symbol", "event_time")
 
 
 @query("malformed_messages", "P8", f"SELECT event_id AS seq, {_GOOD.format(seq='event_id')} AS is_good FROM events")

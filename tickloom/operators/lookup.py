@@ -9,6 +9,7 @@ from ..schemas import DAY_MS, MAX_TRADES, TICK_BLOCK_MS
 from .blocks import trailing
 from .candles import newest_bar
 from .merge import dedup_price_volume, newest_n
+from .sizing import small_side
 
 BAR = ("open_time", "open", "high", "low", "close", "volume")
 
@@ -100,8 +101,11 @@ def refresh_watchlist(items: DataFrame, tickers: DataFrame) -> DataFrame:
 
 
 def with_metadata(pairs: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Metadata of the base asset, null when unknown."""
-    return pairs.withColumn("base", base_asset("symbol")).join(metadata, "base", "left")
+    """Metadata of the base asset, null when unknown.
+
+    Base assets are few and hot, so the pairs stay where they are while the metadata fit a broadcast.
+    """
+    return pairs.withColumn("base", base_asset("symbol")).join(small_side(metadata), "base", "left")
 
 
 def starred(items: DataFrame, stars: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -32,19 +33,30 @@ def _as_sent(shape) -> T.StructType:
     return nested(*shape)
 
 
-def _typed(rows: DataFrame, named: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+def _values(named: T.StructType, of: Callable[[str], Column]) -> tuple[list[Column], Column]:
+    """The typed fields of a message as sent, and whether one is there but not of its type."""
     wrong, columns = F.lit(False), []
     for f in named:
-        value = F.col(f.name).try_cast(f.dataType)
+        value = of(f.name).try_cast(f.dataType)
         if isinstance(f.dataType, T.StructType):
             for inner in f.dataType:
-                wrong = wrong | (F.col(f.name)[inner.name].isNotNull() & value[inner.name].isNull())
+                wrong = wrong | (of(f.name)[inner.name].isNotNull() & value[inner.name].isNull())
         else:
-            wrong = wrong | (F.col(f.name).isNotNull() & value.isNull())
+            wrong = wrong | (of(f.name).isNotNull() & value.isNull())
         columns.append(value.alias(f.name))
+    return columns, wrong
+
+
+def _typed(rows: DataFrame, named: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+    columns, wrong = _values(named, F.col)
     return rows.select(*keep, *columns, wrong.alias("_wrong"))
 
 
+def _once(**columns: Column) -> Column:
+    """Columns that are computed in a plan node of their own, however often they are used."""
+    return F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+
+
 def _ticker_columns() -> list[Column]:
     """An absent optional number is 0; one that is there but no number has been rejected before."""
     optional = RAW_TICKER[1].fields[2:]
@@ -119,34 +131,54 @@ def unwrap_envelopes(messages: DataFrame, column: str = "value") -> DataFrame:
     The payload is the ``data`` member when there is one, else the message. A missing symbol comes
     from the stream name ``sym@...``; depth symbols are upper-cased.
     """
-    envelope = messages.withColumn("_top", F.from_json(column, "map<string,string>"))
+    envelope = messages.select("*", _once(_top=F.from_json(column, "map<string,string>")))
     rows = envelope.select(
-        *messages.columns, F.col("_top")["stream"].alias("stream"),
+        *messages.columns, F.col("_top")["stream"].alias("_stream"),
         F.coalesce(F.col("_top")["data"], F.col(column)).alias("payload"))
-    body = F.from_json("payload", "map<string,string>")
-    rows = rows.withColumn("_body", body).filter(F.col("_body").isNotNull())
+    rows = rows.select("*", _once(_body=F.from_json("payload", "map<string,string>"))).filter(F.col("_body").isNotNull())
     event, own = F.col("_body")["e"], F.col("_body")["s"]
     is_depth = F.col("_body")["lastUpdateId"].isNotNull() | F.coalesce(event == "depthUpdate", F.lit(False))
-    from_stream = F.upper(F.split_part(F.coalesce("stream", F.lit("")), F.lit("@"), F.lit(1)))
+    from_stream = F.upper(F.split_part(F.coalesce("_stream", F.lit("")), F.lit("@"), F.lit(1)))
     return rows.select(
         *messages.columns, "payload",
         F.when(is_depth, F.lit("depth")).otherwise(event).alias("event_type"),
         F.when(is_depth, F.upper(F.coalesce(own, from_stream))).otherwise(own).alias("symbol"))
 
 
-def route_events(unwrapped: DataFrame, quote: str = QUOTE_ASSET) -> dict[str, DataFrame]:
-    """Canonical records per topic; every route filters the one parsed frame."""
-    wanted = unwrapped.filter(F.col("symbol").endswith(quote))
+def routed(unwrapped: DataFrame, quote: str = QUOTE_ASSET) -> DataFrame:
+    """All events in one frame: topic, symbol, event_time, and the record under the name of its topic (the others are null).
 
-    def of(event: str) -> DataFrame:
-        return wanted.filter(F.col("event_type") == event).select("symbol", F.col("payload").alias("value"))
+    Every payload is parsed once, with the shape of its own kind. Messages that are no record of their kind are left out.
+    """
+    topics = {"aggTrade": ("trade", RAW_TRADE), "kline": ("kline", RAW_KLINE), "depth": ("depth", RAW_DEPTH)}
+    names = F.create_map(*[F.lit(x) for event, (topic, _) in topics.items() for x in (event, topic)])
+    rows = unwrapped.filter(F.col("symbol").endswith(quote)).select(names[F.col("event_type")].alias("topic"), "symbol", "payload").filter("topic IS NOT NULL")
+    own = lambda topic: F.when((F.col("topic") == topic) & F.startswith(F.ltrim("payload"), F.lit("{")), F.col("payload"))
+    rows = rows.select("topic", "symbol", _once(**{
+        f"_{topic}": F.from_json(own(topic), shape[0]).cast(_as_sent(shape)) for topic, shape in topics.values()}))
+    trade, _ = _values(RAW_TRADE[1], lambda name: F.col("_trade")[name])
+    kline, _ = _values(RAW_KLINE[1], lambda name: F.col("_kline")[name])
+    depth, wrong = _values(RAW_DEPTH[1], lambda name: F.col("_depth")[name])
+    rows = rows.select("topic", "symbol", _once(trade=F.struct(*trade), kline=F.struct(*kline), depth=F.struct(*depth), _wrong=wrong))
+    body = [f"kline.body.{f.name}" for f in RAW_KLINE[1]["body"].dataType]
+    complete = lambda fields: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in fields))
+    good = (F.when(F.col("topic") == "trade", complete(f"trade.{f}" for f in RAW_TRADE[1].names))
+            .when(F.col("topic") == "kline", complete(["kline.event_time", "kline.symbol", *body])).otherwise(~F.col("_wrong")))
+    own_symbol = F.when(F.col("topic") == "trade", F.col("trade.symbol")).when(F.col("topic") == "kline", F.col("kline.symbol")).otherwise(F.col("symbol"))
+    own_time = F.when(F.col("topic") == "trade", F.col("trade.event_time")).when(F.col("topic") == "kline", F.col("kline.event_time")) \
+        .otherwise(F.coalesce("depth.event_time", F.unix_millis(F.current_timestamp())))
+    return rows.filter(good).select("topic", own_symbol.alias("symbol"), own_time.alias("event_time"),
+                                    *(F.when(F.col("topic") == t, F.col(t)).alias(t) for t in ("trade", "kline", "depth")))
 
+
+def route_events(unwrapped: DataFrame, quote: str = QUOTE_ASSET) -> dict[str, DataFrame]:
+    """Canonical records per topic, each a selection of ``routed``; sinks that take all topics should share that frame."""
+    rows = routed(unwrapped, quote)
+    of = lambda topic: rows.filter(F.col("topic") == topic)
     # The symbol of a depth message is the unwrapped one: snapshots do not carry it.
-    depth = of("depth").withColumnRenamed("symbol", "_symbol")
-    depth = _parsed(depth, RAW_DEPTH, "value", keep=["_symbol"]).filter("NOT _wrong") \
-        .withColumn("symbol", F.col("_symbol"))
-    return {"trade": normalize_trades(of("aggTrade").select("value")),
-            "kline": normalize_klines(of("kline").select("value")),
+    depth = of("depth").select("depth.*", F.col("symbol").alias("_symbol")).withColumn("symbol", F.col("_symbol"))
+    return {"trade": of("trade").select("trade.*"),
+            "kline": of("kline").select("kline.event_time", "kline.symbol", "kline.body.*").select(*KLINE.fieldNames()),
             "depth": depth.select(*_depth_columns())}
 
 
