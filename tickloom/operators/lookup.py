@@ -33,8 +33,8 @@ def enrich_with_live(candles: DataFrame, tickers: DataFrame, step_ms: int, now_m
     """Bring each symbol's newest bar up to its latest ticker.
 
     Same bucket, newer tick and window still open at ``now_ms``: close, high and low follow the
-    price. A tick of a later bucket (or of a symbol without bars) adds a flat bar. Only newest bars
-    meet the tickers in a join; older bars pass through untouched.
+    price. A tick of a later bucket (or of a symbol without bars) adds a flat bar. What the tickers move is one
+    row a symbol, so the bars stay where they are while those fit a broadcast.
     """
     newest = candles.groupBy("symbol").agg(F.max("open_time").alias("_newest"))
     live = tickers.select("symbol", F.col("price").alias("_price"), F.col("event_time").alias("_at"))
@@ -48,7 +48,7 @@ def enrich_with_live(candles: DataFrame, tickers: DataFrame, step_ms: int, now_m
         (F.col("_newest") == F.col("_bucket")) & (F.col("_at") > F.col("_newest"))
         & (F.lit(now_ms) < F.col("_bucket") + step_ms)).select(
         "symbol", F.col("_bucket").alias("open_time"), "_price")
-    joined = candles.select("symbol", *BAR).join(touched, ["symbol", "open_time"], "left")
+    joined = candles.select("symbol", *BAR).join(small_side(touched), ["symbol", "open_time"], "left")
     price = F.col("_price")
     moved = joined.select(
         "symbol", "open_time", "open",
