@@ -267,6 +267,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(df, F.lit(False)).count() == 0
 
 
+def test_neighbours_of_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [((1 << 60) + i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    v = np.array([x for _, x in rows])
+    repeats = [rows[0], rows[0], rows[7], rows[7], (rows[9][0], [99.0] * 4), (None, rows[0][1]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows + repeats, "vec_id long, embedding array<double>").repartition(3)
+    out = neighbours.nearest(df, F.col("vec_id").isin(rows[0][0], rows[7][0])).collect()
+    for q in (0, 7):
+        far = np.sqrt(((v - v[q]) ** 2).sum(1))
+        want = [rows[i][0] for i in np.argsort(far) if i != q][:10]
+        got = sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == rows[q][0])
+        assert got == list(enumerate(want, 1))
+    assert len(out) == 20
+
+
 def test_suffix(spark, docs):
     out = {r["doc_id"]: r for r in suffix.remove_repeats(clashing(docs)).collect() if r["doc_id"] != 8}
     assert out[1]["n_removed"] == out[1]["n_bytes"] and out[1]["kept"] == b"" and out[1]["n_spans"] == 1

@@ -76,12 +76,14 @@ class Block:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` nearest found vectors of each query row: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
-    Every row but the query's own is a candidate (equal ids count as its own). Vectors that are null, zero, or hold null or non-finite components
-    take no part, nor do vectors of another length than the query. Ties go to the smaller id.
+    Every row but the query's own is a candidate. Vectors that are null, zero, or hold null or non-finite components
+    take no part, nor do vectors of another length than the query, nor rows without an id. An id that repeats counts once,
+    with the smallest of its vectors, and is a query if one of its rows is. Ties go to the smaller id.
     """
-    rows = vectors.filter(usable(F.col(vector))).select(
+    rows = vectors.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     id_type = dict(rows.dtypes)["vec_id"]
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
     blocks, lots = max(1, -(-counted["n"] // BLOCK)), max(1, -(-counted["q"] // QUERIES))
