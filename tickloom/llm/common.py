@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -82,8 +81,3 @@ def words_of(text: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
-
-
-
-def pow2_at_least(x: float) -> int:
-    return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
