@@ -204,6 +204,38 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def _sequences(spark, rows, parts):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id")
+    out = packing.pack(df, queries.tokenizer_path()).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(d for d, _ in rows)
+    loads = {}
+    for r in out:
+        loads[r["sequence_id"]] = loads.get(r["sequence_id"], 0) + r["length"]
+    assert max(loads.values()) <= packing.LENGTH
+    return len(loads)
+
+
+def test_packing_of_splits_that_hold_one_length_each(spark, monkeypatch):
+    """60 documents of 1,101 tokens and 60 of 801, each kind in splits of its own, pair up; so they do in several groups and rounds."""
+    rows = [(k, "a " * (1100 if k < 60 else 800)) for k in range(120)]
+    assert _sequences(spark, rows, 8) == 60
+    monkeypatch.setattr(packing, "GROUP_PIECES", 12)
+    monkeypatch.setattr(packing, "MERGE_BINS", 8)
+    assert _sequences(spark, rows, 8) <= 66
+
+
+def test_packing_takes_every_small_bin_on(spark, monkeypatch):
+    """One short document among many of more than half a sequence finds a place, however many groups there are; large ids stay exact."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 5)
+    monkeypatch.setattr(packing, "MERGE_BINS", 5)
+    big = 2 ** 60
+    rows = [(big + k, "a " * 1500) for k in range(40)] + [(big + 100 + k, "a " * 400) for k in range(3)]
+    assert _sequences(spark, rows, 4) == 40
+    assert _sequences(spark, [(big + k, "a " * 1500) for k in range(40)], 4) == 40
+    ids = spark.createDataFrame([(big + 1, "a"), (None, "b"), (big + 3, None)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack(ids, queries.tokenizer_path()).collect()} == {big + 1, None, big + 3}
+
+
 def test_word_by_word_tokens_equal_whole_texts():
     import numpy as np
     tokens = packing.WordTokens(queries.tokenizer_path())

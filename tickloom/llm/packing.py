@@ -1,8 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of fixed length, by merging residual bins up a tree.
 
-Each task tokenises its documents, cuts the longer ones, and packs what is left best-fit in decreasing order. Nearly full bins are final;
-the underfull ones become items of the next round, where fewer tasks pack the bins of several. A bin carries its
-members, so sequence and offset of a piece need no join.
+Documents are tokenised and cut where they lie; the records of the pieces (lengths and checksums, no texts) are dealt evenly over groups of
+bounded size, so that every group has the table's mix of lengths whatever the input's order. A group packs its pieces best-fit in
+decreasing order. Nearly full bins are final; underfull ones become items of the next round, where fewer groups pack the bins of several,
+until one group is left. A bin carries its members, so sequence and offset of a piece need no join.
+
+After best-fit a group has at most one bin of half load or less, as two of them would share one. Only such small bins can still be saved, each by
+going into another bin, so with S of them no more than the S emptiest others can receive anything: the rest is final without loss.
 """
 
 from __future__ import annotations
@@ -14,16 +18,18 @@ from collections.abc import Iterator
 from struct import pack as pack_ids
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize, small_batches
 
 LENGTH = 2048
 #: Loads from here on are not carried to another round.
 NEARLY_FULL = 2040
-#: Bins of one task of a merge round, about; underfull bins one task passes on at most (the emptiest; the rest stay as they are).
-MERGE_BINS, CARRY = 20_000, 2_000
+#: Pieces of one group of the first round, and bins of one group of a merge round, about. Neither limits what is packed.
+GROUP_PIECES, MERGE_BINS = 100_000, 20_000
+#: Bins of one load are taken to the next round by whole parts of this many, by hash.
+PARTS = 1024
 #: Texts of these characters only take the word-by-word way: plain ASCII and accented Latin letters, which every step of the
 #: tokeniser treats alike.
 _ASCII = re.compile("[\t\n\r\x20-\x7e]*")
@@ -31,6 +37,7 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-įı-ňŊ-ž]*")
 _LETTERS = "a-zß-öø-įı-ňŊ-ž"
 #: The tokeniser's own word pattern, for plain texts in lower case.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+_FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _MEMBERS = "array<struct<doc_id:{id},piece:int,start:long,length:long,ids_crc32:long>>"
 
 
@@ -94,30 +101,46 @@ def best_fit(loads: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _emit(loads: list[int], members: list[list], base: int, last: bool) -> pd.DataFrame:
-    """Pack and return bins as rows (bin, load, final, members)."""
-    loads_a = np.array(loads, np.int64)
-    number = best_fit(loads_a, LENGTH)
-    n = int(number.max()) + 1
-    sums, inside = np.bincount(number, loads_a, n).astype(np.int64), [[] for _ in range(n)]
-    for b, m in zip(number, members):
-        inside[b].extend(m)
-    final = (sums >= NEARLY_FULL) | last
-    if (~final).sum() > CARRY:
-        fullest = np.argsort(np.where(final, -1, sums), kind="stable")[::-1]
-        final[fullest[:int((~final).sum()) - CARRY]] = True
-    return pd.DataFrame({"bin": base + np.arange(n), "load": sums, "final": final, "members": inside})
-
-
-def _merger(level: int, last: bool):
-    def merge(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("bin")
-        members = [[tuple(m[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")) for m in ms]
-                   for ms in df["members"]]
-        return _emit(df["load"].tolist(), members, (level << 56) + (int(key[0]) << 32), last)
+def _packer(level: int):
+    """Pack the bins of one group (a piece is a bin of its own at first); the members of a bin stay together."""
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin")
+        loads = table["load"].to_numpy().astype(np.int64)
+        number = best_fit(loads, LENGTH)
+        n = int(number.max()) + 1
+        members = table["members"].combine_chunks().take(pa.array(np.argsort(number, kind="stable")))
+        sizes = np.bincount(number, table["members"].combine_chunks().value_lengths().to_numpy(), n)
+        member = pa.struct([(f.name, f.type) for f in table["members"].type.value_type])
+        inside = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), members.flatten().cast(member))
+        return pa.table({"bin": (level << 56) + (int(key[0].as_py()) << 32) + np.arange(n),
+                         "load": np.bincount(number, loads, n).astype(np.int64), "members": inside.cast(pa.list_(pa.field("element", member)))})
     return merge
 
 
+def _still_open(bins: DataFrame) -> Column | None:
+    """Which bins the next round takes: those of half load or less and as many of the emptiest others, None where nothing can be saved.
+
+    The others are found from the count of bins by load, and by hash part within the last load: at most ``LENGTH`` and ``PARTS`` rows.
+    """
+    counts = dict(bins.filter(F.col("load") < NEARLY_FULL).groupBy("load").agg(F.count(F.lit(1)).alias("n")).collect())
+    small = sum(n for load, n in counts.items() if 2 * load <= LENGTH)
+    if not small or small == 1 and LENGTH - min(counts) < min((load for load in counts if 2 * load > LENGTH), default=LENGTH + 1):
+        return None
+    part = F.pmod(F.xxhash64("bin"), F.lit(PARTS))
+    wanted, taken = small, 2 * F.col("load") <= LENGTH
+    for load in sorted(load for load in counts if 2 * load > LENGTH):
+        if counts[load] > wanted:
+            by_part = dict(bins.filter(F.col("load") == load).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+            last = -1
+            while wanted > 0:
+                last += 1
+                wanted -= by_part.get(last, 0)
+            return taken | ((F.col("load") == load) & (part <= last))
+        wanted -= counts[load]
+        taken = taken | (F.col("load") == load)
+    return taken
+
+
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -127,46 +150,55 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"bin long, load long, final boolean, members {_MEMBERS.format(id=dict(rows.dtypes)['doc_id'])}"
+    id_type = dict(rows.dtypes)["doc_id"]
+    schema = f"bin long, load long, members {_MEMBERS.format(id=id_type)}"
 
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        base = TaskContext.get().partitionId() << 32
-        tokens, loads, members, full = WordTokens(tokenizer), [], [], 0
-        for df in frames:
-            whole = []
-            for d, t in zip(df["doc_id"], df["text"]):
+        tokens, slot = WordTokens(tokenizer), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            found = []
+            for at, t in enumerate(batch.column(1).to_pylist()):
                 ids = tokens.of(t if t is not None else "") + b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(ids), 4 * LENGTH)):
-                    cut = ids[start:start + 4 * LENGTH]
-                    m = (d, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
-                    if m[3] == LENGTH:
-                        whole.append([m])
-                    else:
-                        loads.append(m[3])
-                        members.append([m])
-            if whole:
-                yield pd.DataFrame({"bin": base + full + np.arange(len(whole)), "load": LENGTH, "final": True, "members": whole})
-            full += len(whole)
-        if loads:
-            yield _emit(loads, members, base + full, False)
-
-    bins = materialize(rows.mapInPandas(local, schema), "pack-0")
-    done, level = [bins.filter("final")], 1
-    while True:
-        open_bins = bins.filter(~F.col("final"))
-        n = open_bins.count()
-        if not n:
+                    part = ids[start:start + 4 * LENGTH]
+                    found.append((at, slot, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                    slot += 1
+            at, slots, *fields = np.array(found, np.int64).reshape(-1, 6).T
+            fields[0] = fields[0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(0).take(pa.array(at)), *map(pa.array, fields)],
+                                             names=["slot", *_FIELDS])
+
+    pieces = materialize(rows.mapInArrow(cut, f"slot long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long"),
+                         "pack-pieces")
+    whole = pieces.filter(F.col("length") == LENGTH)
+    rest = pieces.filter(F.col("length") < LENGTH).select(
+        F.col("slot").alias("bin"), F.col("length").alias("load"), F.array(F.struct(*_FIELDS)).alias("members"))
+    placed = [whole.select(*_FIELDS, F.col("slot").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+
+    def packed_bins(df: DataFrame, per_group: int, level: int) -> tuple[DataFrame, int]:
+        groups = max(1, -(-df.count() // per_group))
+        dealt = df.groupBy(F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).alias("g"))
+        return materialize(dealt.applyInArrow(_packer(level), schema), f"pack-{level}"), groups
+
+    bins, groups = packed_bins(rest, GROUP_PIECES, 1)
+    level = 1
+    while groups > 1:
+        goes_on = _still_open(bins)
+        if goes_on is None:
             break
-        groups = -(-n // MERGE_BINS)
-
-        bins = materialize(open_bins.groupBy(F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("g"))
-                           .applyInPandas(_merger(level, groups == 1), schema), f"pack-{level}")
-        done.append(bins.filter("final"))
+        placed.append(_places(bins.filter(~goes_on)))
         level += 1
-    packed = done[0]
-    for more in done[1:]:
+        bins, groups = packed_bins(bins.filter(goes_on), MERGE_BINS, level)
+    placed.append(_places(bins))
+    packed = placed[0]
+    for more in placed[1:]:
         packed = packed.unionByName(more)
-    each = packed.select(F.col("bin").alias("sequence_id"), "members", F.posexplode("members").alias("__k", "m"))
+    return packed
+
+
+def _places(bins: DataFrame) -> DataFrame:
+    """The members of bins with their sequence and offset."""
+    each = bins.select(F.col("bin").alias("sequence_id"), "members", F.posexplode("members").alias("__k", "m"))
     before = F.aggregate(F.slice("members", 1, F.col("__k")), F.lit(0).cast("long"), lambda a, m: a + m["length"])
     return each.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", before.alias("offset"))
