@@ -272,9 +272,47 @@ def test_two_lines_of_many_words(spark):
     rows = [(1, f"{a}\n{b}\n{c}\n{few}"), (2, f"x\n{a}\n\n{b}\ny"), (3, f"{b}\n{c}\nz"), (4, f"{c}\n{few}"), (5, f"{b}\n{a}"), (6, f"{few}\n{b}"),
             (7, f"{few}\n{b}\n{a}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert dict(got(lines.dedup_lines(df, run_words=50), "doc_id", "text")) == {
+    assert dict(got(lines.dedup_lines(df), "doc_id", "text")) == {
         1: rows[0][1], 2: "x\ny", 3: "z", 4: "", 5: rows[4][1], 6: rows[5][1], 7: few}
-    assert dict(got(lines.dedup_lines(df), "doc_id", "n_removed")) == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+    assert dict(got(lines.dedup_lines(df, run_words=1000), "doc_id", "n_removed")) == {d: 0 for d in range(1, 8)}
+
+
+def test_fingerprints_of_equal_windows_are_equal():
+    rng = np.random.default_rng(5)
+    run = [prose(rng, int(n)) for n in rng.integers(1, 60, 12)]
+    texts = ["\n".join(run), "\n".join(["other", *run[3:9], "end"]), "\n\n".join(run[:5])]
+    found = [{(m1, m2): fp for fp, _, m1, m2, _, _ in lines.windows(t)} for t in texts]
+    for a in found:
+        for b in found:
+            assert all(a[k] == b[k] for k in set(a) & set(b))
+    assert len(set(found[0]) & set(found[1])) >= 4 and len(set(found[0]) & set(found[2])) >= 3
+    selected = {at for _, at, *_ in lines.windows(texts[0])}
+    assert all(selected & set(range(k, k + lines.WINDOW)) for k in range(len(run) - lines.WINDOW + 1))
+
+
+@pytest.mark.parametrize("lot", [1, 40, 10 ** 6])
+def test_lines_against_brute_force_for_any_lot(spark, monkeypatch, lot):
+    """Texts of few kinds of lines, so that frequent lines, nested, overlapping and two-line runs all occur."""
+    rng = np.random.default_rng(lot)
+    kinds = [prose(rng, int(n)) for n in (1, 3, 20, 24, 30, 55)] + ["", " "]
+    rows = [(d, "\n".join(kinds[k] if k < len(kinds) else f"only {rng.integers(10 ** 9)}"
+                          for k in rng.integers(0, len(kinds) + 3, int(rng.integers(0, 9))))) for d in range(150)]
+    monkeypatch.setattr(lines, "FLUSH", lot)
+    seen, want = set(), {}
+    for d, t in rows:
+        ls, gone = t.split("\n"), set()
+        body = [i for i, x in enumerate(ls) if x.split()]
+        for a in range(len(body)):
+            for b in range(a, len(body)):
+                run = [ls[i] for i in body[a:b + 1]]
+                if len(run) >= 3 or sum(len(x.split()) for x in run) >= 50:
+                    if tuple(run) in seen:
+                        gone |= set(range(body[a], body[b] + 1))
+                    seen.add(tuple(run))
+        want[d] = (len(gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in out.collect()} == want
+    assert sum(n for n, _ in want.values()) > 50
 
 
 def test_a_frequent_line_spreads(spark):

@@ -198,7 +198,7 @@ def test_pipeline_by_brute_force(spark):
         gone, new = set(), set()
         for k, i in enumerate(body):
             runs = [body[k:k + 3]] if k + 3 <= len(body) else []
-            runs += [[i]] if len(WORD.findall(lines[i])) >= 50 else []
+            runs += [body[k:k + n] for n in (1, 2) if k + n <= len(body) and sum(len(WORD.findall(lines[j])) for j in body[k:k + n]) >= 50]
             for run in runs:
                 key = tuple(lines[j] for j in run)
                 if key in seen or key in new:

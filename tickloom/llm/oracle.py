@@ -7,9 +7,12 @@ _WORD = r"[^\x20\x09-\x0D]"
 LINE_DEDUP = rf"""WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
     l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line FROM split, unnest(range(len(ls))) AS u(i)),
     b AS (SELECT * FROM l WHERE regexp_matches(line, '{_WORD}')),
-    runs AS (SELECT doc_id, pos, final, key FROM (SELECT doc_id, pos, lead(pos, 2) OVER w AS final,
-        [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS key FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE final IS NOT NULL
-      UNION ALL SELECT doc_id, pos, pos, [line] FROM b WHERE len(regexp_extract_all(line, '{_WORD}+')) >= 50),
+    h AS (SELECT *, len(regexp_extract_all(line, '{_WORD}+')) AS n FROM b),
+    c AS (SELECT doc_id, pos, line, n, lead(pos, 1) OVER w AS pos1, lead(line, 1) OVER w AS line1, n + lead(n, 1) OVER w AS n1,
+        lead(pos, 2) OVER w AS pos2, lead(line, 2) OVER w AS line2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    runs AS (SELECT doc_id, pos, pos2 AS final, [line, line1, line2] AS key FROM c WHERE pos2 IS NOT NULL
+      UNION ALL SELECT doc_id, pos, pos1, [line, line1] FROM c WHERE n1 >= 50
+      UNION ALL SELECT doc_id, pos, pos, [line] FROM c WHERE n >= 50),
     later AS (SELECT doc_id, pos, final FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
     marked AS (SELECT l.*, EXISTS (SELECT 1 FROM later r WHERE r.doc_id = l.doc_id AND l.pos BETWEEN r.pos AND r.final) AS gone FROM l),
     counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
