@@ -105,10 +105,12 @@ class UrlModel:
 
     def score(self, df: DataFrame, url: str = "url") -> DataFrame:
         """Add ``p_block`` (0 to 1) to each row."""
-        rows = _with_suffix(with_features(df, url), self.suffixes, self.prior)
+        # the table's own columns travel in a struct, so that none of them can clash with a helper column
+        held = df.select(F.col(url).alias("url"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+        rows = _with_suffix(with_features(held), self.suffixes, self.prior)
         scored = self.trees.transform(_assembler().transform(rows))
-        return scored.withColumn("p_block", vector_to_array("__prob")[1]) \
-            .drop(*FEATURES, "__suffix", "__x", "__raw", "__prob", "__pred")
+        own = [F.col("__row").getField(c).alias(c) for c in df.columns if c.lower() != "p_block"]
+        return scored.select(*own, vector_to_array("__prob")[1].alias("p_block"))
 
 
 def _assembler() -> VectorAssembler:
@@ -166,11 +168,10 @@ def judge(urls: DataFrame, rules: Sequence[UrlRule], model: UrlModel | None, url
     A rule decides where one fits; else the model blocks from ``threshold`` on; without a model everything else is
     allowed. Null urls have empty host and path and are judged like an empty url. Columns of these names are replaced.
     """
-    df = urls.drop("host", "path", "rule", "p_block", "verdict") \
-        .withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    df = df.withColumn("__rule", matched_rule(F.col("host"), F.col("path"), rules))
+    own = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "p_block", "verdict")]
+    df = urls.select(*[F.col(f"`{c}`") for c in own])
     df = model.score(df, url) if model else df.withColumn("p_block", F.lit(0.0))
-    return df.withColumns({
-        "rule": F.col("__rule.rule"),
-        "verdict": F.coalesce(F.col("__rule.verdict"), F.when(F.col("p_block") >= threshold, "block").otherwise("allow")),
-    }).drop("__rule")
+    host, path = host_of(F.col(url)), path_of(F.col(url))
+    rule = matched_rule(host, path, rules)
+    return df.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), "p_block",
+                     F.coalesce(rule["verdict"], F.when(F.col("p_block") >= threshold, "block").otherwise("allow")).alias("verdict"))
