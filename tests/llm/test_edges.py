@@ -61,6 +61,13 @@ def test_url_rules_and_model(spark):
     assert [out[i]["rule"] for i in (1, 2, 3, 4, 5, 6, 8, 9)] == ["example.org/es/", "example.org/en/1", None, None, None, None, "com/de/", "com/fr/"]
     assert [out[i]["verdict"] for i in (1, 2, 8, 9)] == ["block", "block", "block", "allow"]
     assert (out[5]["host"], out[6]["host"], out[6]["path"], out[9]["host"], out[2]["path"]) == ("", "", "", "a.b.com", "/en/12")
+    model = urls.fit(urls.weak_labels(df))
+    names = ["f_suffix_rate", "f_suffix_seen", "f_length", "__suffix", "__u", "__x", "__prob", "__row", "P_Block", "label"]
+    plain = {(r["page_id"], r["verdict"], r["p_block"]) for r in urls.judge(df.select("page_id", "url"), [], model).collect()}
+    odd = urls.judge(df.select("page_id", "url").withColumns({c: F.lit("x") for c in names}), [], model)
+    assert odd.columns == ["page_id", "url", *[c for c in names if c != "P_Block"], "host", "path", "rule", "p_block", "verdict"]
+    assert {(r["page_id"], r["verdict"], r["p_block"]) for r in odd.collect()} == plain
+    assert odd.filter(" or ".join(f"{c} <> 'x'" for c in names if c != "P_Block")).count() == 0
     assert urls.fit(urls.weak_labels(df)) is not None and urls.fit(urls.weak_labels(df.limit(0))) is None
     assert urls.judge(df.limit(0), queries.URL_RULES, None).count() == 0
     many = spark.createDataFrame([(i, f"http://{'best-casino' if i % 3 == 0 else 'news'}{i}.example.net/en/{i}") for i in range(900)], "page_id long, url string")
@@ -124,6 +131,24 @@ def test_wrappers_with_furniture_words_keep_the_article():
     assert pages.main_texts([footer.replace("{i}", "1")])[0] == ["Title 1\nLong story 1 about many things"]
 
 
+def test_names_that_only_hold_a_furniture_word_stay():
+    """A class is furniture as a whole name, with words of place only, or as a block of links; not for a word in it."""
+    def page(i):
+        return f"""<body><article><h1>Title {i}</h1><div class='social-history'><p>History of society {i}, at length</p></div>
+            <section id="related-work"><p>Others have written {i} before us</p></section><div class="search-results"><p>We found {i} of them</p></div>
+            <div class="related-stories"><a href=a>Story {i + 1}</a> <a href=b>Story {i + 2}</a></div><div class="related-links">See {i}</div>
+            <div class="ad-slot-3">Buy {i}</div><div class="article__share-buttons">Share {i}</div><p class="alert">Beware {i}</p></article></body>"""
+    found, _ = pages.main_texts([page(i) for i in range(5)])
+    assert found == [f"Title {i}\nHistory of society {i}, at length\nOthers have written {i} before us\nWe found {i} of them" for i in range(5)]
+
+
+def test_a_very_long_page():
+    many = "".join(f"<p>Paragraph {k} of the long page</p>" for k in range(20_000))
+    found, _ = pages.main_texts([f"<body><div class=menu>Menu</div><article>{many}</article></body>"] + [
+        f"<body><div class=menu>Menu</div><article><p>Short {i}</p></article></body>" for i in range(4)])
+    assert found[0].count("\n") == 19_999 and found[1:] == [f"Short {i}" for i in range(4)]
+
+
 def test_all_marked_articles_of_a_page_count():
     a, b = "<p>First part {i} of a story</p>", "<p>Part two {i}</p>"
     both = ["First part {i} of a story", "Part two {i}"]

@@ -54,6 +54,10 @@ FURNITURE = set("""ad ads adv advert adverts advertisement advertising adsense b
     notice notices notification notifications alert popup modal overlay newsletter subscribe subscription share sharing social related recommended
     recommendations comment comments disqus respond reply replies login signin signup register search pagination pager copyright
     complementary contentinfo skip hidden""".split())
+#: Words of place, form and count, which say nothing of what an element holds: a name made of them and furniture words is furniture's.
+ARRANGEMENT = set("""area article articles bar block bottom box button buttons container content count desktop div entry fixed form global group icon
+    icons inline inner item items js left link links list main mobile outer page panel post posts primary reader right secondary section site slot
+    sticky stories story title top unit user wrap wrapper""".split())
 ARTICLE_WORDS = set("article articlebody post entry story content maincontent main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -63,20 +67,26 @@ SCOPE = set("ul ol table article section div body html main td th dl blockquote
 
 
 class Node:
-    __slots__ = ("tag", "words", "hidden", "parts", "children", "own", "constant", "wraps", "shape")
+    __slots__ = ("tag", "words", "hidden", "parts", "children", "own", "constant", "wraps", "shape", "named", "doubtful")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.words, self.hidden = tag, frozenset(), False
         self.parts: list = []          # texts and child nodes in order
         self.children: list[Node] = []
         self.own = self.constant = None
+        self.named = self.doubtful = False  # a whole name says furniture; only a part of one does
         self.wraps = False             # holds the bulk of the page's content, whatever its class says
         if attrs.strip(" /"):
             marks = []
             for name, value in _ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id", "role", "itemprop"):
-                    marks += re.split(r"[^a-z0-9]+", value)
+                    for whole in value.split():
+                        parts = [m for m in re.split(r"[^a-z0-9]+", whole) if m]
+                        marks += parts
+                        if not FURNITURE.isdisjoint(parts):
+                            self.doubtful = True
+                            self.named |= all(m in FURNITURE or m in ARRANGEMENT or m.isdigit() for m in parts)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" \
                         or name == "style" and re.search(r"display\s*:\s*none", value):
                     self.hidden = True
@@ -303,7 +313,24 @@ def _walk(node: Node) -> Iterator[Node]:
 def _furniture(node: Node) -> bool:
     if node.tag in ("html", "body", "article", "main") or node.wraps:
         return False
-    return node.tag in DROPPED or node.hidden or bool(node.words & FURNITURE)
+    if node.tag in DROPPED or node.hidden or node.named:
+        return True
+    if node.doubtful:
+        node.doubtful, node.named = False, _mostly_links(node)
+    return node.named
+
+
+def _mostly_links(node: Node) -> bool:
+    """Is more than half of the element's text in links, as in lists of other pages?"""
+    total = linked = 0
+    stack = [(node, False)]
+    while stack:
+        n, inside = stack.pop()
+        inside |= n.tag == "a"
+        size = sum(len(" ".join(x.split())) for x in n.parts if isinstance(x, str))
+        total, linked = total + size, linked + size * inside
+        stack += [(c, inside) for c in n.children if c.tag not in RAW]
+    return 2 * linked > total
 
 
 def _level(node: Node) -> int | None:
@@ -322,8 +349,8 @@ def _spare_wrappers(root: Node) -> None:
     is itself marked as an article by class then holds it with more than half, any other with more than ``BULK``.
     """
     nodes = list(_walk(root))
-    doubtful = [n for n in nodes if n.children and not n.hidden and (n.tag == "form" or n.tag not in DROPPED) and _furniture(n)]
-    if not doubtful:
+    suspects = [n for n in nodes if n.children and not n.hidden and (n.tag == "form" or n.tag not in DROPPED) and _furniture(n)]
+    if not suspects:
         return
     for varying in (True, False):
         every: dict[int, int] = {}
@@ -343,7 +370,7 @@ def _spare_wrappers(root: Node) -> None:
         if every[id(root)]:
             break
     held = strong if strong[id(root)] else every
-    for n in doubtful:
+    for n in suspects:
         least = 0.5 if held is every and _level(n) is not None else BULK
         n.wraps = held[id(n)] > least * held[id(root)]
 
@@ -383,7 +410,7 @@ def _article(root: Node) -> tuple[list[Node], bool]:
         for level, nodes in found.items():
             nodes = [(n, length(n)) for n in nodes]
             nodes = [(n, k) for n, k in nodes if k]
-            plain = [(n, k) for n, k in nodes if n.wraps or not n.words & FURNITURE] or nodes
+            plain = [(n, k) for n, k in nodes if n.wraps or not n.named] or nodes
             held[level], size[level] = [n for n, _ in plain], sum(k for _, k in plain)
         if any(size.values()):
             return held[min(x for x in held if size[x] >= SHARE * max(size.values()))], True
