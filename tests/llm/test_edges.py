@@ -347,6 +347,25 @@ def test_a_frequent_line_spreads(spark):
     assert len(dealt) == 1 and "m1#" in dealt[0] and "m2#" in dealt[0] and "fp#" not in dealt[0]
 
 
+@pytest.mark.parametrize("size", [300, 2000, 8000])
+@pytest.mark.parametrize("spread", [None, 0.3])
+def test_neighbours_recall_by_collisions(size, spread):
+    """At every size, without and with clusters; with clusters most of the block is never verified."""
+    rng = np.random.default_rng(size)
+    v = rng.normal(size=(size, 64)) if spread is None else rng.normal(size=(size // 50, 64))[rng.integers(0, size // 50, size)] + spread * rng.normal(size=(size, 64))
+    block, ids, hit = neighbours.Block(np.arange(size), v), np.arange(size), 0
+    for q in range(0, size, size // 30):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        found = block.search(v[q], q, 10)
+        assert len(found) == 10 and found == sorted(found) and all(np.isclose(s, d[i], rtol=1e-12) for s, i in found)
+        hit += len({i for _, i in found} & set(np.lexsort((ids, d))[:10]))
+    queries_ = len(range(0, size, size // 30))
+    assert hit >= 0.95 * 10 * queries_
+    if spread is not None and size >= 2000:
+        assert block.verified < 0.2 * size * queries_
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
