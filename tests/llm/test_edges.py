@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tickloom.llm import graph, jaccard, language, lines, mixing, neighbours, packing, pages, quality, queries, suffix, urls
 
+from tickloom.llm.common import materialize, store
+
 from .conftest import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -443,6 +447,31 @@ def test_jaccard_near_copies_by_all_pairs(spark, monkeypatch, paired):
     assert dict(got(jaccard.jaccard_components(df, 4, 85), "doc_id", "component_id")) == want
 
 
+def test_buckets_of_the_same_members_are_kept_once(spark):
+    df = spark.createDataFrame([(key, d, 10 * d) for key, members in enumerate(((1, 2), (1, 2), (1, 2, 3), (4,), (5, 5), (2, 3, 1), (6, 7))) for d in members],
+                               "key long, doc_id long, size int")
+    found = {}
+    for r in jaccard._distinct_buckets(df).collect():
+        found.setdefault(r["key"], []).append((r["doc_id"], r["size"]))
+    assert sorted(sorted(m) for m in found.values()) == [[(1, 10), (2, 20)], [(1, 10), (2, 20), (3, 30)], [(6, 60), (7, 70)]]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """They are not read again, and on disk they would pile up until the driver collects its garbage."""
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if f.rsplit("/", 1)[-1].startswith("shuffle_")}
+
+    before = shuffled()
+    for write in (materialize, lambda df, label: store(df, label, 10)):
+        assert len(write(spark.range(1000).repartition(4, "id").groupBy(F.col("id") % 7).count(), "test").collect()) == 7
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
 def test_pigeonhole_guarantee():
     """Linked sets share a key that neither may skip, whichever buckets are the largest."""
     rng = np.random.default_rng(6)

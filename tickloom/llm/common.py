@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, not when the driver collects its garbage: for tables read again from their files."""
+    former = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, former)
 
 
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
@@ -34,7 +46,8 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     schema = df.schema
     spark.conf.set(_BATCH, str(NARROW_ROWS if narrow else TEXT_ROWS))
     try:
-        df.write.parquet(path)
+        with shuffles_dropped(spark):
+            df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, str(TEXT_ROWS))
     return spark.read.schema(schema).parquet(path)
@@ -54,7 +67,7 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 def store(df: DataFrame, label: str, rows: int) -> DataFrame:
     """``materialize`` for wide rows: ``rows`` of them to an Arrow batch."""
     path, schema = fresh_dir(df.sparkSession, label), df.schema
-    with arrow_rows(df.sparkSession, rows):
+    with arrow_rows(df.sparkSession, rows), shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 

@@ -216,6 +216,19 @@ def _shared_keys(entries: DataFrame) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, entries.schema)
 
 
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """Buckets (key, doc_id, size) of two documents or more, one of those with the same members.
+
+    Near copies meet in most of their segments. The new key is the exclusive or of the members' hashes; should two buckets
+    clash in it, they become one larger bucket, and no pair is lost.
+    """
+    bucket = Window.partitionBy("key")
+    return rows.repartition("key").distinct() \
+        .select("doc_id", "size", F.min("doc_id").over(bucket).alias("lo"), F.max("doc_id").over(bucket).alias("hi"),
+                F.bit_xor(F.xxhash64("doc_id", "size")).over(bucket).alias("key")) \
+        .filter("lo <> hi").select("key", "doc_id", "size").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with ``linked``: 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a") \
@@ -291,8 +304,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, doc_id
     ranked = shared.filter("skip >= 0").join(costs, "key")
     costly = Window.partitionBy("doc_id", "skip").orderBy(F.desc("cost"), "key")
     paid = ranked.withColumn("__r", F.row_number().over(costly)).filter("__r > shiftright(skip, 1)")
-    buckets = materialize(paid.select("key", "doc_id", "size").unionByName(shared.filter("skip < 0").select("key", "doc_id", "size"))
-                          .distinct(), "buckets")
+    buckets = materialize(_distinct_buckets(paid.select("key", "doc_id", "size").unionByName(shared.filter("skip < 0").select("key", "doc_id", "size"))),
+                          "buckets")
 
     discard(shared)
     discard(costs)
