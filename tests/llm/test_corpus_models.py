@@ -142,6 +142,56 @@ def test_scores_by_brute_force(spark, docs, shard, split, monkeypatch):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["score"]) for r in got) == want
 
 
+def lm3(rows, held):
+    """Triples over the codes of pairs; a text's first token has no pair before it."""
+    toks = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None] for _, t, _ in rows]
+    train = [t for t, h in zip(toks, held) if not h]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    pairs = Counter(p for t in train for p in zip([None, *t[:-1]], t))
+    triples = Counter(p for t in train for p in zip([None, *t[:-2]], t[:-1], t[1:]))
+    code = lambda p: min(65535, int(np.rint(-np.log10(p) * scoring.STEPS)))
+    prior, back = scoring.PRIOR, lambda own, total: min(65535, own + code(scoring.PRIOR / (total + scoring.PRIOR)))
+    mixed = lambda seen, own, total: code((seen + prior * 10 ** (-own / scoring.STEPS)) / (total + prior)) if seen else back(own, total)
+    out = []
+    for t in toks:
+        total = 0
+        for i, w in enumerate(t):
+            u = t[i - 1] if i else None
+            second = code((c[w] + 0.1) / (n + 0.1 * (v + 1)))
+            if c[u]:
+                second = mixed(pairs[u, w], second, c[u])
+            if i and (before := pairs[context := (t[i - 2] if i > 1 else None, u)]):
+                second = mixed(triples[*context, w], second, before)
+            total += second
+        out.append((len(t), -total / scoring.STEPS))
+    return out
+
+
+@pytest.mark.parametrize("shard, split", [(1 << 19, 1 << 18), (200, 50), (150, 3)])
+def test_scores_of_triples_by_brute_force(spark, docs, shard, split, monkeypatch):
+    """Also over many lots and shards, and where frequent words and pairs are dealt over several."""
+    monkeypatch.setattr(lexicon, "SHARD_ENTRIES", shard)
+    monkeypatch.setattr(scoring, "SPLIT", split)
+    monkeypatch.setattr(scoring, "LOT_TOKENS", 1 << 21 if split > 50 else 700)
+    rows = [tuple(r) for r in docs.collect()]
+    held = [d is not None and zlib.crc32(str(d).encode()) % 3 == 0 for d, _, _ in rows]
+    got = scoring.score(clashing(docs), F.crc32(F.col("doc_id").cast("string")) % 3 == 0, order=3).collect()
+    want = Counter((d, h, *x) for (d, _, _), h, x in zip(rows, held, lm3(rows, held)))
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["score"]) for r in got) == want
+    assert scoring.score(docs.limit(0), F.lit(False), order=3).count() == 0
+    assert all(r["score"] == 0 for r in scoring.score(docs, F.lit(True), order=3).collect())
+
+
+def test_the_query_scores_by_triples(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b c " * 40) for i in range(40)] + [(100 + i, "a b d e b f " * 20) for i in range(40)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) + (None,) for r in docs.collect()]
+    held = [zlib.crc32(str(d).encode()) % 10 == 0 for d, _, _ in rows]
+    got = queries.op12_lm_scoring(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["score"]) for r in got} == {d: x for (d, _, _), x in zip(rows, lm3(rows, held))}
+
+
 def test_scores_without_rows_or_training(spark, docs):
     assert scoring.score(docs.limit(0), F.lit(False)).count() == 0
     out = scoring.score(docs, F.lit(True)).collect()

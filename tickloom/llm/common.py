@@ -64,20 +64,20 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH, former)
 
 
-def store(df: DataFrame, label: str, rows: int) -> DataFrame:
-    """``materialize`` for wide rows: ``rows`` of them to an Arrow batch."""
+def store(df: DataFrame, label: str, rows: int, by: str | None = None) -> DataFrame:
+    """``materialize`` for wide rows: ``rows`` of them to an Arrow batch; in a folder for each value of the column ``by``."""
     path, schema = fresh_dir(df.sparkSession, label), df.schema
     with arrow_rows(df.sparkSession, rows), shuffles_dropped(df.sparkSession):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the folder of a table of ``store`` that nothing reads any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete the folder of a table of ``store`` that nothing reads any more, or only the folder ``part`` in it."""
     spark = df.sparkSession
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
-        if "/tickloom/" in folder:
+        if "/tickloom/" in folder and folder.endswith(part):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

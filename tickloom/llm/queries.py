@@ -86,9 +86,9 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document under a bigram model of the documents that are not held out."""
+    """Every document under a trigram model of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scoring.score(docs, F.crc32(F.col("doc_id").cast("string")) % LM_FOLDS == 0)
+    return scoring.score(docs, F.crc32(F.col("doc_id").cast("string")) % LM_FOLDS == 0, order=3)
 
 
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,17 +101,22 @@ class Level:
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each context (-1: unknown) and the place of each word among its successors (-1: none)."""
-        known, none = self.contexts.size, np.zeros(len(context), np.int64)
-        number = self.contexts.successor(context, none, none + known)
+        # Neighbours with the same context share its search.
+        new = np.concatenate((np.ones(1, bool), context[1:] != context[:-1]))[:len(context)]
+        run, own = np.cumsum(new) - 1, context[new]
+        known, none = self.contexts.size, np.zeros(len(own), np.int64)
+        number = self.contexts.successor(own, none, none + known)
         at = np.flatnonzero(number < known)
-        at = at[self.contexts.access(number[at]) == context[at]]
-        place = none - 1
-        low, high = self.pointers.access(number[at]), self.pointers.access(number[at] + 1)
-        base = np.where(low > 0, self.successors.access(np.maximum(low - 1, 0)), 0)
-        found = self.successors.successor(word[at] + base, low, high)
-        hit = found < high
-        hit[hit] = self.successors.access(found[hit]) == (word[at] + base)[hit]
-        place[at[hit]] = found[hit]
-        numbers = none - 1
+        at = at[self.contexts.access(number[at]) == own[at]]
+        numbers, low, high, base = none - 1, none.copy(), none.copy(), none.copy()
         numbers[at] = number[at]
+        low[at], high[at] = self.pointers.access(number[at]), self.pointers.access(number[at] + 1)
+        base[at] = np.where(low[at] > 0, self.successors.access(np.maximum(low[at] - 1, 0)), 0)
+        numbers, low, high, stored = numbers[run], low[run], high[run], word + base[run]
+        place = np.full(len(context), -1, np.int64)
+        at = np.flatnonzero(numbers >= 0)
+        found = self.successors.successor(stored[at], low[at], high[at])
+        hit = found < high[at]
+        hit[hit] = self.successors.access(found[hit]) == stored[at][hit]
+        place[at[hit]] = found[hit]
         return numbers, place
